@@ -26,6 +26,10 @@ SYMBOLS = "#*$%&|<>"
 #: The statistics of the vector, in order; see `vectors`.
 DIMS = ("z_len", "z_symbol", "z_line", "z_repeat")
 
+#: The least standard deviation of each statistic. Most texts have no symbol, repeated line or repeated words at all,
+#: so a group's own spread is near 0 there, and a few of them must not make a text an outlier.
+FLOORS = (0.1, 0.07, 0.12, 0.12)
+
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -96,12 +100,10 @@ def inner_share(p: int, support: float) -> float:
     return closer / support
 
 
-def estimates(rows: DataFrame, support: float = 0.75, steps: int = 4, floor: float = 0.02) -> DataFrame:
+def estimates(rows: DataFrame, support: float = 0.75, steps: int = 4, floors: tuple[float, ...] = FLOORS) -> DataFrame:
     """(g_lang, g_source, mean array, inverse array, n) for each group of `rows`.
 
-    `floor` is the least standard deviation of a statistic, added to the covariance: a group whose rows agree in
-    one (no repeated lines at all, say) would else reject all that differ by a hair. Ties in distance all count
-    as closest. The number of groups bounds the tables that move; each pass reads the vectors once.
+    The squares of `floors` are added to the variances. Ties in distance all count as closest. The number of groups bounds the tables that move; each pass reads the vectors once.
     """
     p = len(DIMS)
     keys = ["g_lang", "g_source"]
@@ -109,7 +111,7 @@ def estimates(rows: DataFrame, support: float = 0.75, steps: int = 4, floor: flo
     groups = start.count()
     about = rows.join(maybe_broadcast(start, groups, 10_000), keys)
     spread_of = about.groupBy(*keys).agg(*(F.percentile_approx(F.abs(F.col(d) - F.col(f"m_{d}")), 0.5, 2000).alias(f"s_{d}") for d in DIMS), *(F.first(f"m_{d}").alias(f"m_{d}") for d in DIMS), F.first("n").alias("n"))
-    inverse = F.array(*(F.lit(0.0) if i != j else 1.0 / (F.pow(1.4826 * F.col(f"s_{d}"), 2) + floor**2) for i, d in enumerate(DIMS) for j in range(p)))
+    inverse = F.array(*(F.lit(0.0) if i != j else 1.0 / (F.pow(1.4826 * F.col(f"s_{d}"), 2) + floors[i] ** 2) for i, d in enumerate(DIMS) for j in range(p)))
     fit = cut(spread_of.select(*keys, F.array(*(F.col(f"m_{d}") for d in DIMS)).alias("mean"), inverse.alias("inverse"), "n"), "mcd")
     scale = inner_share(p, support)
     for _ in range(steps):
@@ -117,13 +119,13 @@ def estimates(rows: DataFrame, support: float = 0.75, steps: int = 4, floor: flo
         bound = seen.groupBy(*keys).agg(F.percentile_approx("d2", support, 2000).alias("within"))
         close = seen.join(maybe_broadcast(bound, groups, 10_000), keys).filter(F.col("d2") <= F.col("within"))
         moments = close.groupBy(*keys).agg(F.first("n").alias("n"), *(F.avg(d).alias(f"m_{d}") for d in DIMS), *(F.covar_pop(a, b).alias(f"c_{i}_{j}") for i, a in enumerate(DIMS) for j, b in enumerate(DIMS) if j >= i))
-        flat = moments.select(*keys, "n", F.array(*(F.col(f"m_{d}") for d in DIMS)).alias("mean"), F.array(*(F.col(f"c_{min(i, j)}_{max(i, j)}") / scale + (floor**2 if i == j else 0.0) for i in range(p) for j in range(p))).alias("cov"))
+        flat = moments.select(*keys, "n", F.array(*(F.col(f"m_{d}") for d in DIMS)).alias("mean"), F.array(*(F.col(f"c_{min(i, j)}_{max(i, j)}") / scale + (floors[i] ** 2 if i == j else 0.0) for i in range(p) for j in range(p))).alias("cov"))
         fit = cut(flat.mapInArrow(inverted, "g_lang string, g_source string, mean array<double>, inverse array<double>, n long"), "mcd")
     return fit
 
 
 def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covariances to inverses; the floor on the diagonal keeps them regular."""
+    """Covariances to inverses; the floors on the diagonal keep them regular."""
     for b in batches:
         x = b.to_pydict()
         inv = [np.linalg.inv(np.array(c).reshape(len(DIMS), -1)).ravel().tolist() for c in x["cov"]]
