@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratewright.llm.common import CHUNK_BYTES, collected, cut, hashed64, slices
+from ratewright.llm.common import CHUNK_BYTES, collected, cut, hashed64, maybe_broadcast, slices
 
 #: Characters of the longest sequence; labelled texts of each language that are counted, and that calibrate it.
 ORDER, TRAIN_ROWS, CALIBRATION_ROWS = 4, 600, 200
@@ -130,11 +130,14 @@ class Identifier:
 def labelled_sample(docs: DataFrame, train: object, rows: int) -> DataFrame:
     """At most `rows` rows of each language, those of the least hash: an exact bound that reads ids before texts.
 
-    Ranking drops most rows of a language before they are shuffled, and the ids found are few enough to broadcast:
+    Hashes that lie well above the share that is wanted of a language are passed over before its rows are ranked, so
+    few more than `rows` of even the largest language are shuffled. The ids found are few enough to broadcast:
     `rows` times the number of languages, which is counted.
     """
-    known = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    known = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", (F.xxhash64("doc_id") / 2.0**64 + 0.5).alias("u"))
+    sizes = cut(known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(rows + 8 * rows**0.5 + 20) / F.col("n")).alias("share")), "languages")
+    known = known.join(maybe_broadcast(sizes), "lang").filter(F.col("u") <= F.col("share"))
+    order = Window.partitionBy("lang").orderBy("u", "doc_id")
     top = cut(known.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows), "languages")
     top = top.dropDuplicates(["doc_id", "lang"])
     side = F.broadcast(top) if top.count() <= 200_000 else top
