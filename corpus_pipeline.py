@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ratewright.llm import contamination, jaccard, languages, mixing, secrets
 from ratewright.llm.common import crc_mod, cut
+from ratewright.shipping import shipped
 
 
+@shipped
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that one of the learned languages explains; null texts and texts without letters go."""
     columns = docs.columns
@@ -22,21 +24,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return languages.identify(docs, who, tuple(columns)).filter(~F.col("__rejected")).select(*columns)
 
 
+@shipped
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the least id, of each group of similar ones."""
     return jaccard.one_of_each(docs)
 
 
+@shipped
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a twentieth of their words in benchmark windows."""
     return contamination.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@shipped
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark."""
     return secrets.without_secrets(docs)
 
 
+@shipped
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes at least once, with mix_copies and mix_taken (words)."""
     return mixing.mixed_documents(docs)

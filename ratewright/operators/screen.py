@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 from functools import reduce
-from pathlib import Path
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +51,7 @@ def screened(df: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
 
 
 #: The screen's rules as data: kinds, fields, and which flags decide. `param:` names a parameter.
-RULES = json.loads((Path(__file__).parent / "screen_rules.json").read_text())
+RULES = json.loads(files("ratewright.operators").joinpath("screen_rules.json").read_text(encoding="utf-8"))
 
 
 def compiled_rules(rules: dict = RULES, **overrides: object) -> tuple[dict[str, Column], Column, dict[str, str]]:
