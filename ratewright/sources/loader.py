@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import csv
 import os
 import zipfile
 from dataclasses import asdict, dataclass, field
@@ -130,6 +131,8 @@ def read_strict(spark: SparkSession, path: str, required: tuple[str, ...] = ("ye
     if size > STRICT_LIMITS["bytes"]:
         raise UploadError("too_large", "the file has more than 10 MB")
     raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST")
+    header = spark.read.text(path).first()  # Spark itself gives repeated names numbers
+    normalised_or_refused(next(csv.reader([header[0]]), []) if header else [])
     raw = raw.toDF(*normalised_or_refused(raw.columns))
     if len(raw.columns) > STRICT_LIMITS["columns"]:
         raise UploadError("too_many_columns", "more than 128 columns")
