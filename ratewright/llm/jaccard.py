@@ -5,7 +5,8 @@ Texts are sets of shingles; documents of equal sets form a class, and classes ar
 1. Each class shows a prefix of its set: so many shingles that two sets within the threshold must share one. The
    order puts shingles that many texts hold last, then goes by hash; any order keeps the join whole.
 2. Shingles meet in buckets, as arrays. Classes that share one are linked to the least of them (as many rows as
-   classes), and those links are verified: what stays connects similar documents into groups.
+   classes), and those links are verified: what stays connects similar documents into groups. Two rounds with a
+   few other centers follow for what still lies apart.
 3. The matrix lists for each shingle the groups whose union of prefixes holds it. A class and a group of another
    component that share fewer shingles than the threshold needs at least are dropped by that bound; the other
    groups are opened, and the class compared with their members until a link is found.
@@ -34,6 +35,9 @@ SHINGLE, SIMILAR = 5, (3, 4)
 #: group; classes that are compared with one group in one task.
 COMMON_MOST, BUCKET_TOKENS, GROUP_MOST, OPENED_MOST = 300_000, 1_000_000, 64, 128
 
+#: Further rounds of stars, and classes that a class is compared with in each.
+STAR_ROUNDS, STAR_CENTERS = 2, 4
+
 #: Words whose hashes a worker remembers; distinct shingles it gathers before it looks for common ones.
 REMEMBERED, GATHER_TOKENS = 300_000, 2_000_000
 
@@ -312,6 +316,28 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).groupBy("node").agg(F.min("root").alias("root"))
 
 
+def apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(token, cls, n, comp) of the shingles that classes of more than one component show."""
+    placed = shared.join(maybe_broadcast(roots.select(F.col("node").alias("cls"), "root")), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+    placed = cut(placed, "jaccard-placed")
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
+    return cut(placed.join(mixed, "token", "left_semi"), "jaccard-apart")
+
+
+def stars_again(open_: DataFrame, attempt: int) -> DataFrame:
+    """(grp, cls): classes with a few of the classes, drawn by hash for each shingle, that they have most shingles in common with.
+
+    Near copies of one text are often a link apart from some of each other only. A few tries each connect most of
+    them, at a cost in proportion to their number, before groups are compared as a whole.
+    """
+    who = F.struct("cls", "n", "comp")
+    centers = open_.groupBy("token").agg(F.array_distinct(F.array(*(F.min_by(who, F.xxhash64("cls", F.lit(17 * attempt + k))) for k in range(STAR_CENTERS)))).alias("centers"))
+    met = open_.join(centers, "token").select("cls", "n", "comp", F.explode("centers").alias("c")).filter((F.col("c.comp") != F.col("comp")) & similar_sizes(F.col("n"), F.col("c.n")))
+    share = met.groupBy("cls", F.col("c.cls").alias("grp")).agg(F.count("*").alias("share"))
+    best = share.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list(F.struct("share", "grp")), asc=False), 1, STAR_CENTERS).alias("best"))
+    return cut(best.select("cls", F.explode("best.grp").alias("grp")), "jaccard-stars")
+
+
 def join_components(docs: DataFrame, common_most: int = COMMON_MOST, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of `docs` (doc_id, text), at 5-word shingles and Jaccard 3/4 or more.
 
@@ -340,12 +366,19 @@ def join_components(docs: DataFrame, common_most: int = COMMON_MOST, bucket_toke
     ids = reps.select("cls", "doc_id")
     links = cut(verify(docs, ids, query.unionByName(member)), "jaccard-links")
     roots = cut(components(links), "jaccard-roots")
+    open_ = apart(shared, roots)
+    for attempt in range(STAR_ROUNDS):
+        if open_.isEmpty():
+            break
+        tried = stars_again(open_, attempt)
+        parts = cut(tried.groupBy("grp").agg(F.ceil(F.count("*") / OPENED_MOST).alias("parts")), "jaccard-parts")
+        query = tried.join(maybe_broadcast(parts), "grp").select("grp", part_of("cls").alias("part"), "cls", F.lit(True).alias("query"))
+        member = parts.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("grp").alias("cls"), F.lit(False).alias("query"))
+        links = cut(links.unionByName(verify(docs, ids, query.unionByName(member))), "jaccard-links")
+        roots = cut(components(links), "jaccard-roots")
+        open_ = apart(shared, roots)
     # the matrix of shingles and groups, for shingles that more than one component shows
-    placed = shared.join(maybe_broadcast(roots.select(F.col("node").alias("cls"), "root")), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
-    placed = cut(placed, "jaccard-placed")
-    apart = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
-    open_ = placed.join(apart, "token", "left_semi")
-    many = cut(placed.select("comp", "cls").distinct().groupBy("comp").agg(F.ceil(F.count("*") / GROUP_MOST).alias("groups")).filter("groups > 1"), "jaccard-many")
+    many = cut(open_.select("comp", "cls").distinct().groupBy("comp").agg(F.ceil(F.count("*") / GROUP_MOST).alias("groups")).filter("groups > 1"), "jaccard-many")
     open_ = open_.join(maybe_broadcast(many), "comp", "left").withColumn("grp", F.when(F.col("groups").isNull(), F.col("comp")).otherwise(F.xxhash64("comp", F.pmod(F.xxhash64("cls", F.lit(1)), "groups")))).drop("groups")
     open_ = cut(open_, "jaccard-open")
     matrix = open_.groupBy("token", "comp", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
