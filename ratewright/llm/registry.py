@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewright.llm import contamination, jaccard, languages, mixing, personal, ppm, quality, revisits, secrets, tokens
+from ratewright.llm import contamination, jaccard, languages, mixing, oracle, personal, ppm, quality, revisits, secrets, tokens
 from ratewright.llm.common import crc_mod
 
 
@@ -34,7 +34,8 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("longest", "longest_at", "longest_item")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +78,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_quality_rules, op4_lm_scores, op5_contamination, op6_jaccard_join, op7_personal_data, op8_languages, op9_revisits, op10_secrets)}
 
-ORACLE: dict[str, str] = {}
+#: SQL of those that SQL can express; the others are held against brute force, the library or held-out rows in tests.
+ORACLE: dict[str, str] = oracle.ORACLE
