@@ -99,7 +99,7 @@ def test_expectations_fail_on_broken_tables(spark):
     status = lambda t, strict=False: {r.id: r.status for r in ex.check(spark, {"t": t, "u": good}, rules, strict).collect()}
     assert {k: v for k, v in status(good).items() if v != "pass"} == {"gone": "skip"}
     assert status(good, True)["gone"] == "fail"
-    broken = spark.createDataFrame([(1, 2020, 9.0, 1.0, 3.0, "q"), (1, 2025, 3.0, 1.0, 4.0, "q"), (1, 2030, None, 1.0, 4.0, "q"), (5, 2030, 1.0, 1.0, 4.0, "q")], good.schema)
+    broken = spark.createDataFrame([(1, 2020, 9.0, 1.0, 3.0, "q"), (1, 2025, 3.0, 0.5, 4.0, "q"), (1, 2030, None, 1.0, 4.0, "q"), (5, 2030, 1.0, 1.0, 4.0, "q")], good.schema)
     bad = status(broken)
     assert {k for k, v in bad.items() if v == "pass"} == {"columns"}
     assert status(good.drop("x"))["range"] == "fail"
