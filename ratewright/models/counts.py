@@ -248,6 +248,20 @@ def fit_covariates(df: DataFrame, models: tuple[str, ...] = MODELS, least: int =
     return rows.groupBy("naics3").applyInPandas(run, SCHEMA)
 
 
+def predicted_histogram(df: DataFrame, models: tuple[str, ...] = ("poisson", "nb2"), least: int = 200, most: int = 30, top: int = 10) -> DataFrame:
+    """sort_key, observed and expected filings by number of cases (`top` and more together), under each industry's model of least AIC."""
+    rows = grouped(df.join(F.broadcast(select_industries(df, least, most)), "naics3"), "naics3")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        y, e, w = prepared(*(pdf[c].to_numpy() for c in "yew"))
+        best = min((fit(m, y, e, w) for m in models), key=lambda f: f.aic)
+        seen = np.bincount(np.minimum(y, top).astype(int), weights=w, minlength=top + 1)
+        return pd.DataFrame({"sort_key": range(top + 1), "observed": seen, "expected": expected_counts(best, e, w, top)})
+
+    per = rows.groupBy("naics3").applyInPandas(run, "sort_key long, observed double, expected double")
+    return per.groupBy("sort_key").agg(F.sum("observed").alias("observed"), F.sum("expected").alias("expected"))
+
+
 def selection(fits: DataFrame, converged_only: bool = False) -> DataFrame:
     """model, wins: for how many industries a model has the least AIC (ties by name); models without wins count 0."""
     from pyspark.sql import Window
