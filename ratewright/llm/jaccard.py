@@ -38,6 +38,9 @@ COMMON_MOST, BUCKET_TOKENS, GROUP_MOST, OPENED_MOST = 300_000, 1_000_000, 64, 12
 #: Further rounds of stars, and classes that a class is compared with in each.
 STAR_ROUNDS, STAR_CENTERS = 2, 4
 
+#: Links that one task contracts.
+FOREST_EDGES = 1_000_000
+
 #: Words whose hashes a worker remembers; distinct shingles it gathers before it looks for common ones.
 REMEMBERED, GATHER_TOKENS = 300_000, 2_000_000
 
@@ -298,11 +301,34 @@ def verify(docs: DataFrame, reps: DataFrame, opened: DataFrame) -> DataFrame:
     return placed.select("grp", "part", "cls", "query", "text").mapInArrow(run, "a long, b long").distinct()
 
 
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): each node of a bounded number of edges with the least node that they connect it with."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    nodes, at = np.unique(np.concatenate([table.column("a").to_numpy(), table.column("b").to_numpy()]), return_inverse=True)
+    x, y = at[: table.num_rows], at[table.num_rows :]
+    root = np.arange(nodes.size)
+    while (root[x] != root[y]).any():
+        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+        while (root[root] != root).any():
+            root = root[root]
+    below = root != np.arange(nodes.size)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[below]), pa.array(nodes[root[below]])], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node that each node of `edges` (a, b) is connected with; by large and small stars in turn."""
+    """(node, root): the least node that each other node of `edges` (a, b) is connected with.
+
+    The edges of each FOREST_EDGES at most are first contracted in one task. If that was all of them, the roots are
+    found; else large and small stars follow in turn, over what is left, until nothing changes.
+    """
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
+    parts = max(1, math.ceil(now.count() / FOREST_EDGES))
+    now = cut(now.coalesce(parts).mapInArrow(forest, "a long, b long"), "components")
     before = None
-    while True:
+    while parts > 1:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
             break

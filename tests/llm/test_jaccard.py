@@ -71,7 +71,9 @@ def test_one_of_each(spark):
     assert {r.doc_id for r in out.collect()} - {None} == {d for d, n, c in brute(data) if d == c and d is not None}
 
 
-def test_components_of_a_graph(spark):
+@pytest.mark.parametrize("most", [1_000_000, 100])
+def test_components_of_a_graph(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "FOREST_EDGES", most)
     r = random.Random(8)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(40)]
     root = {}
