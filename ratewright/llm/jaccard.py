@@ -359,7 +359,9 @@ def stars_again(open_: DataFrame, attempt: int) -> DataFrame:
     who = F.struct("cls", "n", "comp")
     centers = open_.groupBy("token").agg(F.array_distinct(F.array(*(F.min_by(who, F.xxhash64("cls", F.lit(17 * attempt + k))) for k in range(STAR_CENTERS)))).alias("centers"))
     met = open_.join(centers, "token").select("cls", "n", "comp", F.explode("centers").alias("c")).filter((F.col("c.comp") != F.col("comp")) & similar_sizes(F.col("n"), F.col("c.n")))
-    share = met.groupBy("cls", F.col("c.cls").alias("grp")).agg(F.count("*").alias("share"))
+    share = met.groupBy("cls", F.col("c.cls").alias("grp")).agg(F.count("*").alias("share"), F.max("n").alias("n"), F.max("c.n").alias("m"))
+    # a center is drawn for most of what it has in common with a near copy; others aren't worth a try
+    share = share.filter(may_reach(F.col("share"), F.col("n"), F.col("m")))
     best = share.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list(F.struct("share", "grp")), asc=False), 1, STAR_CENTERS).alias("best"))
     return cut(best.select("cls", F.explode("best.grp").alias("grp")), "jaccard-stars")
 
