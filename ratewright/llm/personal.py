@@ -81,32 +81,42 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return third.select("doc_id", *(r.kind for r in RULES), occ.alias("occ"))
 
 
-def bootstrap(places: DataFrame, rounds: int = 2, support: int = 3, trust: float = 0.7) -> DataFrame:
+def bootstrap(places: DataFrame, support: int = 3, trust: float = 0.7) -> DataFrame:
     """(instance, kind, confidence) of instances that trusted patterns extract and that aren't seeds.
 
     places: instance, seed (kind or null), patterns. A pattern is trusted for a kind if it extracts at least
-    `support` believed instances of it, and they are at least `trust` of all that it extracts.
+    `support` believed instances of it, and they are at least `trust` of all that it extracts. Rounds go on until no
+    belief changes. Beliefs are whole thousandths, rounded down, and never fall from round to round: the rounds end,
+    and sums don't depend on their order.
     """
-    edges = cut(places.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
+    every = cut(places.select("instance", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
     kinds = [r.kind for r in RULES]
-    # only patterns that some seed stands in can ever be trusted
-    seeded = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count("seed").alias("seeds")).filter(F.col("seeds") > 0).select("pattern", "n")
-    graph = cut(edges.join(maybe_broadcast(cut(seeded, "pii-seeded")), "pattern"), "pii-graph")
-    belief = {k: F.when(F.col("seed") == k, F.lit(1.0)).otherwise(F.lit(0.0)) for k in kinds}
-    held = graph.select("*", *(v.alias(f"b_{k}") for k, v in belief.items()))
-    for _ in range(rounds):
-        scored = held.groupBy("pattern").agg(F.max("n").alias("total"), *(F.sum(f"b_{k}").alias(f"s_{k}") for k in kinds))
-        score = lambda k: F.when((F.col(f"s_{k}") >= support) & (F.col(f"s_{k}") / F.col("total") >= trust), F.col(f"s_{k}") / (F.col("total") + 0.5)).otherwise(F.lit(0.0))
+    # a belief is 1 at most, so that a pattern of fewer instances than `support` can't be trusted in any round
+    totals = cut(every.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= support), "pii-totals")
+    edges = cut(every.join(maybe_broadcast(totals.select("pattern")), "pattern"), "pii-graph")
+    sums = [F.sum(f"s_{k}").alias(f"s_{k}") for k in kinds]
+    seeded = cut(edges.filter(F.col("seed").isNotNull()).groupBy("pattern").agg(*(F.sum(F.when(F.col("seed") == k, 1000).otherwise(0)).alias(f"s_{k}") for k in kinds)), "pii-seeded")
+    unseen = edges.filter(F.col("seed").isNull()).select("pattern", "instance")
+    believed, before = None, None
+    while True:
+        # whatever holds a seed or a believed instance takes part, whether or not a seed stands in it
+        held = seeded if believed is None else seeded.unionByName(unseen.join(maybe_broadcast(believed), "instance").groupBy("pattern").agg(*(F.sum(f"b_{k}").alias(f"s_{k}") for k in kinds))).groupBy("pattern").agg(*sums)
+        held = cut(held.filter(F.greatest(*(F.col(f"s_{k}") for k in kinds)) >= 1000 * support), "pii-held")
+        scored = totals.join(maybe_broadcast(held), "pattern")
+        score = lambda k: F.when((F.col(f"s_{k}") >= 1000 * support) & (F.col(f"s_{k}") / (1000 * F.col("n")) >= trust), F.floor(F.col(f"s_{k}") / (F.col("n") + 0.5))).otherwise(F.lit(0)).cast("long")
         trusted = cut(scored.select("pattern", *(score(k).alias(f"p_{k}") for k in kinds)).filter(F.greatest(*(F.col(f"p_{k}") for k in kinds)) > 0), "pii-trusted")
-        reached = graph.join(maybe_broadcast(trusted), "pattern")
-        believed = cut(reached.filter(F.col("seed").isNull()).groupBy("instance").agg(*(F.max(f"p_{k}").alias(f"b_{k}") for k in kinds)), "pii-believed")
-        held = graph.join(maybe_broadcast(believed), "instance", "left").select("pattern", "instance", "seed", "n", *(F.when(F.col("seed") == k, F.lit(1.0)).otherwise(F.coalesce(f"b_{k}", F.lit(0.0))).alias(f"b_{k}") for k in kinds))
+        believed = cut(unseen.join(maybe_broadcast(trusted), "pattern").groupBy("instance").agg(*(F.max(f"p_{k}").alias(f"b_{k}") for k in kinds)), "pii-believed")
+        # as no belief ever falls, equal sums are equal beliefs
+        now = believed.agg(F.count("*"), *(F.sum(f"b_{k}") for k in kinds)).first()
+        if not now[0] or now == before:
+            break
+        before = now
     best = F.greatest(*(F.col(f"b_{k}") for k in kinds))
     kind = F.coalesce(*(F.when(F.col(f"b_{k}") == best, F.lit(k)) for k in kinds))
-    return believed.select("instance", kind.alias("kind"), best.alias("confidence")).filter(F.col("confidence") > 0)
+    return believed.select("instance", kind.alias("kind"), (best / 1000).alias("confidence"))
 
 
-def find_personal(docs: DataFrame, rounds: int = 2, support: int = 3, trust: float = 0.7) -> DataFrame:
+def find_personal(docs: DataFrame, support: int = 3, trust: float = 0.7) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added: a row for each row of `docs`.
 
     The counts and the digest are of base spans; `spans` holds the added ones too, which never overlap them.
@@ -116,7 +126,7 @@ def find_personal(docs: DataFrame, rounds: int = 2, support: int = 3, trust: flo
     """
     found = cut(base_spans(docs).withColumn("row", F.monotonically_increasing_id()), "pii")  # numbered once, as written
     places = found.select("row", F.explode("occ").alias("o")).select("row", "o.*")
-    new = cut(bootstrap(places.select("instance", "seed", "patterns"), rounds, support, trust), "pii-new")
+    new = cut(bootstrap(places.select("instance", "seed", "patterns"), support, trust), "pii-new")
     rank = F.create_map(*(x for i, r in enumerate(RULES) for x in (F.lit(r.kind), F.lit(i))))
     added = places.filter(F.col("seed").isNull()).join(maybe_broadcast(new), "instance")
     added = added.groupBy("row").agg(F.collect_list(F.struct("start", rank[F.col("kind")].alias("rank"), "end", "kind")).alias("added"))

@@ -129,3 +129,19 @@ def test_contexts_find_unseen_identifiers(spark):
             assert rows[i].spans == f"phone:{a}:{a + 12}" and rows[i].n_added == 1 and rows[i].n_phone == 0
     assert rows[200].spans == ""
     assert all(rows[i].n_phone == 1 and rows[i].n_added == 0 for i in range(12))
+
+
+def test_contexts_of_discovered_identifiers_alone(spark):
+    r = random.Random(7)
+    data = [(i, f"{cases.prose(r, 20)} please call us +1 (310) 555-{1000 + i} today {cases.prose(r, 9)}", "en", "s", 1) for i in range(40)]
+    data += [(100 + i, f"{cases.prose(r, 20)} please call us 310-555-{2000 + i} today {cases.prose(r, 9)}", "en", "s", 1) for i in range(8)]
+    # no seed stands in these patterns: the second hop shares instances with the first, the third with the second
+    data += [(200 + i, f"{cases.prose(r, 20)} reach my desk 310-555-{2000 + i} daily {cases.prose(r, 9)}", "en", "s", 1) for i in range(9)]
+    data += [(300 + i, f"{cases.prose(r, 20)} fax goes to 310-555-{2002 + i} nightly {cases.prose(r, 9)}", "en", "s", 1) for i in range(8)]
+    data += [(400 + i, f"{cases.prose(r, 20)} part number is 310-556-{2000 + i} here {cases.prose(r, 9)}", "en", "s", 1) for i in range(8)]
+    rows = {x.doc_id: x for x in personal.find_personal(cases.table(spark, data)).collect()}
+    for i, t, *_ in data:
+        if 100 <= i < 400:
+            a = t.index("310-555")
+            assert rows[i].spans == f"phone:{a}:{a + 12}" and rows[i].n_added == 1 and rows[i].n_phone == 0, i
+    assert all(rows[400 + i].spans == "" for i in range(8))
