@@ -139,19 +139,43 @@ def distance() -> Column:
     return reduce(lambda a, b: a + b, (off[i] * off[j] * F.col("inverse")[i * p + j] for i in range(p) for j in range(p)))
 
 
+def pools(rows: DataFrame, least_group: int) -> DataFrame:
+    """(g_lang, g_source, feeds, e_lang, e_source): whose estimates the rows of a group feed, and whose judge it.
+
+    A group of `least_group` rows judges itself; a smaller one is judged by all rows of its language, or by all rows
+    of the table if those are fewer too. A pool is made only if some group needs it. "*" stands for any value.
+    """
+    keys = ["g_lang", "g_source"]
+    groups = cut(rows.groupBy(*keys).agg(F.count("*").alias("size")), "quality-groups")
+    langs = groups.groupBy("g_lang").agg(F.sum("size").alias("in_lang"), F.min("size").alias("least"))
+    rare = not langs.filter(F.col("in_lang") < least_group).isEmpty()
+    key = lambda lang, source: F.struct(lang.alias("g_lang"), source.alias("g_source"))
+    own, of_lang, of_all = key(F.col("g_lang"), F.col("g_source")), key(F.col("g_lang"), F.lit("*")), key(F.lit("*"), F.lit("*"))
+    large, spoken = F.col("size") >= least_group, F.col("in_lang") >= least_group
+    feeds = F.array_compact(F.array(F.when(large, own), F.when(spoken & (F.col("least") < least_group), of_lang), F.when(F.lit(rare), of_all)))
+    judge = F.when(large, own).when(spoken, of_lang).otherwise(of_all)
+    return cut(groups.join(langs, "g_lang").select(*keys, feeds.alias("feeds"), judge["g_lang"].alias("e_lang"), judge["g_source"].alias("e_source")), "quality-pools")
+
+
 def rate_quality(docs: DataFrame, tail: float = 1e-9, least_group: int = 20) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
     base_failed: fewer than 50 words, or over half of them in repeated 3-word windows. kept: not base_failed and
     within the chi-square distance that a normal row passes with probability `tail`. Estimates come from the rows
     that pass the base rules, per language and source (null is a value of its own); groups with fewer than
-    `least_group` such rows reject none. Null and empty texts have 0 words and fail. Repeated rows each count
+    `least_group` such rows are judged by those of their language, or of the whole table, so that every row that
+    passes has a distance. Null and empty texts have 0 words and fail. Repeated rows each count
     and each give a row; an empty table gives none; columns beyond doc_id, text, lang and source are ignored.
     """
+    keys = ["g_lang", "g_source"]
     base = statistics(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     base = base.select("*", F.concat(F.lit("="), F.col("lang")).alias("gl"), F.concat(F.lit("="), F.col("source")).alias("gs"), *vectors())
     base = cut(base.withColumns({"g_lang": F.coalesce("gl", F.lit("-")), "g_source": F.coalesce("gs", F.lit("-"))}).drop("gl", "gs", "lang", "source"), "quality")
-    fit = estimates(base.filter(~F.col("base_failed")).select("g_lang", "g_source", *DIMS))
-    judged = base.join(maybe_broadcast(fit, most=10_000), ["g_lang", "g_source"], "left").withColumn("distance", F.when(F.col("n") >= least_group, distance()))
+    passed = base.filter(~F.col("base_failed")).select(*keys, *DIMS)
+    pool = pools(passed, least_group)
+    fed = passed.join(maybe_broadcast(pool.select(*keys, "feeds"), most=10_000), keys).select(F.explode("feeds").alias("feed"), *DIMS)
+    fit = estimates(fed.select("feed.g_lang", "feed.g_source", *DIMS))
+    fit = pool.drop("feeds").join(fit.select(F.col("g_lang").alias("e_lang"), F.col("g_source").alias("e_source"), "mean", "inverse"), ["e_lang", "e_source"]).select(*keys, "mean", "inverse")
+    judged = base.join(maybe_broadcast(fit, most=10_000), keys, "left").withColumn("distance", distance())
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff(len(DIMS), tail))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

@@ -44,6 +44,21 @@ def test_outliers_of_a_group_go_and_others_stay(spark):
     assert not any(kept[1000 + i] for i in range(20))
 
 
+def test_small_groups_are_judged_by_pools(spark):
+    import random
+
+    r = random.Random(4)
+    good = lambda: cases.prose(r, r.randint(60, 400))
+    bad = lambda: " ".join(w + "###***" for w in cases.prose(r, 200).split())
+    data = [(i, good(), "en", "s1", 1) for i in range(60)]
+    # a rare source, a rare language and groups of nulls, of 6 rows or fewer each
+    for at, lang, source in ((100, "en", "s2"), (200, "fr", "s1"), (300, None, None), (400, "en", None)):
+        data += [(at + i, good(), lang, source, 1) for i in range(5)] + [(at + 50, bad(), lang, source, 1)]
+    rows = {x.doc_id: x for x in quality.rate_quality(cases.table(spark, data)).collect()}
+    assert all(x.distance is not None for x in rows.values() if not x.base_failed)
+    assert [i for i, x in rows.items() if not x.kept and not x.base_failed] == [i for i in rows if i % 100 == 50 and i > 100]
+
+
 def test_estimates_approach_those_of_clean_rows(spark):
     rng = np.random.default_rng(5)
     clean = rng.normal(size=(2000, 4)) @ np.diag([1, 0.5, 0.2, 2]) + [3, 0, 1, -1]
