@@ -108,10 +108,12 @@ def hours_concentration(df: DataFrame, tops: tuple[int, ...] = (1, 10, 100, 1000
 
 
 def rank_trim(df: DataFrame, tops: tuple[int, ...] = (1, 10, 100, 1000, 10000)) -> DataFrame:
-    """The rate of all filings without the top n by hours: a check that needs no bounds."""
-    total = df.agg(F.count("*").alias("n"), F.coalesce(F.sum("total_hours_worked"), F.lit(0.0)).alias("h"), F.coalesce(F.sum("recordable_cases"), F.lit(0.0)).alias("c"))
+    """The rate of all filings without the top n by hours: a check that needs no bounds; null if no hours are left."""
+    total = df.agg(F.count("*").alias("n"), F.count_if(F.col("total_hours_worked") > 0).alias("worked"), F.coalesce(F.sum("total_hours_worked"), F.lit(0.0)).alias("h"), F.coalesce(F.sum("recordable_cases"), F.lit(0.0)).alias("c"))
     out = hours_concentration(df, tops).join(F.broadcast(total))
-    return out.select("top_n", ratio(PER_HOURS * F.col("c") * (1 - F.col("cases_share")), F.col("h") * (1 - F.col("hours_share"))).alias("trir"), (F.col("top_n") / F.col("n")).alias("share_of_filings"))
+    # a share of all hours may be a rounding error away from 1
+    left = F.when(F.col("top_n") < F.col("worked"), F.col("h") * (1 - F.col("hours_share")))
+    return out.select("top_n", ratio(PER_HOURS * F.col("c") * (1 - F.col("cases_share")), left).alias("trir"), (F.col("top_n") / F.col("n")).alias("share_of_filings"))
 
 
 def rates(df: DataFrame, *by: str) -> DataFrame:

@@ -160,7 +160,7 @@ def hours_concentration(spark, sf_dir):
 
 @query(f"SELECT {n('top', 'top_n')}, {r('CASE WHEN h - hh > 1e-6 THEN 200000.0 * (c - cc) / (h - hh) END', 'trir')}, {r('top / n', 'share_of_filings')} FROM held, tot WHERE top <= 100", RANKED)
 def threshold_rank_trim(spark, sf_dir):
-    return rates.rank_trim(base(spark, sf_dir), TOPS[:3])
+    return rates.rank_trim(base(spark, sf_dir))
 
 
 @query(f"SELECT id, {n('year_filing_for', 'year_filing_for')}, {r('hours', 'total_hours_worked')}, {r('hpe', 'hours_per_employee')}, {r('cases', 'recordable_cases')} FROM screened WHERE f_high ORDER BY hours DESC, id LIMIT 50")
@@ -415,7 +415,7 @@ def aic_selection(spark, sf_dir):
 
 @query()
 def permutation_null(spark, sf_dir):
-    return panel.permutation_null(panel.flag_panel(base(spark, sf_dir)), 50)
+    return panel.permutation_null(panel.flag_panel(base(spark, sf_dir)))
 
 
 P, OT = graph.Property, graph.ObjectType

@@ -219,3 +219,20 @@ def test_rates_skip_missing_parts(spark):
     df = screen.screened(frame(spark, [filing(1, dafw=None), filing(2)]))
     row = rates.rates(df).first()
     assert row.trir_numerator == 6 and row.trir_numerator_screened == 4 and math.isclose(row.trir_unscreened, 200_000 * 6 / 400_000)
+
+
+def test_registered_with_all_tops_and_permutations(spark):
+    import __spark_entry__ as entry
+
+    data = "/root/testdata/sf0.001"
+    found = {x.top_n: x for x in entry.queries()["threshold_rank_trim"](spark, data).collect()}
+    assert sorted(found) == [1, 10, 100, 1000, 10000]
+    assert {x.rep for x in entry.queries()["permutation_null"](spark, data).collect()} == set(range(200))
+
+
+def test_rank_trim_without_hours_left(spark):
+    rows = [(i, 0.1 + i / 3, float(i % 4)) for i in range(15)] + [(100, 0.0, 2.0), (101, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, total_hours_worked double, recordable_cases double")
+    found = {x.top_n: x.trir for x in rates.rank_trim(df, (1, 14, 15, 16, 1000)).collect()}
+    assert found[14] == pytest.approx(200000 * (0 + 2 + 1) / 0.1)
+    assert found[1] is not None and found[15] is None and found[16] is None and found[1000] is None
