@@ -433,9 +433,14 @@ def join_components(docs: DataFrame, common_most: int = COMMON_MOST, bucket_toke
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that keep one document of each component, the least id; those without shingles all stay.
+    """The rows of `docs` that keep one row of each component, of the least id; those without shingles all stay.
 
-    Rows that repeat a kept id stay too, unless they agree in all columns.
+    Rows are joined by a number of their own, written once, so that repeated and null ids are told apart. Of several
+    rows of the least id the first stays; a component without ids keeps its first row.
     """
-    kept = join_components(docs).filter((F.col("doc_id") == F.col("component_id")) | F.col("component_id").isNull()).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    docs, columns = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "jaccard-rows"), docs.columns
+    found = join_components(docs.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    named = found.join(docs.select("__row", "doc_id"), "__row")
+    first = F.min_by("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
+    kept = named.groupBy("component_id").agg(first.alias("__row")).select("__row")
+    return docs.join(kept, "__row", "left_semi").select(*columns)

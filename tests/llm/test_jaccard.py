@@ -71,6 +71,19 @@ def test_one_of_each(spark):
     assert {r.doc_id for r in out.collect()} - {None} == {d for d, n, c in brute(data) if d == c and d is not None}
 
 
+def test_one_row_of_each(spark):
+    r = random.Random(9)
+    a, b, c, d = (cases.prose(r, 60) for _ in range(4))
+    near = lambda t, k: " ".join([*t.split(), f"more{k}"])
+    texts = [(1, a), (1, a), (1, near(a, 1)), (2, near(a, 2)), (3, b), (1, b), (4, c), (4, d), (5, d), (4, d)]
+    e, f = cases.prose(r, 60), cases.prose(r, 60)
+    texts += [(None, e), (None, near(e, 1)), (None, near(e, 1)), (None, f), (6, near(f, 1)), (None, "alone without an id"), (None, None), (None, ""), (7, None), (7, None)]
+    out = jaccard.one_of_each(cases.table(spark, [(i, t, "en", "s1", 1) for i, t in texts])).collect()
+    want = [(1, a), (1, b), (4, c), (4, d), (None, e), (6, near(f, 1)), (None, "alone without an id"), (None, None), (None, ""), (7, None), (7, None)]
+    own = lambda i, t: (i, None if not t else " ".join(t.split()[:20]))  # noqa: E731  any of the near copies of an id will do
+    assert Counter(own(x.doc_id, x.text) for x in out) == Counter(own(*x) for x in want)
+
+
 @pytest.mark.parametrize("most", [1_000_000, 100])
 def test_components_of_a_graph(spark, monkeypatch, most):
     monkeypatch.setattr(jaccard, "FOREST_EDGES", most)
