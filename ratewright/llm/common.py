@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one step of a Python function holds at once.
 CHUNK_BYTES = 4 << 20
 
-#: Rows up to which a counted side may be broadcast; beyond it the callers shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a measured side may be broadcast; beyond them the callers shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,9 +40,22 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def footprint(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of `df`, in one aggregation: 8 bytes for a number, its own for a text or binary, those as JSON for the rest."""
+    plain = {"binary", "string"}
+    of = lambda f: F.octet_length(f.name) if f.dataType.typeName() in plain else F.octet_length(F.to_json(F.struct(f.name))) if f.dataType.typeName() in {"array", "map", "struct"} else F.lit(8)
+    each = reduce(lambda a, b: a + b, (F.coalesce(of(f), F.lit(0)).cast("long") for f in df.schema.fields))
+    n, size = df.agg(F.count("*"), F.sum(each)).first()
+    return n, size or 0
+
+
 def maybe_broadcast(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if its counted rows stay within `most`; as it is otherwise, for a shuffled join."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
+    """`df` with a broadcast hint if it has at most `most` rows and BROADCAST_BYTES bytes; as it is otherwise, for a shuffled join.
+
+    `rows`: their number, if rows of bounded width were counted already.
+    """
+    n, size = footprint(df) if rows is None else (rows, 0)
+    return F.broadcast(df) if n <= most and size <= BROADCAST_BYTES else df
 
 
 def words_of(text: Column) -> Column:

@@ -5,28 +5,32 @@ Texts are sets of shingles; documents of equal sets form a class, and classes ar
 1. Each class shows a prefix of its set: so many shingles that two sets within the threshold must share one. The
    order puts shingles that many texts hold last, then goes by hash; any order keeps the join whole.
 2. Shingles meet in buckets, as arrays. Classes that share one are linked to the least of them (as many rows as
-   classes), and those links are verified: what stays connects similar documents into groups. Two rounds with a
-   few other centers follow for what still lies apart.
-3. The matrix lists for each shingle the groups whose union of prefixes holds it. A class and a group of another
-   component that share fewer shingles than the threshold needs at least are dropped by that bound; the other
-   groups are opened, and the class compared with their members until a link is found.
+   classes), and those links are verified. Two rounds with a few other centers follow for what still lies apart.
+   Shingles of very many texts are dealt by class instead: each part has a least class, and those meet in turn.
+3. What is still open is partitioned into groups of some GROUP_MOST similar classes, linked or not: those that show
+   the same widely held shingle, or belong to one large component. The matrix lists the groups whose union of
+   prefixes holds a shingle. A class and a group that share fewer shingles than the threshold needs at least are
+   dropped by that bound, as is a group of the class's own component; the other groups are opened, and the class
+   compared with each member of another component.
 4. Components of all verified links. Every pair of classes that may be similar is either inside a component
    already or compared in step 3, so no link between two components is lost.
 
-Classes are known by 64 bits of their set. Comparisons use whole sets, made anew from the texts involved.
+Classes are known by 64 bits of their set; sets that agree in those only are told apart by 64 more and renamed.
+Comparisons use whole sets. Those of open classes are made once, and kept by class.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratewright.llm.common import collected, cut, hashed64, maybe_broadcast, slices
+from ratewright.llm.common import collected, cut, each_slice, hashed64, maybe_broadcast, slices
 
 #: Words of a shingle, and the threshold as a fraction.
 SHINGLE, SIMILAR = 5, (3, 4)
@@ -35,6 +39,12 @@ SHINGLE, SIMILAR = 5, (3, 4)
 #: group; classes that are compared with one group in one task.
 COMMON_MOST, BUCKET_TOKENS, GROUP_MOST, OPENED_MOST = 300_000, 1_000_000, 64, 128
 
+#: Texts that hold a shingle from which it is dealt by class, not by itself.
+HOT_HELD = 20_000
+
+#: Sets that agree in 64 bits only, at most: some three are expected among 10^10.
+RENAMED_MOST = 100_000
+
 #: Further rounds of stars, and classes that a class is compared with in each.
 STAR_ROUNDS, STAR_CENTERS = 2, 4
 
@@ -84,9 +94,24 @@ def shingle_sets(texts: list[str | None], hashes: Hashes, k: int = SHINGLE) -> l
     return out
 
 
-def class_key(own: np.ndarray) -> int:
-    """64 bits of a set, signed: a sum of its re-hashed members, so independent of order."""
-    return int((hashed64(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + np.uint64(own.size)).astype(np.int64))
+def set_keys(own: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Twice 64 bits of a set, signed: sums over its re-hashed members, so independent of order. `bits`: of the first."""
+    h = hashed64(own ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    more = hashed64(h ^ np.uint64(0x5851F42D4C957F2D))
+    first = (h.sum(dtype=np.uint64) + np.uint64(own.size)) >> np.uint64(64 - bits)
+    return int(first.astype(np.int64)), int(more.sum(dtype=np.uint64).astype(np.int64))
+
+
+@dataclass(frozen=True)
+class Naming:
+    """How a set is named: by its first key, or by another number if a different set has that key too."""
+
+    bits: int = 64
+    renamed: dict[tuple[int, int], int] = field(default_factory=dict)
+
+    def __call__(self, own: np.ndarray) -> int:
+        keys = set_keys(own, self.bits)
+        return self.renamed.get(keys, keys[0])
 
 
 def prefix_size(n: int) -> int:
@@ -95,31 +120,31 @@ def prefix_size(n: int) -> int:
     return n - -(-n * a // b) + 1
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, cls) of the documents, and rows (token, held) of shingles that several texts of a worker hold."""
+def classes(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """Rows (doc_id, mark, n, cls, more) of the documents, and rows (token, held) of shingles that several texts of a worker
+    hold. mark: a hash of the text, by which rows without an id are found again."""
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = Hashes(), [], 0
+        hashes, held, size, id_type = Hashes(), [], 0, pa.null()
+        names = ["doc_id", "mark", "n", "cls", "more", "token", "held"]
 
-        def common() -> pa.RecordBatch | None:
+        def common() -> pa.RecordBatch:
             token = np.sort(np.concatenate(held))
             held.clear()
             first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if token.size else np.zeros(0, dtype=np.int64)
             n = np.diff(np.r_[first, token.size])
             often = n >= 3
-            return row_batch(None, None, None, token[first][often].astype(np.int64), n[often])
-
-        def row_batch(doc_id, n, cls, token, times) -> pa.RecordBatch:  # noqa: ANN001
-            size = len(n) if n is not None else len(token)
-            of = lambda v, t: pa.nulls(size, t) if v is None else v if isinstance(v, pa.Array) else pa.array(v, type=t)
-            return pa.RecordBatch.from_arrays([of(doc_id, id_type), of(n, pa.int64()), of(cls, pa.int64()), of(token, pa.int64()), of(times, pa.int64())], names=["doc_id", "n", "cls", "token", "held"])
+            m = int(often.sum())
+            return pa.RecordBatch.from_arrays([pa.nulls(m, id_type), *[pa.nulls(m, pa.int64())] * 4, pa.array(token[first][often].astype(np.int64)), pa.array(n[often].astype(np.int64))], names=names)
 
         for batch in batches:
             id_type = batch.schema.field(0).type
             for part in slices(batch):
                 sets = shingle_sets(part.column(1).to_pylist(), hashes)
-                yield row_batch(part.column(0), [s.size for s in sets], [class_key(s) if s.size else None for s in sets], None, None)
+                keys = [set_keys(s, bits) if s.size else (None, None) for s in sets]
+                none = pa.nulls(part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([s.size for s in sets], type=pa.int64()), *(pa.array(c, type=pa.int64()) for c in zip(*keys, strict=True)), none, none], names=names)
                 held += sets
                 size += sum(s.size for s in sets)
                 if size > GATHER_TOKENS:
@@ -128,11 +153,30 @@ def classes(docs: DataFrame) -> DataFrame:
         if size:
             yield common()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, n long, cls long, token long, held long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, f"doc_id {kind.simpleString()}, mark long, n long, cls long, more long, token long, held long")
+
+
+def told_apart(rows: DataFrame, bits: int) -> tuple[DataFrame, Naming]:
+    """`rows` with one class for each distinct set, and how sets are named."""
+    twice = rows.groupBy("cls").agg(F.min("more").alias("a"), F.max("more").alias("b")).filter("a <> b").select("cls")
+    pairs = rows.select("cls", "more").join(twice, "cls", "left_semi").distinct().limit(RENAMED_MOST + 1).collect()
+    if len(pairs) > RENAMED_MOST:
+        raise ValueError(f"more than {RENAMED_MOST} different sets agree in {bits} bits")
+    if not pairs:
+        return rows.drop("more"), Naming(bits)
+    import xxhash
 
+    names = [(c, m, xxhash.xxh64_intdigest(f"{c} {m}") - 2**63) for c, m in pairs]
+    named = rows.sparkSession.createDataFrame(names, "cls long, more long, named long")
+    rows = rows.join(F.broadcast(named), ["cls", "more"], "left").withColumn("cls", F.coalesce("named", "cls")).drop("more", "named")
+    return rows, Naming(bits, {(c, m): to for c, m, to in names})
 
-def common_tokens(found: DataFrame, most: int) -> np.ndarray:
-    """The shingles that most texts hold, at most `most` of them: their number is bounded, the join doesn't depend on it."""
+
+def common_tokens(found: DataFrame, most: int, hot_held: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(the shingles that most texts hold, at most `most` of them; those held by `hot_held` texts or more, and how often in all).
+
+    Their number is bounded; the join doesn't depend on it.
+    """
     tokens = cut(found.filter(F.col("token").isNotNull()).groupBy("token").agg(F.sum("held").alias("held")), "jaccard-common")
     step = F.floor(F.log2("held") * 4).cast("int")
     total, least = 0, None
@@ -141,22 +185,28 @@ def common_tokens(found: DataFrame, most: int) -> np.ndarray:
             break
         total, least = total + n, s
     if least is None:
-        return np.zeros(0, dtype=np.uint64)
-    return np.sort(collected(tokens.filter(step >= least).select("token")).column("token").to_numpy().astype(np.uint64))
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), 0
+    table = collected(tokens.filter(step >= least).select("token", "held"))
+    token, held = table.column("token").to_numpy().astype(np.uint64), table.column("held").to_numpy()
+    hot = held >= hot_held
+    return np.sort(token), np.sort(token[hot]), int(held[hot].sum())
 
 
-def bucketed_prefixes(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, tokens, cls, n, count): of each slice of texts, what falls into each bucket, as packed arrays."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def bucketed_prefixes(docs: DataFrame, common: np.ndarray, hot: np.ndarray, buckets: int, hot_buckets: int, name: Naming) -> DataFrame:
+    """(bucket, tokens, cls, n, count): of each slice of texts, what falls into each bucket, as packed arrays.
+
+    Shingles of `hot` are known by their place there and go to one of `hot_buckets` further buckets, by class.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((common, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last = Hashes(), shared.value
+        hashes, (last, widely) = Hashes(), shared.value
         for batch in batches:
             for part in slices(batch):
                 tokens, owner, cls, size = [], [], [], []
                 seen: set[int] = set()
                 for own in shingle_sets(part.column(0).to_pylist(), hashes):
-                    if not own.size or (c := class_key(own)) in seen:
+                    if not own.size or (c := name(own)) in seen:
                         continue
                     seen.add(c)
                     p = prefix_size(own.size)
@@ -174,9 +224,14 @@ def bucketed_prefixes(docs: DataFrame, common: np.ndarray, buckets: int) -> Data
                     continue
                 token, of = np.concatenate(tokens), np.concatenate(owner)
                 c, n = np.array(cls, dtype=np.int64), np.array(size, dtype=np.int32)
-                bucket = (token % np.uint64(buckets)).astype(np.int64)
+                bucket, low = (token % np.uint64(buckets)).astype(np.int64), token // np.uint64(buckets)
+                if widely.size:
+                    place = np.minimum(np.searchsorted(widely, token), widely.size - 1)
+                    wide = widely[place] == token
+                    bucket[wide] = buckets + hashed64(c.view(np.uint64)[of[wide]] + np.uint64(1)).astype(np.uint64) % np.uint64(hot_buckets)
+                    low[wide] = place[wide]
                 order = np.lexsort((of, bucket))
-                token, of, bucket = (token[order] // np.uint64(buckets)).astype(np.uint64), of[order], bucket[order]
+                token, of, bucket = low[order], of[order], bucket[order]
                 edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
                 rows = []
                 for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -190,9 +245,13 @@ def bucketed_prefixes(docs: DataFrame, common: np.ndarray, buckets: int) -> Data
     return docs.select("text").mapInArrow(run, "bucket int, tokens binary, cls binary, n binary, count binary")
 
 
-def shared_tokens(prefixes: DataFrame, parts: int) -> DataFrame:
+def shared_tokens(prefixes: DataFrame, buckets: int, parts: int) -> DataFrame:
     """Rows (token, cls, n) of prefix shingles that two classes or more show, and rows (cls, n, least, least_n, share) that
-    count how many of them a class has in common with the least class of each."""
+    count how many of them a class has in common with the least class of each.
+
+    Buckets from `buckets` on hold a part of the classes of widely held shingles: all of these are given, and rows
+    (token, least, least_n) besides, by which the parts are brought together.
+    """
 
     def one_bucket(bucket: int, rows: list[tuple[bytes, bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         token = np.concatenate([np.frombuffer(r[0], dtype=np.uint32) for r in rows])
@@ -205,17 +264,22 @@ def shared_tokens(prefixes: DataFrame, parts: int) -> DataFrame:
         token, cls, n = token[new], cls[new], n[new]
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         length = np.diff(np.r_[first, token.size])
-        keep = np.repeat(length > 1, length)
+        keep = np.repeat((length > 1) | (bucket >= buckets), length)
         least = np.repeat(first, length)[keep]
         token, cls_k, n_k, least_cls, least_n = token[keep], cls[keep], n[keep], cls[least], n[least]
         if not token.size:
             return
-        yield from batches_of([token.astype(np.int64) + (np.int64(bucket) << 32), cls_k, n_k.astype(np.int64), None, None, None])
+        yield from batches_of([token.astype(np.int64) + (np.int64(min(bucket, buckets)) << 32), cls_k, n_k.astype(np.int64), None, None, None])
+        if bucket >= buckets:
+            own = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            yield from batches_of([token[own].astype(np.int64) + (np.int64(buckets) << 32), None, None, least_cls[own], least_n[own].astype(np.int64), None])
         apart = cls_k != least_cls
         a, na, b, nb = cls_k[apart], n_k[apart], least_cls[apart], least_n[apart]
         order = np.lexsort((b, a))
         a, na, b, nb = a[order], na[order], b[order], nb[order]
         first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        if not a.size:
+            return
         share = np.diff(np.r_[first, a.size])
         yield from batches_of([None, a[first], na[first].astype(np.int64), b[first], nb[first].astype(np.int64), share])
 
@@ -256,49 +320,80 @@ def may_reach(share: Column, a: Column, b: Column) -> Column:
     return (share + F.greatest(rest(a), rest(b))) * (x + y) >= (a + b) * x
 
 
-def verify(docs: DataFrame, reps: DataFrame, opened: DataFrame) -> DataFrame:
-    """(a, b): links found between groups and the classes that opened them.
+def sets_of(docs: DataFrame, wanted: DataFrame, name: Naming) -> DataFrame:
+    """(cls, tokens): the whole set of each class of `wanted` (cls, doc_id, mark), packed. A text is read by its id, or
+    by its mark where a class has no row with an id."""
+    wanted = cut(wanted, "jaccard-wanted")
+    rows = docs.select("doc_id", "text").join(maybe_broadcast(wanted.filter("doc_id is not null").select("doc_id", "cls")), "doc_id").select("cls", "text")
+    nameless = wanted.filter("doc_id is null").select("mark", "cls")
+    if not nameless.isEmpty():
+        once = docs.filter("doc_id is null").select(F.xxhash64("text").alias("mark"), "text").dropDuplicates(["mark"])
+        rows = rows.unionByName(once.join(maybe_broadcast(nameless), "mark").select("cls", "text"))
+
+    def start() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        hashes = Hashes()
+
+        def packed(part: pa.RecordBatch) -> pa.RecordBatch:
+            sets = zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), hashes), strict=True)
+            found = {c: s.tobytes() for c, s in sets if s.size and name(s) == c}  # else another row of the same id
+            return pa.RecordBatch.from_arrays([pa.array(found, type=pa.int64()), pa.array(found.values(), type=pa.binary())], names=["cls", "tokens"])
+
+        return each_slice(packed)
+
+    return cut(rows.select("cls", "text").mapInArrow(lambda batches: start()(batches), "cls long, tokens binary").dropDuplicates(["cls"]), "jaccard-sets")
+
+
+def verify(sets: DataFrame, opened: DataFrame) -> DataFrame:
+    """(a, b): links found between the members of groups and the classes that opened them.
 
-    opened: rows (grp, part, cls, query): members of a group, repeated for each part, and the queries of the part.
-    Members of a group are of one component, so a query needs one link to it. No part has more than GROUP_MOST
-    members and about OPENED_MOST queries, whatever the size of a component.
+    opened: rows (grp, part, cls, comp, query): members of a group, repeated for each part, and the queries of the
+    part. A query needs one link to each other component. No part has more than some GROUP_MOST members and
+    OPENED_MOST queries, whatever the size of a component or of a family of near copies.
     """
-    wanted = opened.join(reps, "cls").select("grp", "part", "cls", "query", "doc_id")
-    wanted = cut(wanted, "jaccard-opened")
-    n = wanted.count()
-    # a document's text is sent to each part that it takes part in; texts of all others stay where they are
-    rows = docs.select("doc_id", "text").join(maybe_broadcast(wanted, n), "doc_id")
-    parts = max(1, min(n // 100 + 1, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    placed = rows.repartition(parts, "grp", "part").sortWithinPartitions("grp", "part", F.col("query").asc(), "cls")
+    placed = opened.join(sets, "cls").select("grp", "part", "query", "cls", "comp", "tokens")
+    parts = max(1, min(opened.count() // 100 + 1, 4 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    placed = placed.repartition(parts, "grp", "part").sortWithinPartitions("grp", "part", F.col("query").asc(), "cls")
+    x, y = SIMILAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, at, members = Hashes(), None, []
-        x, y = SIMILAR
+        at, members = None, []
         for batch in batches:
-            for part in slices(batch):
-                found: list[tuple[int, int]] = []
-                sets = shingle_sets(part.column(part.schema.get_field_index("text")).to_pylist(), hashes)
-                for grp, p, cls, query, own in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("grp", "part", "cls", "query")), sets, strict=True):
-                    if not own.size or class_key(own) != cls:
-                        continue  # another row of the same id
-                    if at != (grp, p):
-                        at, members = (grp, p), []
-                    if not query:
-                        if all(c != cls for c, _ in members):
-                            members.append((cls, own))
+            found: list[tuple[int, int]] = []
+            for grp, p, query, cls, comp, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(tokens, dtype=np.uint64)
+                if at != (grp, p):
+                    at, members = (grp, p), []
+                if not query:
+                    members.append((cls, comp, own))
+                    continue
+                linked = {comp}
+                for c, other_comp, other in members:
+                    if other_comp in linked or min(own.size, other.size) * y < max(own.size, other.size) * x:
                         continue
-                    for c, other in members:
-                        if min(own.size, other.size) * y < max(own.size, other.size) * x:
-                            continue
-                        both = np.intersect1d(own, other, assume_unique=True).size
-                        if both * y >= (own.size + other.size - both) * x:
-                            found.append((cls, c))
-                            break
-                if found:
-                    a, b = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
+                    if own.size < other.size:
+                        at_ = np.searchsorted(other, own)
+                        both = int((other[np.minimum(at_, other.size - 1)] == own).sum())
+                    else:
+                        at_ = np.searchsorted(own, other)
+                        both = int((own[np.minimum(at_, own.size - 1)] == other).sum())
+                    if both * y >= (own.size + other.size - both) * x:
+                        found.append((cls, c))
+                        linked.add(other_comp)
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
+
+    return placed.mapInArrow(run, "a long, b long").distinct()
+
 
-    return placed.select("grp", "part", "cls", "query", "text").mapInArrow(run, "a long, b long").distinct()
+def dealt(queries: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Rows (grp, part, cls, comp, query) for `verify` from queries (grp, cls, comp) and members (grp, cls, comp), if other
+    than the class that a group is named by. A group with many queries is repeated in several parts."""
+    parts = cut(queries.groupBy("grp").agg(F.ceil(F.count("*") / OPENED_MOST).alias("parts")), "jaccard-parts")
+    asked = queries.join(maybe_broadcast(parts), "grp").select("grp", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part"), "cls", "comp", F.lit(True).alias("query"))
+    members = parts.select("grp", F.col("grp").alias("cls"), F.col("grp").alias("comp"), "parts") if members is None else members.join(maybe_broadcast(parts), "grp")
+    spread = members.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "cls", "comp", F.lit(False).alias("query"))
+    return cut(asked.unionByName(spread), "jaccard-opened")
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,71 +454,95 @@ def stars_again(open_: DataFrame, attempt: int) -> DataFrame:
     who = F.struct("cls", "n", "comp")
     centers = open_.groupBy("token").agg(F.array_distinct(F.array(*(F.min_by(who, F.xxhash64("cls", F.lit(17 * attempt + k))) for k in range(STAR_CENTERS)))).alias("centers"))
     met = open_.join(centers, "token").select("cls", "n", "comp", F.explode("centers").alias("c")).filter((F.col("c.comp") != F.col("comp")) & similar_sizes(F.col("n"), F.col("c.n")))
-    share = met.groupBy("cls", F.col("c.cls").alias("grp")).agg(F.count("*").alias("share"), F.max("n").alias("n"), F.max("c.n").alias("m"))
+    share = met.groupBy("cls", "comp", F.col("c.cls").alias("grp")).agg(F.count("*").alias("share"), F.max("n").alias("n"), F.max("c.n").alias("m"))
     # a center is drawn for most of what it has in common with a near copy; others aren't worth a try
     share = share.filter(may_reach(F.col("share"), F.col("n"), F.col("m")))
-    best = share.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list(F.struct("share", "grp")), asc=False), 1, STAR_CENTERS).alias("best"))
-    return cut(best.select("cls", F.explode("best.grp").alias("grp")), "jaccard-stars")
+    best = share.groupBy("cls", "comp").agg(F.slice(F.sort_array(F.collect_list(F.struct("share", "grp")), asc=False), 1, STAR_CENTERS).alias("best"))
+    return cut(best.select("cls", "comp", F.explode("best.grp").alias("grp")), "jaccard-stars")
 
 
-def join_components(docs: DataFrame, common_most: int = COMMON_MOST, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+def grouped(open_: DataFrame) -> DataFrame:
+    """`open_` with the group of each class, and whether it is of one large component.
+
+    A group has some GROUP_MOST similar classes at most: of one component if that has more of them, else of those that
+    show the same shingle, which is the one of their own that most classes show. Which classes are together
+    changes the work only.
+    """
+    held = open_.groupBy("token").agg(F.count("*").alias("held"))
+    home = open_.join(held, "token").groupBy("cls").agg(F.max("comp").alias("comp"), F.max_by("token", F.struct("held", "token")).alias("home"))
+    large = home.groupBy("comp").agg(F.count("*").alias("size")).filter(F.col("size") > GROUP_MOST).select("comp", F.lit(True).alias("large"))
+    home = home.join(maybe_broadcast(cut(large, "jaccard-large")), "comp", "left").select("cls", F.col("large").isNotNull().alias("large"), F.when(F.col("large").isNull(), F.col("home")).otherwise(F.col("comp")).alias("family"))
+    home = cut(home, "jaccard-home")
+    many = home.groupBy("large", "family").agg(F.ceil(F.count("*") / GROUP_MOST).alias("groups"))
+    home = home.join(maybe_broadcast(cut(many, "jaccard-many")), ["large", "family"]).select("cls", "large", F.xxhash64("large", "family", F.pmod(F.xxhash64("cls", F.lit(1)), "groups")).alias("grp"))
+    return cut(open_.join(home, "cls"), "jaccard-open")
+
+
+def qualifying(open_: DataFrame) -> DataFrame:
+    """(cls, comp, grp): the groups that a class must be compared with, by the matrix of shingles and groups.
+
+    Of two groups the lesser asks the other, and those of large components come last: they are asked, and ask only
+    each other. A shingle counts if a class of another component shows it in the group.
+    """
+    matrix = open_.groupBy("token", "grp", "large").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c_low"), F.max("comp").alias("c_high"))
+    q, g = (lambda c: F.col(f"q.{c}")), (lambda c: F.col(f"g.{c}"))
+    x, y = SIMILAR
+    later = (q("large") < g("large")) | ((q("large") == g("large")) & (q("grp") <= g("grp")))
+    other = (g("c_low") != q("comp")) | (g("c_high") != q("comp"))
+    meet = open_.alias("q").join(matrix.alias("g"), (q("token") == g("token")) & later & other & (q("n") * x <= g("high") * y) & (g("low") * x <= q("n") * y))
+    bound = meet.groupBy("q.cls", "q.comp", "g.grp").agg(F.count("*").alias("share"), F.max("q.n").alias("n"), F.min("g.low").alias("low"), F.max("g.high").alias("high"))
+    # the size inside the group's range that needs the fewest common shingles: the ends of what is similar to the query
+    # (at the upper end, one shingle less may do for a size just below it, as prefixes are whole numbers)
+    ends = [F.greatest(F.col("low"), F.ceil(F.col("n") * x / y)), F.least(F.col("high"), F.floor(F.col("n") * y / x))]
+    return cut(bound.filter(may_reach(F.col("share"), F.col("n"), ends[0]) | may_reach(F.col("share") + 1, F.col("n"), ends[1])).select("cls", "comp", "grp"), "jaccard-bound")
+
+
+def join_components(docs: DataFrame, common_most: int = COMMON_MOST, bucket_tokens: int = BUCKET_TOKENS, hot_held: int = HOT_HELD, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of `docs` (doc_id, text), at 5-word shingles and Jaccard 3/4 or more.
 
     Texts without words, null ones too, have no shingles and are alone: their component is their own id. Copies
-    share a class; repeated rows each give a row. component_id is the least id that links reach (rows
-    without an id are linked with their copies only, and get those' component). An empty table gives no rows; further
-    columns are ignored. The links are those of all pairs within the threshold; none is sampled or capped.
+    share a class; repeated rows each give a row. component_id is the least id that links reach; null if no
+    row that they reach has an id. An empty table gives no rows; further columns are ignored. The links are those
+    of all pairs within the threshold; none is sampled or capped.
     """
-    found = cut(classes(docs), "jaccard-classes")
-    rows = found.filter(F.col("n").isNotNull()).select("doc_id", "n", "cls")
-    common = common_tokens(found, common_most)
-    reps = cut(rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "jaccard-reps")
+    found = cut(classes(docs, bits), "jaccard-classes")
+    rows, name = told_apart(found.filter(F.col("n").isNotNull()).select("doc_id", "mark", "n", "cls", "more"), bits)
+    common, hot, hot_rows = common_tokens(found, common_most, hot_held)
+    reps = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("mark").alias("mark"), F.max("n").alias("n"))
+    reps = cut(reps, "jaccard-reps")
     shown = reps.agg(F.sum(F.col("n") - F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]) + 1)).first()[0] or 0
-    buckets = max(2, math.ceil(shown / bucket_tokens))
-    met = cut(shared_tokens(bucketed_prefixes(docs, common, buckets), min(buckets, 20_000)), "jaccard-met")
-    shared = met.filter(F.col("token").isNotNull()).select("token", "cls", "n")
-    # groups: classes that are similar to the least class they meet most of
-    stars = met.filter(F.col("token").isNull()).groupBy("cls", "least").agg(F.sum("share").alias("share"), F.max("n").alias("n"), F.max("least_n").alias("m"))
+    buckets, hot_buckets = max(2, math.ceil(shown / bucket_tokens)), max(1, math.ceil(hot_rows / bucket_tokens))
+    met = cut(shared_tokens(bucketed_prefixes(docs, common, hot, buckets, hot_buckets, name), buckets, min(buckets + hot_buckets, 20_000)), "jaccard-met")
+    shared = met.filter(F.col("token").isNotNull() & F.col("cls").isNotNull()).select("token", "cls", "n")
+    # stars: each class with the least class that it meets most of
+    stars = met.filter(F.col("token").isNull()).select("cls", "n", "least", "least_n", "share")
+    if hot.size:
+        ends = met.filter(F.col("cls").isNull()).select("token", F.col("least").alias("cls"), F.col("least_n").alias("n"))
+        first = ends.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("first"))
+        stars = stars.unionByName(ends.join(first, "token").filter(F.col("cls") != F.col("first.cls")).select("cls", "n", F.col("first.cls").alias("least"), F.col("first.n").alias("least_n"), F.lit(1).cast("long").alias("share")))
+    stars = stars.groupBy("cls", "least").agg(F.sum("share").alias("share"), F.max("n").alias("n"), F.max("least_n").alias("m"))
     stars = stars.filter(similar_sizes(F.col("n"), F.col("m")) & may_reach(F.col("share"), F.col("n"), F.col("m")))
-    best = cut(stars.groupBy("cls").agg(F.max_by("least", F.struct("share", "least")).alias("least")), "jaccard-stars")
-    sizes = best.groupBy(F.col("least").alias("grp")).agg(F.ceil(F.count("*") / OPENED_MOST).alias("parts"))
-    part_of = lambda c: F.pmod(F.xxhash64(c), F.col("parts"))
-    sizes = cut(sizes, "jaccard-sizes")
-    query = best.withColumnRenamed("least", "grp").join(maybe_broadcast(sizes), "grp").select("grp", part_of("cls").alias("part"), "cls", F.lit(True).alias("query"))
-    member = sizes.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("grp").alias("cls"), F.lit(False).alias("query"))
-    ids = reps.select("cls", "doc_id")
-    links = cut(verify(docs, ids, query.unionByName(member)), "jaccard-links")
+    best = cut(stars.groupBy("cls").agg(F.max_by("least", F.struct("share", "least")).alias("grp")).withColumn("comp", F.col("cls")), "jaccard-stars")
+    taking_part = best.select("cls").unionByName(best.select(F.col("grp").alias("cls"))).distinct()
+    links = cut(verify(sets_of(docs, reps.join(taking_part, "cls", "left_semi").drop("n"), name), dealt(best)), "jaccard-links")
     roots = cut(components(links), "jaccard-roots")
     open_ = apart(shared, roots)
-    for attempt in range(STAR_ROUNDS):
+    sets = None
+    for attempt in range(STAR_ROUNDS + 1):
         if open_.isEmpty():
             break
-        tried = stars_again(open_, attempt)
-        parts = cut(tried.groupBy("grp").agg(F.ceil(F.count("*") / OPENED_MOST).alias("parts")), "jaccard-parts")
-        query = tried.join(maybe_broadcast(parts), "grp").select("grp", part_of("cls").alias("part"), "cls", F.lit(True).alias("query"))
-        member = parts.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("grp").alias("cls"), F.lit(False).alias("query"))
-        links = cut(links.unionByName(verify(docs, ids, query.unionByName(member))), "jaccard-links")
+        if sets is None:  # what is open later is open now
+            sets = sets_of(docs, reps.join(open_.select("cls").distinct(), "cls", "left_semi").drop("n"), name)
+        if attempt < STAR_ROUNDS:
+            opened = dealt(stars_again(open_, attempt))
+        else:
+            open_ = grouped(open_)
+            opened = dealt(qualifying(open_), open_.select("grp", "cls", "comp").distinct())
+        more = cut(verify(sets, opened), "jaccard-links")
+        links = links.unionByName(more)
         roots = cut(components(links), "jaccard-roots")
-        open_ = apart(shared, roots)
-    # the matrix of shingles and groups, for shingles that more than one component shows
-    many = cut(open_.select("comp", "cls").distinct().groupBy("comp").agg(F.ceil(F.count("*") / GROUP_MOST).alias("groups")).filter("groups > 1"), "jaccard-many")
-    open_ = open_.join(maybe_broadcast(many), "comp", "left").withColumn("grp", F.when(F.col("groups").isNull(), F.col("comp")).otherwise(F.xxhash64("comp", F.pmod(F.xxhash64("cls", F.lit(1)), "groups")))).drop("groups")
-    open_ = cut(open_, "jaccard-open")
-    matrix = open_.groupBy("token", "comp", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    meet = open_.alias("q").join(matrix.alias("g"), (F.col("q.token") == F.col("g.token")) & (F.col("q.comp") > F.col("g.comp")) & (F.col("q.n") * SIMILAR[0] <= F.col("g.high") * SIMILAR[1]) & (F.col("g.low") * SIMILAR[0] <= F.col("q.n") * SIMILAR[1]))
-    bound = meet.groupBy("q.cls", "g.grp").agg(F.count("*").alias("share"), F.max("q.n").alias("n"), F.min("g.low").alias("low"), F.max("g.high").alias("high"))
-    # the size inside the group's range that needs the fewest common shingles: the ends of what is similar to the query
-    # (at the upper end, one shingle less may do for a size just below it, as prefixes are whole numbers)
-    x, y = SIMILAR
-    ends = [F.greatest(F.col("low"), F.ceil(F.col("n") * x / y)), F.least(F.col("high"), F.floor(F.col("n") * y / x))]
-    bound = cut(bound.filter(may_reach(F.col("share"), F.col("n"), ends[0]) | may_reach(F.col("share") + 1, F.col("n"), ends[1])).select("cls", "grp"), "jaccard-bound")
-    if not bound.isEmpty():
-        parts = cut(bound.groupBy("grp").agg(F.ceil(F.count("*") / OPENED_MOST).alias("parts")), "jaccard-parts")
-        query = bound.join(maybe_broadcast(parts), "grp").select("grp", part_of("cls").alias("part"), "cls", F.lit(True).alias("query"))
-        members = open_.select("grp", "cls").distinct().join(maybe_broadcast(parts), "grp").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "cls", F.lit(False).alias("query"))
-        more = cut(verify(docs, ids, query.unionByName(members)), "jaccard-links")
-        if not more.isEmpty():
-            roots = cut(components(links.unionByName(more)), "jaccard-roots")
+        if attempt < STAR_ROUNDS:
+            open_ = apart(shared, roots)
     # the least id of each component, by class
     by_class = reps.select("cls", "doc_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = by_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))

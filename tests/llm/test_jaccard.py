@@ -48,15 +48,48 @@ def drifted(seed, chains=6, length=9):
     return data
 
 
-@pytest.mark.parametrize(("seed", "common", "bucket", "group"), [(1, 300_000, 1_000_000, 64), (2, 0, 500, 3), (3, 50, 2000, 1)])
-def test_components(spark, monkeypatch, seed, common, bucket, group):
+@pytest.mark.parametrize(
+    ("seed", "common", "bucket", "group", "rounds", "hot", "bits"), [(1, 300_000, 1_000_000, 64, 2, 20_000, 64), (2, 0, 500, 3, 2, 20_000, 64), (3, 50, 2000, 1, 0, 3, 64), (4, 300_000, 300, 5, 0, 3, 5)]
+)
+def test_components(spark, monkeypatch, seed, common, bucket, group, rounds, hot, bits):
     monkeypatch.setattr(jaccard, "GROUP_MOST", group)
     monkeypatch.setattr(jaccard, "OPENED_MOST", 7)
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", rounds)
     data = drifted(seed)
-    found = jaccard.join_components(cases.table(spark, data), common_most=common, bucket_tokens=bucket).collect()
+    # near copies of a text without an id, and a chain that only such a row connects
+    r = random.Random(seed)
+    w = cases.prose(r, 40).split()
+    data += [(9000, " ".join(w)), (None, " ".join([*w, *["p q r s"] * 3])), (9001, " ".join([*w[4:], *["p q r s"] * 3])), (None, " ".join([*w, "t"]))]
+    data = [(*x, None, None, None)[:5] for x in data]
+    found = jaccard.join_components(cases.table(spark, data), common_most=common, bucket_tokens=bucket, hot_held=hot, bits=bits).collect()
     assert Counter(map(tuple, found)) == brute(data)
 
 
+def family(seed, size, edits):
+    """Near copies of one text, of which many are further than the threshold from each other."""
+    r = random.Random(seed)
+    base, out = cases.prose(r, 120).split(), []
+    for k in range(size):
+        w = list(base)
+        for _ in range(edits):
+            w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+        out.append((k, " ".join(w), "en", "s1", 1))
+    return out
+
+
+def test_matrix_of_a_family(spark):
+    """Rows of the matrix join: a class meets groups of similar classes, not each class."""
+    n, group = 300, jaccard.GROUP_MOST
+    cls = [(t, c, 100, c) for c in range(n) for t in range(20) if t < 2 or (c * 7 + t) % 3]
+    open_ = jaccard.grouped(spark.createDataFrame(cls, "token long, cls long, n long, comp long"))
+    groups = {r[0]: r[1] for r in open_.select("grp", "cls").distinct().groupBy("grp").count().collect()}
+    assert len(groups) == -(-n // group)
+    asked = jaccard.qualifying(open_)
+    assert asked.count() <= n * (len(groups) + 1) and asked.select("cls").distinct().count() == n
+    data = family(3, 200, 4)
+    assert Counter(map(tuple, jaccard.join_components(cases.table(spark, data)).collect())) == brute(data)
+
+
 def test_empty(spark):
     assert jaccard.join_components(cases.empty(spark)).count() == 0
     only = [(1, None, None, None, None), (2, "", None, None, 0)]
