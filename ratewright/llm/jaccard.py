@@ -16,13 +16,13 @@ Texts are sets of shingles; documents of equal sets form a class, and classes ar
    already or compared in step 3, so no link between two components is lost.
 
 Classes are known by 64 bits of their set; sets that agree in those only are told apart by 64 more and renamed.
-Comparisons use whole sets. Those of open classes are made once, and kept by class.
+Comparisons use whole sets, which are made once for each class that is compared, and kept by class.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratewright.llm.common import collected, cut, each_slice, hashed64, maybe_broadcast, slices
+from ratewright.llm.common import collected, cut, hashed64, maybe_broadcast, slices
 
 #: Words of a shingle, and the threshold as a fraction.
 SHINGLE, SIMILAR = 5, (3, 4)
@@ -330,17 +330,17 @@ def sets_of(docs: DataFrame, wanted: DataFrame, name: Naming) -> DataFrame:
         once = docs.filter("doc_id is null").select(F.xxhash64("text").alias("mark"), "text").dropDuplicates(["mark"])
         rows = rows.unionByName(once.join(maybe_broadcast(nameless), "mark").select("cls", "text"))
 
-    def start() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
+        for batch in batches:
+            for part in slices(batch):
+                sets = zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), hashes), strict=True)
+                found = {c: s.tobytes() for c, s in sets if s.size and name(s) == c}  # else another row of the same id
+                yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.int64()), pa.array(found.values(), type=pa.binary())], names=["cls", "tokens"])
 
-        def packed(part: pa.RecordBatch) -> pa.RecordBatch:
-            sets = zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), hashes), strict=True)
-            found = {c: s.tobytes() for c, s in sets if s.size and name(s) == c}  # else another row of the same id
-            return pa.RecordBatch.from_arrays([pa.array(found, type=pa.int64()), pa.array(found.values(), type=pa.binary())], names=["cls", "tokens"])
-
-        return each_slice(packed)
-
-    return cut(rows.select("cls", "text").mapInArrow(lambda batches: start()(batches), "cls long, tokens binary").dropDuplicates(["cls"]), "jaccard-sets")
+    sets = cut(rows.mapInArrow(run, "cls long, tokens binary"), "jaccard-sets")
+    # repeated rows give a set more than once
+    return sets if sets.count() == wanted.count() else cut(sets.dropDuplicates(["cls"]), "jaccard-sets")
 
 
 def verify(sets: DataFrame, opened: DataFrame) -> DataFrame:
@@ -350,7 +350,7 @@ def verify(sets: DataFrame, opened: DataFrame) -> DataFrame:
     part. A query needs one link to each other component. No part has more than some GROUP_MOST members and
     OPENED_MOST queries, whatever the size of a component or of a family of near copies.
     """
-    placed = opened.join(sets, "cls").select("grp", "part", "query", "cls", "comp", "tokens")
+    placed = sets.join(maybe_broadcast(opened), "cls").select("grp", "part", "query", "cls", "comp", "tokens")
     parts = max(1, min(opened.count() // 100 + 1, 4 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     placed = placed.repartition(parts, "grp", "part").sortWithinPartitions("grp", "part", F.col("query").asc(), "cls")
     x, y = SIMILAR
@@ -523,23 +523,27 @@ def join_components(docs: DataFrame, common_most: int = COMMON_MOST, bucket_toke
     stars = stars.groupBy("cls", "least").agg(F.sum("share").alias("share"), F.max("n").alias("n"), F.max("least_n").alias("m"))
     stars = stars.filter(similar_sizes(F.col("n"), F.col("m")) & may_reach(F.col("share"), F.col("n"), F.col("m")))
     best = cut(stars.groupBy("cls").agg(F.max_by("least", F.struct("share", "least")).alias("grp")).withColumn("comp", F.col("cls")), "jaccard-stars")
-    taking_part = best.select("cls").unionByName(best.select(F.col("grp").alias("cls"))).distinct()
-    links = cut(verify(sets_of(docs, reps.join(taking_part, "cls", "left_semi").drop("n"), name), dealt(best)), "jaccard-links")
+    sets = docs.sparkSession.createDataFrame([], "cls long, tokens binary")
+
+    def linked(opened: DataFrame) -> DataFrame:
+        """Links of what is opened; sets that no round has asked for before are made first, and kept."""
+        nonlocal sets
+        lacking = reps.join(opened.select("cls").distinct(), "cls", "left_semi").join(sets.select("cls"), "cls", "left_anti")
+        sets = sets.unionByName(sets_of(docs, lacking.drop("n"), name))
+        return cut(verify(sets, opened), "jaccard-links")
+
+    links = linked(dealt(best))
     roots = cut(components(links), "jaccard-roots")
     open_ = apart(shared, roots)
-    sets = None
     for attempt in range(STAR_ROUNDS + 1):
         if open_.isEmpty():
             break
-        if sets is None:  # what is open later is open now
-            sets = sets_of(docs, reps.join(open_.select("cls").distinct(), "cls", "left_semi").drop("n"), name)
         if attempt < STAR_ROUNDS:
             opened = dealt(stars_again(open_, attempt))
         else:
             open_ = grouped(open_)
             opened = dealt(qualifying(open_), open_.select("grp", "cls", "comp").distinct())
-        more = cut(verify(sets, opened), "jaccard-links")
-        links = links.unionByName(more)
+        links = links.unionByName(linked(opened))
         roots = cut(components(links), "jaccard-roots")
         if attempt < STAR_ROUNDS:
             open_ = apart(shared, roots)
