@@ -11,7 +11,7 @@ Texts are sets of shingles; documents of equal sets form a class, and classes ar
    the same widely held shingle, or belong to one large component. The matrix lists the groups whose union of
    prefixes holds a shingle. A class and a group that share fewer shingles than the threshold needs at least are
    dropped by that bound, as is a group of the class's own component; the other groups are opened, and the class
-   compared with each member of another component.
+   compared with each member of another component: by what both show of their prefixes, and then as whole sets.
 4. Components of all verified links. Every pair of classes that may be similar is either inside a component
    already or compared in step 3, so no link between two components is lost.
 
@@ -94,12 +94,16 @@ def shingle_sets(texts: list[str | None], hashes: Hashes, k: int = SHINGLE) -> l
     return out
 
 
-def set_keys(own: np.ndarray, bits: int = 64) -> tuple[int, int]:
-    """Twice 64 bits of a set, signed: sums over its re-hashed members, so independent of order. `bits`: of the first."""
+def first_key(own: np.ndarray, bits: int = 64) -> tuple[int, np.ndarray]:
+    """(64 bits of a set, signed, or fewer, its re-hashed members): their sum, so independent of order."""
     h = hashed64(own ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    more = hashed64(h ^ np.uint64(0x5851F42D4C957F2D))
-    first = (h.sum(dtype=np.uint64) + np.uint64(own.size)) >> np.uint64(64 - bits)
-    return int(first.astype(np.int64)), int(more.sum(dtype=np.uint64).astype(np.int64))
+    return int(((h.sum(dtype=np.uint64) + np.uint64(own.size)) >> np.uint64(64 - bits)).astype(np.int64)), h
+
+
+def set_keys(own: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """The first key and 64 bits more, by which sets of equal first keys are told apart."""
+    key, h = first_key(own, bits)
+    return key, int(((h ^ (h >> np.uint64(29))) * np.uint64(0x5851F42D4C957F2D) ^ own).sum(dtype=np.uint64).astype(np.int64))
 
 
 @dataclass(frozen=True)
@@ -110,6 +114,8 @@ class Naming:
     renamed: dict[tuple[int, int], int] = field(default_factory=dict)
 
     def __call__(self, own: np.ndarray) -> int:
+        if not self.renamed:
+            return first_key(own, self.bits)[0]
         keys = set_keys(own, self.bits)
         return self.renamed.get(keys, keys[0])
 
@@ -497,6 +503,61 @@ def qualifying(open_: DataFrame) -> DataFrame:
     return cut(bound.filter(may_reach(F.col("share"), F.col("n"), ends[0]) | may_reach(F.col("share") + 1, F.col("n"), ends[1])).select("cls", "comp", "grp"), "jaccard-bound")
 
 
+def narrowed(open_: DataFrame, bound: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(queries, members), each (grp, cls, comp): of qualifying classes and groups what a pair of the two can need.
+
+    A group's union has more than any member shows. So groups are opened by their prefixes first, in tasks of one
+    group and some of its queries; whole sets are read for those only that a single pair may link.
+    """
+    shows = open_.groupBy("cls").agg(F.max("n").alias("n"), F.collect_list("token").alias("tokens"))
+    opened = dealt(bound, open_.select("grp", "cls", "comp").distinct())
+    rows = shows.join(maybe_broadcast(opened), "cls").select("grp", "part", "query", "cls", "comp", "n", "tokens")
+    parts = max(1, min(opened.count() // 1000 + 1, 4 * int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    placed = rows.repartition(parts, "grp", "part").sortWithinPartitions("grp", "part", F.col("query").asc(), "cls")
+    x, y = SIMILAR
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, members, found = None, [], []
+
+        def matrix() -> tuple[np.ndarray, ...]:
+            own = [m[3] for m in members]
+            token, of = np.concatenate(own), np.repeat(np.arange(len(own)), [t.size for t in own])
+            order = np.argsort(token, kind="stable")
+            return token[order], of[order], np.array([m[2] for m in members]), np.array([m[1] for m in members])
+
+        def give(kept: dict[int, tuple[int, int]] | None = None) -> Iterator[pa.RecordBatch]:
+            rows = found + [(at[0], *k, False) for k in (kept or {}).values()]
+            found.clear()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["grp", "cls", "comp", "query"])
+
+        table, kept = None, {}
+        for batch in batches:
+            for grp, part, query, cls, comp, n, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (grp, part):
+                    if at:
+                        yield from give(kept)
+                    at, members, table, kept = (grp, part), [], None, {}
+                own = np.array(tokens, dtype=np.int64)
+                if not query:
+                    members.append((cls, comp, n, own))
+                    continue
+                table = table or matrix()
+                token, of, sizes, comps = table
+                low, high = np.searchsorted(token, own, "left"), np.searchsorted(token, own, "right")
+                share = np.bincount(of[np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])], minlength=sizes.size)
+                rest = np.maximum(-(-sizes * x // y) - 1, -(-n * x // y) - 1)
+                able = (share > 0) & (comps != comp) & ((share + rest) * (x + y) >= (sizes + n) * x) & (np.minimum(sizes, n) * y >= np.maximum(sizes, n) * x)
+                if able.any():
+                    found.append((grp, cls, comp, True))
+                    kept.update((i, members[i][:2]) for i in np.flatnonzero(able).tolist() if i not in kept)
+        if at:
+            yield from give(kept)
+
+    some = cut(placed.mapInArrow(run, "grp long, cls long, comp long, query boolean").distinct(), "jaccard-narrowed")
+    return some.filter("query").drop("query"), some.filter("not query").drop("query")
+
+
 def join_components(docs: DataFrame, common_most: int = COMMON_MOST, bucket_tokens: int = BUCKET_TOKENS, hot_held: int = HOT_HELD, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of `docs` (doc_id, text), at 5-word shingles and Jaccard 3/4 or more.
 
@@ -542,7 +603,7 @@ def join_components(docs: DataFrame, common_most: int = COMMON_MOST, bucket_toke
             opened = dealt(stars_again(open_, attempt))
         else:
             open_ = grouped(open_)
-            opened = dealt(qualifying(open_), open_.select("grp", "cls", "comp").distinct())
+            opened = dealt(*narrowed(open_, qualifying(open_)))
         links = links.unionByName(linked(opened))
         roots = cut(components(links), "jaccard-roots")
         if attempt < STAR_ROUNDS:
