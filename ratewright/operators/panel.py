@@ -76,25 +76,32 @@ def enrichment(panel: DataFrame, year: int) -> DataFrame:
     return own.unionByName(out).select("comparison", "n_filers", "n_flagged", share.alias("flagged_share"), F.col("baseline").alias("baseline_rate"), ratio(share, F.col("baseline")).alias("enrichment_ratio"))
 
 
-def permutation_null(panel: DataFrame, times: int = 200, seed: int = 20260909) -> DataFrame:
+def permutation_null(panel: DataFrame, times: int = 200, seed: int = 20260909, margin: float = 6.0) -> DataFrame:
     """rep, odds_ratio of panels whose flags were dealt anew among each year's filers, as many as before.
 
     Only who is flagged moves: a filer is flagged in a round if its hash ranks within the year's number of flags.
     Rounds are independent hashes of the same rows; n00 follows from totals, so that of each round only filers
-    near the flagged share have to be looked at.
+    near the flagged share, within `margin` deviations of it, have to be ranked. Rounds and years that have too few
+    of those are counted first, and rank all their filers. A round without any flag gives a row too.
     """
-    pairs = paired(panel)
+    spark, pairs = panel.sparkSession, paired(panel)
     size = panel.groupBy("year").agg(F.count("*").alias("n"), F.sum("flag").alias("k"))
-    share = size.select("year", "n", "k", F.least(F.lit(1.0), F.col("k") / F.col("n") + 6 * F.sqrt((F.col("k") + 1.0) / (F.col("n") * F.col("n"))) + 10 / F.col("n")).alias("near"))
+    share = size.select("year", "n", "k", F.least(F.lit(1.0), F.col("k") / F.col("n") + margin * F.sqrt((F.col("k") + 1.0) / (F.col("n") * F.col("n")))).alias("near"))
+    rounds = spark.range(times).select(F.col("id").cast("int").alias("rep"))
     reps = F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("rep")
     # a uniform number of each filer and round; those far above the year's share can't be among the k least
     number = (F.xxhash64("establishment_id", "year", "rep", F.lit(seed)).bitwiseAND(2**53 - 1)).cast("double") / F.lit(float(2**53))
-    drawn = panel.join(F.broadcast(share), "year").select("establishment_id", "year", "k", "near", reps).withColumn("u", number).filter("u <= near")
+    every = panel.join(F.broadcast(share), "year").select("establishment_id", "year", "k", "near", reps).withColumn("u", number)
+    counted = every.groupBy("rep", "year").agg(F.max("k").alias("k"), F.count(F.when(F.col("u") <= F.col("near"), 1)).alias("left"))
+    short = [(r.rep, r.year) for r in counted.filter("left < k").select("rep", "year").collect()]  # at most a row for each round and year
+    all_of = F.concat_ws(":", "rep", "year").isin([f"{a}:{b}" for a, b in short]) if short else F.lit(False)
+    drawn = every.filter((F.col("u") <= F.col("near")) | all_of)
     order = Window.partitionBy("rep", "year").orderBy("u", "establishment_id")
     flagged = drawn.withColumn("place", F.row_number().over(order)).filter("place <= k").select("rep", "year", "establishment_id")
     totals = pairs.groupBy("year_from", "year_to").agg(F.count("*").alias("n"))
     at = flagged.join(pairs.select("establishment_id", F.col("year_from").alias("year"), "year_to"), ["establishment_id", "year"]).select("rep", "establishment_id", F.col("year").alias("year_from"), "year_to", F.lit(1).alias("x"), F.lit(0).alias("y"))
     to = flagged.join(pairs.select("establishment_id", "year_from", F.col("year_to").alias("year")), ["establishment_id", "year"]).select("rep", "establishment_id", "year_from", F.col("year").alias("year_to"), F.lit(0).alias("x"), F.lit(1).alias("y"))
     cells = at.unionByName(to).groupBy("rep", "establishment_id", "year_from", "year_to").agg(F.max("x").alias("x"), F.max("y").alias("y")).groupBy("rep").agg(F.sum(F.col("x") * F.col("y")).alias("n11"), F.sum(F.col("x") * (1 - F.col("y"))).alias("n10"), F.sum((1 - F.col("x")) * F.col("y")).alias("n01"))
-    n = totals.agg(F.sum("n").alias("n"))
+    cells = rounds.join(F.broadcast(cells), "rep", "left").fillna(0)
+    n = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     return cells.join(F.broadcast(n)).select("rep", odds_ratio(F.col("n11"), F.col("n10"), F.col("n01"), F.col("n") - F.col("n11") - F.col("n10") - F.col("n01")).alias("odds_ratio"))

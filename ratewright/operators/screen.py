@@ -1,11 +1,11 @@
-"""The plausibility screen: six flags and a verdict as one projection, and rules in JSON compiled to the same columns."""
+"""The plausibility screen: six flags and a verdict as one projection, and a table of rules that gives the same columns with messages."""
 
 from __future__ import annotations
 
-import json
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
-from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,41 +50,50 @@ def screened(df: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     return df.withColumns(flags).withColumn("implausible", some(*map(F.col, counted)))
 
 
-#: The screen's rules as data: kinds, fields, and which flags decide. `param:` names a parameter.
-RULES = json.loads(files("ratewright.operators").joinpath("screen_rules.json").read_text(encoding="utf-8"))
-
-
-def compiled_rules(rules: dict = RULES, **overrides: object) -> tuple[dict[str, Column], Column, dict[str, str]]:
-    """(flag columns, verdict, messages) of a rule list; overrides replace parameters, unknown ones raise."""
-    if unknown := set(overrides) - set(rules["params"]):
-        raise KeyError(f"unknown parameters: {sorted(unknown)}")
-    params, flags, counted = rules["params"] | overrides, {}, []
-    no, yes = F.lit(False), F.lit(True)
-    parts = [finite(c) for c in rules["case_fields"]]
-    cases = reduce(lambda a, b: a + b, parts)
+@dataclass(frozen=True)
+class Finding:
+    """A rule: a flag, the condition under which it fires (three-valued SQL over the names of `terms`), what null means for
+    it, whether it decides, and what a filer is told. `{low}` and `{high}` stand for the bounds."""
+
+    flag: str
+    condition: str
+    if_unknown: bool
+    decides: Callable[[Bounds], bool]
+    message: str
+
+
+ALWAYS: Callable[[Bounds], bool] = lambda b: True
+
+FINDINGS = (
+    Finding(FLAGS[0], "hours <= 0", True, ALWAYS, "No positive number of hours was reported, so no rate can be computed."),
+    Finding(FLAGS[1], "staff < 1", True, ALWAYS, "Fewer than one employee on average, or none reported."),
+    Finding(FLAGS[2], "least_count < 0", True, ALWAYS, "At least one kind of case is left out or below zero."),
+    Finding(FLAGS[3], "hours_each > {high}", False, ALWAYS, "More than {high:g} hours for each employee."),
+    Finding(FLAGS[4], "hours_each < {low}", False, ALWAYS, "Less than {low:g} hours for each employee."),
+    Finding(FLAGS[5], "(box = 2 AND all_cases > 0) OR (box = 1 AND all_cases = 0)", False, lambda b: b.contradiction_counts, "The box on injuries says the opposite of the counts."),
+)
+
+
+def terms(df: DataFrame) -> dict[str, Column]:
+    """What conditions may name: cleaned numbers of a filing. least_count and all_cases are null if one part is missing."""
+    parts = [finite(c) for c in CASES]
+    known = reduce(lambda a, b: a & b, (c.isNotNull() for c in parts))
+    hours, staff = finite("total_hours_worked"), finite("annual_average_employees")
+    box = finite("no_injuries_illnesses") if "no_injuries_illnesses" in df.columns else F.lit(None).cast("double")
+    return {
+        "hours": hours, "staff": staff, "hours_each": hours / F.when(staff > 0, staff), "box": box,
+        "least_count": F.when(known, F.least(*parts)), "all_cases": reduce(lambda a, b: a + b, parts),
+    }
 
-    def ratio(r: dict) -> Column:
-        below = finite(r["denominator"])
-        return finite(r["numerator"]) / F.when(below > r.get("denominator_must_exceed", 0), below)
 
-    kinds = {
-        "missing_or_at_most": lambda r: F.coalesce(finite(r["field"]) <= r["value"], yes), "missing_or_below": lambda r: F.coalesce(finite(r["field"]) < r["value"], yes),
-        "negative_or_incomplete_cases": lambda r: some(*(F.coalesce(finite(c) < 0, yes) for c in r["fields"])),
-        "ratio_above": lambda r: F.coalesce(ratio(r) > float(params[r["param"]]), no), "ratio_below": lambda r: F.coalesce(ratio(r) < float(params[r["param"]]), no),
-        "checkbox_contradiction": lambda r: some(*(F.coalesce((finite(r["field"]) == c["value"]) & (cases > 0 if c["when"] == "cases_positive" else cases == 0), no) for c in r["contradictions"])),
-    }
-    for r in rules["flags"]:
-        if r["kind"] not in kinds:
-            raise ValueError(f"unknown kind of rule: {r['kind']}")
-        flags[r["id"]] = kinds[r["kind"]](r)
-        counts = r["counts_toward_implausible"]
-        if params[counts.removeprefix("param:")] if isinstance(counts, str) else counts:
-            counted.append(flags[r["id"]])
-    return flags, some(*counted) if counted else no, {r["id"]: r["message"] for r in rules["flags"]}
-
-
-def check_filings(df: DataFrame, rules: dict = RULES, **overrides: object) -> DataFrame:
-    """`df` with the rules' flags, `implausible`, and `messages` of the flags that fired."""
-    flags, verdict, messages = compiled_rules(rules, **overrides)
-    said = F.array_compact(F.array(*(F.when(flags[k], F.lit(m)) for k, m in messages.items())))
-    return df.withColumns(flags | {"implausible": verdict, "messages": said})
+def check_filings(df: DataFrame, bounds: Bounds = Bounds(), findings: tuple[Finding, ...] = FINDINGS) -> DataFrame:
+    """`df` with a flag for each rule, `implausible`, and `messages` of the flags that fired."""
+    named = terms(df)
+    held = F.struct(*(v.alias(k) for k, v in named.items()))
+    word = re.compile(rf"\b({'|'.join(named)})\b")
+    values = {"low": bounds.low, "high": bounds.high}
+    of = lambda f: F.coalesce(F.expr(word.sub(r"__terms.\1", f.condition.format(**values))), F.lit(f.if_unknown))
+    out = df.withColumn("__terms", held).withColumns({f.flag: of(f) for f in findings}).drop("__terms")
+    verdict = [F.col(f.flag) for f in findings if f.decides(bounds)]
+    said = F.array_compact(F.array(*(F.when(F.col(f.flag), F.lit(f.message.format(**values))) for f in findings)))
+    return out.withColumns({"implausible": some(*verdict) if verdict else F.lit(False), "messages": said})

@@ -98,7 +98,7 @@ def screen_flags(spark, sf_dir):
 @query(f"SELECT id, {', '.join(f'{v} AS {k}' for k, v in FLAG.items())}, bad OR f_box AS implausible, {n(' + '.join(f'CAST({v} AS INT)' for v in FLAG.values()), 'n_messages')} FROM screened")
 def rule_engine_flags(spark, sf_dir):
     rows = deduplicated(derived(filings(spark, sf_dir)))
-    return screen.check_filings(rows, treat_contradiction_as_implausible=True).select("id", *screen.FLAGS, "implausible", F.size("messages").alias("n_messages"))
+    return screen.check_filings(rows, screen.Bounds(contradiction_counts=True)).select("id", *screen.FLAGS, "implausible", F.size("messages").alias("n_messages"))
 
 
 @query(f"SELECT {SUMMARY} FROM screened")
@@ -158,7 +158,7 @@ def hours_concentration(spark, sf_dir):
     return rates.hours_concentration(base(spark, sf_dir), TOPS)
 
 
-@query(f"SELECT {n('top', 'top_n')}, {r('CASE WHEN h - hh > 1e-6 THEN 200000.0 * (c - cc) / (h - hh) END', 'trir')}, {r('top / n', 'share_of_filings')} FROM held, tot WHERE top <= 100", RANKED)
+@query(f"SELECT {n('top', 'top_n')}, {r('CASE WHEN h - hh > 1e-6 THEN 200000.0 * (c - cc) / (h - hh) END', 'trir')}, {r('top / n', 'share_of_filings')} FROM held, tot", RANKED)
 def threshold_rank_trim(spark, sf_dir):
     return rates.rank_trim(base(spark, sf_dir))
 

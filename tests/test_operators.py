@@ -72,8 +72,15 @@ def test_rules_agree_with_the_screen(spark):
     ruled = screen.check_filings(df.drop(*screen.FLAGS, "implausible"))
     key = lambda r: tuple(r[c] for c in ("id", *screen.FLAGS, "implausible"))
     assert sorted(map(key, df.collect())) == sorted(map(key, ruled.collect()))
-    with pytest.raises(KeyError):
-        screen.compiled_rules(nonsense=1)
+    odd = [filing(1, hours=None), filing(2, dafw=-1.0), filing(3, box=2.0), filing(4, dafw=None, box=2.0), filing(5, hours=float("nan")), filing(6, hours=1.0)]
+    for bounds in (screen.Bounds(), screen.Bounds(50, 8000, True)):
+        a, b = screen.screened(frame(spark, odd), bounds), screen.check_filings(frame(spark, odd), bounds)
+        assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
+        assert all(len(r.messages) == sum(r[f] for f in screen.FLAGS) for r in b.collect())
+    with pytest.raises(TypeError):
+        screen.Bounds(nonsense=1)
+    more = (*screen.FINDINGS, screen.Finding("flag_large", "all_cases > 1000", False, screen.ALWAYS, "Over a thousand cases."))
+    assert "flag_large" in screen.check_filings(df.drop(*screen.FLAGS, "implausible"), findings=more).columns
 
 
 def test_one_bad_filing(spark):
@@ -139,6 +146,8 @@ def test_permutation_deals_as_many_flags(spark):
     values = [r.odds_ratio for r in panel.permutation_null(panel.flag_panel(df), 40).collect()]
     assert len(values) == 40 and 0.5 < sum(values) / 40 < 1.6
     again = [r.odds_ratio for r in panel.permutation_null(panel.flag_panel(df), 40).collect()]
+    tight = [r.odds_ratio for r in panel.permutation_null(panel.flag_panel(df), 40, margin=-1.0).collect()]  # too few near the share: all are ranked
+    assert sorted(map(str, tight)) == sorted(map(str, values))
     assert sorted(values) == sorted(again)
 
 
@@ -187,6 +196,9 @@ def test_exclusions(spark):
 def test_intervals():
     assert stats.garwood(0) == pytest.approx((0, 3.6889), abs=1e-3)
     assert stats.garwood(10) == pytest.approx((4.7954, 18.3904), abs=1e-3)
+    for k in (0, 1, 3, 50, 2000):
+        low, high = stats.garwood(k, 0.9)
+        assert stats.poisson_cdf(k, high) == pytest.approx(0.05) and (k == 0 or 1 - stats.poisson_cdf(k - 1, low) == pytest.approx(0.05))
     assert stats.clopper_pearson(3, 20) == pytest.approx((0.0321, 0.3789), abs=1e-3)
     assert stats.chi2_tail(9.4877, 4) == pytest.approx(0.05, abs=1e-4)
     assert stats.chi2_tail(3.8415, 1) == pytest.approx(0.05, abs=1e-4)

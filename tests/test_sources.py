@@ -93,11 +93,19 @@ def test_catalogue_and_download(tmp_path):
 
 
 def test_series(spark, tmp_path):
-    good = json.dumps({"status": "REQUEST_SUCCEEDED", "Results": {"series": [{"seriesID": "S1", "data": [{"year": "2020", "value": "2.5"}, {"year": "2021", "value": "x"}]}]}}).encode()
-    path = series.fetch("S1", 2020, 2021, str(tmp_path), lambda url, timeout: io.BytesIO(good))
-    assert [tuple(r) for r in series.to_frame(spark, path).orderBy("year").collect()] == [("S1", 2020, 2.5), ("S1", 2021, None)]
-    with pytest.raises(RuntimeError):
-        series.fetch("S2", 2020, 2021, str(tmp_path), lambda url, timeout: io.BytesIO(b'{"status": "REQUEST_SUCCEEDED"}'))
+    good = {"status": "REQUEST_SUCCEEDED", "message": [], "Results": {"series": [{"seriesID": "S1", "data": [{"year": "2020", "period": "A01", "value": "2.5", "footnotes": [{}]}, {"year": "2021", "period": "A01", "value": "-", "footnotes": [{"code": "P"}]}]}]}}
+    sent = []
+
+    def send(r):
+        sent.append(json.loads(r.data))
+        return io.BytesIO(json.dumps(good).encode())
+
+    at = series.keep(["S1"], range(2020, 2022), str(tmp_path), send)
+    assert series.keep(["S1"], range(2020, 2022), str(tmp_path), send) == at and sent == [{"seriesid": ["S1"], "startyear": "2020", "endyear": "2021"}]
+    assert [tuple(r) for r in series.to_frame(spark, at).orderBy("year").collect()] == [("S1", 2020, "A01", 2.5, False), ("S1", 2021, "A01", None, True)]
+    with pytest.raises(series.NoObservations):
+        series.keep(["S1", "S2"], range(2020, 2022), str(tmp_path), send)
+    assert len(list(tmp_path.iterdir())) == 1
 
 
 def test_titles(spark):
