@@ -58,6 +58,13 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None, most: int = BROADCAS
     return F.broadcast(df) if n <= most and size <= BROADCAST_BYTES else df
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of `df` has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def words_of(text: Column) -> Column:
     """The number of words (long); null: 0. Splitting at white space leaves at most an empty string at either end."""
     text = F.coalesce(text, F.lit(""))

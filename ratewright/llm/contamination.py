@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratewright.llm.common import slices
+from ratewright.llm.common import cut, slices
 
 #: Text bytes of the benchmark that one pass over the documents searches; a larger one is searched in blocks.
 BLOCK_BYTES = 16 << 20
@@ -54,11 +54,11 @@ class Items:
 
     def __init__(self, items: list[tuple[object, str | None]], window: int):
         self.window = window
-        self.names: list[str] = []
+        self.names: list[str | None] = []
         words, self.vocabulary, lengths = [], {}, []
         for name, text in items:
             if own := fold_words(text):
-                self.names.append(str(name))
+                self.names.append(None if name is None else str(name))
                 words.append([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own])
                 lengths.append(len(own))
         self.least = min([window, *lengths])
@@ -71,23 +71,16 @@ class Items:
         whole = left >= size  # else the suffix is shorter than a window and serves for longest matches only
         self.size, self.item = np.where(whole, size, 0), item
 
-    def search(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Every window match: its place in the shard, the benchmark suffix, the window's length, and how far the match goes.
-
-        tokens: a shard's ids with 0 between documents and for unknown words.
-        """
+    def runs(self, tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the runs of `least` known words or more, each followed by a 0; where each id stands in the shard)."""
         known = tokens > 0
         edge = np.flatnonzero(np.diff(np.r_[False, known, False]))
         run_start, run_end = edge[::2], edge[1::2]
-        long = run_end - run_start >= self.least
+        long = run_end - run_start >= least
         keep = np.zeros(tokens.size + 1, dtype=np.int64)
         np.add.at(keep, run_start[long], 1)
         np.add.at(keep, run_end[long], -1)
         inside = np.flatnonzero(np.cumsum(keep[:-1]) > 0)
-        none = np.zeros(0, dtype=np.int64)
-        if not inside.size or not self.starts.size:
-            return none, none, none, none
-        # the runs alone, each followed by a 0
         sizes = (run_end - run_start)[long]
         at = np.arange(sizes.sum() + sizes.size)
         gap = np.cumsum(sizes + 1) - 1
@@ -97,7 +90,46 @@ class Items:
         compact[body] = tokens[inside]
         place = np.zeros(at.size, dtype=np.int64)
         place[body] = inside
-        order = suffix_array(compact, np.flatnonzero(body), max(self.window, 1))
+        return compact, place
+
+    def longest(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(length, place in the shard) of the longest verbatim match of each benchmark suffix; length 0 without one.
+
+        The suffixes of the shard are sorted as far as its longest run of known words goes, or the longest item.
+        """
+        compact, place = self.runs(tokens, 1)
+        length, at = np.zeros(self.starts.size, dtype=np.int64), np.full(self.starts.size, -1, dtype=np.int64)
+        if not compact.size or not self.starts.size:
+            return length, at
+        gap = np.flatnonzero(np.r_[compact == 0])
+        most = int(min(np.diff(np.r_[-1, gap]).max(), np.diff(np.r_[-1, np.flatnonzero(self.tokens == 0)]).max()))
+        order = suffix_array(compact, np.flatnonzero(compact), most)
+        compact = np.r_[compact, np.zeros(1, dtype=np.int64)]
+        low, high = np.zeros(self.starts.size, dtype=np.int64), np.full(self.starts.size, order.size)
+        live, depth = np.arange(self.starts.size), 0
+        while live.size:
+            want = self.tokens[self.starts[live] + depth]
+            first = self.bisect(compact, order, low[live], high[live], depth, want, False)
+            last = self.bisect(compact, order, low[live], high[live], depth, want, True)
+            on = (last > first) & (want > 0)
+            live, depth = live[on], depth + 1
+            low[live], high[live], length[live] = first[on], last[on], depth
+        some = length > 0
+        # the first place of each interval of equal suffixes
+        stands = np.r_[place[order], np.iinfo(np.int64).max]
+        at[some] = np.minimum.reduceat(stands, np.stack([low[some], high[some]], axis=1).ravel())[::2] if some.any() else at[some]
+        return length, at
+
+    def search(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Every window match: its place in the shard, the benchmark suffix, the window's length, and how far the match goes.
+
+        tokens: a shard's ids with 0 between documents and for unknown words.
+        """
+        compact, place = self.runs(tokens, self.least)
+        none = np.zeros(0, dtype=np.int64)
+        if not compact.size or not self.starts.size:
+            return none, none, none, none
+        order = suffix_array(compact, np.flatnonzero(compact), max(self.window, 1))
         compact = np.r_[compact, np.zeros(1, dtype=np.int64)]
         low, high = np.zeros(self.starts.size, dtype=np.int64), np.full(self.starts.size, order.size)
         live = np.arange(self.starts.size)
@@ -137,22 +169,30 @@ class Items:
         return low
 
 
-#: What the passes over the documents add to their rows.
+#: What the passes over the documents add to their rows, after a mark that no column of theirs begins with.
 FOUND = "n_words long, spans array<bigint>, found array<string>, longest long, longest_at long, longest_item string"
+NAMES = [f.split()[0] for f in FOUND.split(", ")]
+
+
+def mark_of(docs: DataFrame) -> str:
+    mark = "__"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    return mark
 
 
-def with_hits(docs: DataFrame, items: list[tuple[object, str | None]], window: int, text: str) -> DataFrame:
-    """`docs` with FOUND: spans are starts and ends of hit words by turns, merged; found are item ids.
+def with_hits(docs: DataFrame, items: list[tuple[object, str | None]], window: int, text: str, mark: str, again: bool) -> DataFrame:
+    """`docs` with FOUND: spans are starts and ends of hit words by turns, merged; found are item ids, null last.
 
-    If the columns are there from another block of the benchmark, this block's matches join theirs.
+    `again`: another block of the benchmark has added them already, and this block's matches join its own.
     """
     bench = docs.sparkSession.sparkContext.broadcast(Items(items, window))
-    again = "__spans" in docs.columns
-    names = [c for c in docs.columns if c not in ADDED]
+    added = [mark + n for n in NAMES]
+    names = [c for c in docs.columns if c not in added]
     at = docs.columns.index(text)
     schema = docs.select(*names).schema
     for f in T._parse_datatype_string(FOUND).fields:
-        schema = schema.add("__" + f.name, f.dataType)
+        schema = schema.add(mark + f.name, f.dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = bench.value
@@ -164,28 +204,70 @@ def with_hits(docs: DataFrame, items: list[tuple[object, str | None]], window: i
                 first = np.cumsum(n + 1) - n - 1
                 tokens = np.fromiter((known(w, 0) for own in words for w in (*own, b"")), dtype=np.int64, count=int(n.sum()) + n.size)
                 place, suffix, size, reach = b.search(tokens)
-                before = [part.column(part.schema.get_field_index(c)).to_pylist() for c in ADDED[1:]] if again else [[[] for _ in words], [[] for _ in words], [0] * len(words), [None] * len(words), [None] * len(words)]
-                spans, found, longest, longest_at, longest_item = before
+                spans, found, longest, longest_at, longest_item = [part.column(part.schema.get_field_index(c)).to_pylist() for c in added[1:]] if again else [[[] for _ in words], [[] for _ in words], [0] * len(words), [None] * len(words), [None] * len(words)]
                 new: list[list[tuple[int, int]]] = [[] for _ in words]
                 order = np.lexsort((suffix, -reach, place))
                 doc = np.searchsorted(first, place, side="right") - 1
                 for d, p, s, x, r in zip(*(v[order].tolist() for v in (doc, place - first[doc], suffix, size, reach)), strict=True):
                     new[d].append((p, p + x))
                     found[d].append(b.names[b.item[s]])
-                    if r > longest[d]:
+                    # longer, or as long and earlier in the text
+                    if r > longest[d] or (r == longest[d] and p < longest_at[d]):
                         longest[d], longest_at[d], longest_item[d] = r, p, b.names[b.item[s]]
                 for d, own in enumerate(new):
                     if own:
                         spans[d] = merged(sorted([*zip(spans[d][::2], spans[d][1::2], strict=True), *own]))
-                        found[d] = sorted({*found[d]})
+                        found[d] = sorted({*found[d]}, key=lambda x: (x is None, x or ""))
                 kept = [part.column(part.schema.get_field_index(c)) for c in names]
                 more = [pa.array(n), pa.array(spans, type=pa.list_(pa.int64())), pa.array(found, type=pa.list_(pa.string())), pa.array(longest, type=pa.int64()), pa.array(longest_at, type=pa.int64()), pa.array(longest_item, type=pa.string())]
-                yield pa.RecordBatch.from_arrays([*kept, *more], names=[*names, *ADDED])
+                yield pa.RecordBatch.from_arrays([*kept, *more], names=[*names, *added])
 
     return docs.mapInArrow(run, schema)
 
 
-ADDED = ["__n_words", "__spans", "__found", "__longest", "__longest_at", "__longest_item"]
+def longest_matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """item_id (as text), word, length, doc_id, at: for each word of the benchmark the longest verbatim match of the suffix
+    that begins there, in words, with the document and the word where it stands.
+
+    Each task keeps the longest match of each suffix over all its shards; those meet by suffix. Of equally long ones
+    that of the least document id counts, nulls last, and there the first. Suffixes without any match give no row,
+    nor do items without an id or words; repeated items give a row for each distinct text. Texts as in
+    `find_contamination`.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = None
+    for block in blocks(benchmark, block_bytes):
+        bench = docs.sparkSession.sparkContext.broadcast(Items([x for x in block if x[0] is not None], 1))
+
+        def run(batches: Iterator[pa.RecordBatch], bench: object = bench) -> Iterator[pa.RecordBatch]:
+            b = bench.value
+            best, where = np.zeros(b.starts.size, dtype=np.int64), {}
+            for batch in batches:
+                for part in slices(batch):
+                    ids = part.column(0).to_pylist()
+                    words = [fold_words(t) for t in part.column(1).to_pylist()]
+                    n = np.array([len(w) for w in words], dtype=np.int64)
+                    rank = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))  # as ties go
+                    first = np.r_[0, np.cumsum(n[rank] + 1)]
+                    tokens = np.fromiter((b.vocabulary.get(w, 0) for i in rank for w in (*words[i], b"")), dtype=np.int64, count=int(first[-1]))
+                    length, at = b.longest(tokens)
+                    better = np.flatnonzero((length >= best) & (length > 0))
+                    doc = np.searchsorted(first, at[better], side="right") - 1
+                    for s, d, a in zip(better.tolist(), doc.tolist(), (at[better] - first[doc]).tolist(), strict=True):
+                        one = ids[rank[d]]
+                        key = (one is None, one or 0, a)
+                        if length[s] > best[s] or key < where[s][0]:
+                            best[s], where[s] = length[s], (key, one, a)
+            if where:
+                begin = np.r_[0, np.flatnonzero(b.tokens == 0) + 1]
+                rows = [(b.names[b.item[s]], int(b.starts[s] - begin[b.item[s]]), int(best[s]), d, int(a)) for s, (_, d, a) in where.items()]
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), batch.schema.field(0).type, pa.int64()), strict=True)], names=["item_id", "word", "length", "doc_id", "at"])
+
+        found = docs.select("doc_id", "text").mapInArrow(run, f"item_id string, word long, length long, doc_id {kind}, at long")
+        out = found if out is None else out.unionByName(found)
+    best = F.min_by(F.struct("length", "doc_id", "at"), F.struct((-F.col("length")).alias("l"), F.col("doc_id").isNull().alias("n"), "doc_id", "at"))
+    return out.groupBy("item_id", "word").agg(best.alias("b")).select("item_id", "word", "b.*")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[int]:
@@ -213,38 +295,43 @@ def blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[object, str |
     yield block
 
 
-def judge_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
-    """`docs` with __n_words, __n_hit, __contaminated and what `with_hits` adds.
+def judge_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES, text: str = "text") -> tuple[DataFrame, str]:
+    """`docs` with n_words, n_hit, contaminated and what `with_hits` adds, all after a mark; and that mark.
 
-    A benchmark beyond `block_bytes` is searched block by block: each block is one more step over the same rows,
-    so that no step holds more of it than that.
+    A benchmark beyond `block_bytes` is searched block by block: each block is a pass of its own over the rows, and what it
+    found is written before the next, so that no task holds more of the benchmark than that.
     """
+    mark, again = mark_of(docs), False
     for block in blocks(benchmark, block_bytes):
-        docs = with_hits(docs, block, window, text)
-    n_hit = F.when(F.size("__spans") > 0, F.expr("aggregate(sequence(0, size(__spans) div 2 - 1), 0L, (acc, k) -> acc + __spans[2 * k + 1] - __spans[2 * k])")).otherwise(F.lit(0)).cast("long")
-    docs = docs.withColumn("__n_hit", n_hit)
-    return docs.withColumn("__contaminated", (F.col("__n_hit") > 0) & (20 * F.col("__n_hit") >= F.col("__n_words")))
+        docs = with_hits(cut(docs, "contamination") if again else docs, block, window, text, mark, again)
+        again = True
+    spans, n_hit = f"{mark}spans", f"{mark}n_hit"
+    hit = F.when(F.size(spans) > 0, F.expr(f"aggregate(sequence(0, size({spans}) div 2 - 1), 0L, (acc, k) -> acc + {spans}[2 * k + 1] - {spans}[2 * k])")).otherwise(F.lit(0)).cast("long")
+    docs = docs.withColumn(n_hit, hit)
+    return docs.withColumn(f"{mark}contaminated", (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(f"{mark}n_words"))), mark
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; longest, longest_at, longest_item: the longest
-    verbatim match in words, where it starts, and in which item (0 and nulls without one).
+    verbatim match that holds a window, in words, where it starts, and in which item (0 and nulls without one).
 
     Every input row gives a row. Null and empty texts have no words, hits or items and are clean; items without
     words match nothing; items below `window` words are one window of their own length; items that share a
     window all count, repeated item ids once. Of equally long matches the first in the text is given. An empty
     benchmark hits nothing, an empty table gives no rows, further columns are ignored. Nothing is shuffled.
     """
-    found = judge_contamination(docs.select("doc_id", "text"), benchmark, window, block_bytes)
+    found, mark = judge_contamination(docs.select("doc_id", "text"), benchmark, window, block_bytes)
+    of = lambda c: F.col(mark + c)
     return found.select(
-        "doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.size("__found").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "__found"), 256).alias("items_sha256"),
-        F.col("__contaminated").alias("contaminated"), F.col("__longest").alias("longest"), F.col("__longest_at").alias("longest_at"), F.col("__longest_item").alias("longest_item"),
+        "doc_id", of("n_words").alias("n_words"), of("n_hit").alias("n_hit"), F.size(of("found")).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", of("found")), 256).alias("items_sha256"),
+        of("contaminated").alias("contaminated"), of("longest").alias("longest"), of("longest_at").alias("longest_at"), of("longest_item").alias("longest_item"),
     )
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
     """The rows of `docs` that aren't contaminated, with all their own columns and no others."""
-    return judge_contamination(docs, benchmark, window, block_bytes, text).filter(~F.col("__contaminated")).select(*docs.columns)
+    found, mark = judge_contamination(docs, benchmark, window, block_bytes, text)
+    return found.filter(~F.col(f"{mark}contaminated")).select(*docs.columns)
 
 
 def digest(names: list[str]) -> str:

@@ -2,8 +2,9 @@
 
 Each model lies in sorted arrays of 64-bit hashes of character sequences, with the interpolated log probability
 of each sequence seen and the back-off weight of each context. A text gets the language of the lowest
-cross-entropy per character; it is rejected if that entropy lies beyond what held-back training texts of the
-language reach. Training reads a bounded sample of labelled rows; every row is predicted, from its whole text.
+cross-entropy per character; it is rejected if that entropy lies further above the language's own than held-back
+training texts do, measured in the deviations that a text of its length has. Training reads a bounded sample of labelled
+rows; every row is predicted, from its whole text.
 """
 
 from __future__ import annotations
@@ -21,6 +22,12 @@ from ratewright.llm.common import CHUNK_BYTES, collected, cut, hashed64, maybe_b
 #: Characters of the longest sequence; labelled texts of each language that are counted, and that calibrate it.
 ORDER, TRAIN_ROWS, CALIBRATION_ROWS = 4, 600, 200
 
+#: Characters of the sample of a language: what a task that learns it holds at most, if no single text is longer.
+SAMPLE_CHARS = 32_000_000
+
+#: Of texts in a learned language, the share that may be rejected; and a margin on the deviation that so few exceed.
+FALSE_REJECTIONS, MARGIN = 0.005, 1.5
+
 EDGE = np.uint32(0x110000)  # stands before and after a text
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,10 +102,25 @@ class Model:
 
 
 class Identifier:
-    """All models, and for each language the entropies that its own texts reach."""
+    """All models, and what texts of each language reach: the median entropy, its deviation between long texts, and that of
+    single characters. `bound`: the deviations beyond which a text is rejected. `sharp`: of scores."""
+
+    def __init__(self, names: list[str], models: list[Model]):
+        self.names, self.models = names, models
+        self.median, self.between, self.single = (np.zeros(len(names)) for _ in range(3))
+        self.bound, self.sharp = float("inf"), 1.0
 
-    def __init__(self, names: list[str], models: list[Model], within: list[float], sharp: float):
-        self.names, self.models, self.within, self.sharp = names, models, within, sharp
+    def deviations(self, entropy: np.ndarray, best: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """How far entropies lie above the median of language `best`, for texts of `length` characters."""
+        spread = np.sqrt(self.between[best] ** 2 + self.single[best] ** 2 / (length + 1))
+        return (entropy - self.median[best]) / np.maximum(spread, 1e-9)
+
+    def character_spread(self, texts: list[str], i: int) -> float:
+        """The standard deviation of a character's surprisal under language `i`."""
+        flat, _, at = code_points(texts)
+        by_order = [keys(flat, at, o) for o in range(1, ORDER + 1)]
+        contexts = [np.zeros(at.size, dtype=np.uint64), *(keys(flat, at - 1, o) for o in range(1, ORDER))]
+        return float(self.models[i].log_probs(by_order, contexts).std())
 
     def entropies(self, texts: list[str]) -> np.ndarray:
         """Nats per character (the end counted) of each text under each language: each distinct sequence is looked up once."""
@@ -111,6 +133,24 @@ class Identifier:
         n = np.bincount(text, minlength=len(texts))
         return np.stack([-np.bincount(text, weights=m.log_probs(by_order, contexts)[where], minlength=len(texts)) / n for m in self.models], axis=1)
 
+    def calibrate(self, held_back: list[list[str]], false_rejections: float) -> None:
+        """Sets the bound and the sharpness from texts of each language that it was not learned from."""
+        gaps, beyond = [], []
+        for i, texts in enumerate(held_back):
+            h = np.concatenate([self.entropies(texts[k : k + 50]) for k in range(0, len(texts), 50)])
+            own, length = h[:, i], np.array([len(t) for t in texts])
+            self.median[i] = np.median(own)
+            self.between[i] = 1.4826 * np.median(np.abs(own - self.median[i]))
+            self.single[i] = self.character_spread(texts[:50], i)
+            beyond.append(self.deviations(own, np.full(own.size, i), length))
+            gaps.append((i, np.sqrt(length + 1.0)[:, None] * (h - h.min(axis=1, keepdims=True))))
+        if beyond:
+            z = np.sort(np.concatenate(beyond))
+            self.bound = MARGIN * max(float(z[min(z.size - 1, int(np.ceil((z.size + 1) * (1 - false_rejections))) - 1)]), 4.0)
+        if len(self.names) > 1:
+            loss = lambda s: -sum(float((-s * g[:, i] - np.log(np.exp(-s * g).sum(axis=1))).sum()) for i, g in gaps)
+            self.sharp = min((0.05, 0.1, 0.2, 0.5, 1, 2, 4), key=loss)
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
         """(language, score, entropy, rejected) of each text."""
         out: list[tuple[str, float, float | None, bool]] = [("und", 0.0, None, True)] * len(texts)
@@ -120,35 +160,44 @@ class Identifier:
         h = self.entropies([texts[i] or "" for i in lettered])
         best = h.argmin(axis=1)
         low = h[np.arange(best.size), best]
-        score = 1 / np.exp(-self.sharp * (h - low[:, None])).sum(axis=1)
+        length = np.array([len(texts[i] or "") for i in lettered])
+        score = 1 / np.exp(-self.sharp * np.sqrt(length + 1.0)[:, None] * (h - low[:, None])).sum(axis=1)
+        rejected = self.deviations(low, best, length) > self.bound
         for k, i in enumerate(lettered):
             b = int(best[k])
-            out[i] = (self.names[b], float(score[k]), float(low[k]), bool(low[k] > self.within[b]))
+            out[i] = (self.names[b], float(score[k]), float(low[k]), bool(rejected[k]))
         return out
 
 
-def labelled_sample(docs: DataFrame, train: object, rows: int) -> DataFrame:
-    """At most `rows` rows of each language, those of the least hash: an exact bound that reads ids before texts.
+def labelled_sample(docs: DataFrame, train: object, rows: int, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """lang, k, text: at most `rows` texts of each language with `chars` characters in all (or one text), by the least hash.
 
-    Hashes that lie well above the share that is wanted of a language are passed over before its rows are ranked, so
-    few more than `rows` of even the largest language are shuffled. The ids found are few enough to broadcast:
-    `rows` times the number of languages, which is counted.
+    Ids and lengths are ranked before texts are read. Hashes that lie well above the share that is wanted of a language
+    are passed over before its rows are ranked; should too few be left of one, all of its rows are ranked. Of rows that
+    share an id and a language one text is taken, of rows without an id too.
     """
-    known = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", (F.xxhash64("doc_id") / 2.0**64 + 0.5).alias("u"))
-    sizes = cut(known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.lit(rows + 8 * rows**0.5 + 20) / F.col("n")).alias("share")), "languages")
-    known = known.join(maybe_broadcast(sizes), "lang").filter(F.col("u") <= F.col("share"))
+    known = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
+    known = known.select("doc_id", "lang", (F.xxhash64("doc_id") / 2.0**64 + 0.5).alias("u"), F.length("text").cast("long").alias("chars"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).withColumn("share", F.lit(rows + 8 * rows**0.5 + 20) / F.col("n"))
+    sizes = cut(sizes, "languages")
+    near = known.join(maybe_broadcast(sizes), "lang").filter(F.col("u") <= F.col("share"))
+    enough = cut(near.groupBy("lang").agg(F.count_distinct("doc_id").alias("left"), F.max("n").alias("n")).filter((F.col("left") >= rows) | (F.col("left") == F.col("n"))), "languages")
+    near = near.join(maybe_broadcast(enough.select("lang")), "lang", "left_semi").select("doc_id", "lang", "u", "chars")
+    rest = known.join(maybe_broadcast(enough.select("lang")), "lang", "left_anti")
+    once = near.unionByName(rest).groupBy("lang", "doc_id", "u").agg(F.min("chars").alias("chars"))
     order = Window.partitionBy("lang").orderBy("u", "doc_id")
-    top = cut(known.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows), "languages")
-    top = top.dropDuplicates(["doc_id", "lang"])
-    side = F.broadcast(top) if top.count() <= 200_000 else top
-    return docs.select("doc_id", "lang", "text").join(side, ["doc_id", "lang"]).select("lang", "k", "text")
+    top = once.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows).withColumn("held", F.sum("chars").over(order))
+    top = cut(top.filter((F.col("held") <= chars) | (F.col("k") == 1)).select(F.col("doc_id").alias("id"), F.col("lang").alias("of"), "k", "chars"), "languages")
+    same = docs["doc_id"].eqNullSafe(F.col("id")) & (docs["lang"] == F.col("of")) & (F.length(docs["text"]) == F.col("chars"))
+    return docs.select("doc_id", "lang", "text").join(maybe_broadcast(top), same).select("lang", "k", "text").dropDuplicates(["lang", "k"])
 
 
-def fit(docs: DataFrame, train: object, train_rows: int = TRAIN_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Identifier:
+def fit(docs: DataFrame, train: object, train_rows: int = TRAIN_ROWS, calibration_rows: int = CALIBRATION_ROWS, false_rejections: float = FALSE_REJECTIONS) -> Identifier:
     """Models of all languages that `train` rows of `docs` are labelled with.
 
     Each language is learned in a task of its own from at most `train_rows` texts; `calibration_rows` further
-    ones give the entropy it reaches on texts not counted (half of those seen do, if there are too few). The
+    ones give the entropies it reaches on texts not counted (half of those seen do, if there are too few). The
+    bound on deviations is MARGIN times the one that `false_rejections` of all calibration texts exceed. The
     models come to the driver: their size follows the sample's, not the corpus.
     """
     sample = labelled_sample(docs, train, train_rows + calibration_rows)
@@ -162,20 +211,9 @@ def fit(docs: DataFrame, train: object, train_rows: int = TRAIN_ROWS, calibratio
         return pa.table({"lang": table.column("lang").slice(0, 1), "model": pa.array([packed(table.column("text").to_pylist())], type=pa.binary())})
 
     found = collected(sample.groupBy("lang").applyInArrow(learn_table, "lang string, model binary")).sort_by("lang")
-    names = found.column("lang").to_pylist()
     unpacked = [pickle.loads(x) for x in found.column("model").to_pylist()]  # noqa: S301  our own bytes
-    models = [m for m, _ in unpacked]
-    who = Identifier(names, models, [float("inf")] * len(names), 1.0)
-    gaps: list[tuple[int, np.ndarray]] = []
-    for i, (_, texts) in enumerate(unpacked):
-        h = np.concatenate([who.entropies(texts[k : k + 50]) for k in range(0, len(texts), 50)])
-        own = h[:, i]
-        # far beyond the own texts' spread: clean documents of any length stay
-        who.within[i] = float(max(np.median(own) + 12 * 1.4826 * np.median(np.abs(own - np.median(own))), 1.5 * own.max()))
-        gaps.append((i, h))
-    if len(names) > 1:
-        loss = lambda s: -sum(float((-s * (h - h.min(axis=1, keepdims=True))[:, i] - np.log(np.exp(-s * (h - h.min(axis=1, keepdims=True))).sum(axis=1))).sum()) for i, h in gaps)
-        who.sharp = min((0.5, 1, 2, 4, 8, 16, 32), key=loss)
+    who = Identifier(found.column("lang").to_pylist(), [m for m, _ in unpacked])
+    who.calibrate([texts for _, texts in unpacked], false_rejections)
     return who
 
 

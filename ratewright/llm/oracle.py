@@ -12,10 +12,14 @@ win AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS t FROM
 at_ AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS t FROM (SELECT r, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
 occ AS (SELECT r, i, at_.k, item FROM at_ JOIN win ON at_.k = win.k AND at_.t = win.t),
 hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + k - 1)) AS p FROM occ) GROUP BY r),
+pos AS (SELECT row_number() OVER (ORDER BY item, txt) AS e, item, k, i AS j, array_to_string(w[i:i + k - 1], ' ') AS t, nth FROM (SELECT item, w, k, txt, nth, unnest(generate_series(1, len(w) - k + 1)) AS i FROM (SELECT *, array_to_string(w, ' ') AS txt, row_number() OVER () AS nth FROM k))),
+diag AS (SELECT r, i, at_.k, pos.item, pos.nth, i - row_number() OVER (PARTITION BY r, pos.nth, i - j ORDER BY i) AS island, i - j AS d FROM at_ JOIN pos ON at_.k = pos.k AND at_.t = pos.t),
+stretch AS (SELECT r, item, nth, count(*) + max(k) - 1 AS reach, min(i) - 1 AS place FROM diag GROUP BY r, item, nth, d, island),
+top AS (SELECT r, first(reach ORDER BY reach DESC, place, item) AS longest, first(place ORDER BY reach DESC, place, item) AS longest_at, first(item ORDER BY reach DESC, place, item) AS longest_item FROM stretch GROUP BY r),
 its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM occ) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit ON d.r = hit.r LEFT JOIN its ON d.r = its.r
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest, CAST(longest_at AS BIGINT) AS longest_at, longest_item
+FROM d LEFT JOIN hit ON d.r = hit.r LEFT JOIN its ON d.r = its.r LEFT JOIN top ON d.r = top.r
 """
 
 JACCARD = rf"""
@@ -35,12 +39,30 @@ RULES = {
 }
 PASSES = {"assign": "length(regexp_extract(m, '{p}', 2)) >= 12", "access": "length(m) >= 18"}
 
-SECRETS = (
-    "WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), f AS ("
-    + " UNION ALL ".join(f"SELECT r, '{k}' AS kind, {i} AS rank, {base} AS base, ms[i] AS m, coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS a, {PASSES.get(k, 'true').replace('{p}', p)} AS ok FROM (SELECT r, ms, ps, ms[i] AS m, i FROM (SELECT r, ms, ps, unnest(generate_series(1, len(ms))) AS i FROM (SELECT r, regexp_extract_all(t, '{p}', 0) AS ms, string_split_regex(t, '{p}') AS ps FROM d)))" for i, (k, (p, base)) in enumerate(RULES.items()))
-    + "), s AS (SELECT *, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + length(m) AS BIGINT) AS span FROM f WHERE ok), g AS (SELECT r, count(*) FILTER (kind = 'assign') AS na, count(*) FILTER (kind = 'access') AS nc, count(*) FILTER (kind = 'hex') AS nh, count(*) FILTER (NOT base) AS nx, string_agg(span, ',' ORDER BY a, rank) FILTER (base) AS base, string_agg(span, ',' ORDER BY a, rank) AS spans FROM s GROUP BY r) "
-    + "SELECT doc_id, CAST(coalesce(na, 0) AS BIGINT) AS n_assign, CAST(coalesce(nc, 0) AS BIGINT) AS n_access, CAST(coalesce(nh, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t) AS blob, CAST(coalesce(nx, 0) AS BIGINT) AS n_added FROM d LEFT JOIN g ON d.r = g.r"
-)
+
+
+def spans_sql(keys: str, rows: str, passes: dict[str, str]) -> str:
+    """Common table expressions d (rows with a number r and a text t), f, s and g: the spans of each row of `rows`."""
+    one = lambda k, p, base, i: f"SELECT r, '{k}' AS kind, {i} AS rank, {base} AS base, ms[i] AS m, coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS a, {passes.get(k, 'true').replace('{p}', p)} AS ok FROM (SELECT r, ms, ps, ms[i] AS m, i FROM (SELECT r, ms, ps, unnest(generate_series(1, len(ms))) AS i FROM (SELECT r, regexp_extract_all(t, '{p}', 0) AS ms, string_split_regex(t, '{p}') AS ps FROM d)))"
+    return (
+        f"d AS (SELECT row_number() OVER () AS r, {keys}, coalesce(text, '') AS t FROM {rows}), f AS ("
+        + " UNION ALL ".join(one(k, p, base, i) for i, (k, (p, base)) in enumerate(RULES.items()))
+        + "), s AS (SELECT *, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + length(m) AS BIGINT) AS span FROM f WHERE ok), g AS (SELECT r, count(*) FILTER (kind = 'assign') AS na, count(*) FILTER (kind = 'access') AS nc, count(*) FILTER (kind = 'hex') AS nh, count(*) FILTER (NOT base) AS nx, string_agg(span, ',' ORDER BY a, rank) FILTER (base) AS base, string_agg(span, ',' ORDER BY a, rank) AS spans FROM s GROUP BY r)"
+    )
+
+
+COUNTS = "CAST(coalesce(na, 0) AS BIGINT) AS n_assign, CAST(coalesce(nc, 0) AS BIGINT) AS n_access, CAST(coalesce(nh, 0) AS BIGINT) AS n_hex"
+
+SECRETS = f"WITH {spans_sql('doc_id', 'documents', PASSES)} SELECT doc_id, {COUNTS}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t) AS blob, CAST(coalesce(nx, 0) AS BIGINT) AS n_added FROM d LEFT JOIN g ON d.r = g.r"
+
+RESCAN = f"""
+WITH one AS (SELECT doc_id, text, 'main/' || coalesce(CAST(doc_id AS VARCHAR), '') AS path, 1 AS version FROM documents
+  UNION ALL SELECT doc_id, text, 'mirror/' || doc_id, 1 FROM documents WHERE doc_id % 5 = 0),
+every AS (SELECT * FROM one UNION ALL SELECT doc_id, coalesce(text, '') || chr(10) || 'token = ' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 14), 'main/' || doc_id, 2 FROM documents WHERE doc_id % 3 = 0),
+{spans_sql('doc_id, path, version', 'every', PASSES | {'assign': PASSES['assign'].replace('12', '16')})}
+SELECT path, version, doc_id, {COUNTS}, coalesce(spans, '') AS spans, sha256(t) AS blob, CAST(coalesce(nx, 0) AS BIGINT) AS n_added, CAST(CASE WHEN t IN (SELECT coalesce(text, '') FROM one) THEN 1 ELSE 6 END AS BIGINT) AS pairs
+FROM d LEFT JOIN g ON d.r = g.r
+"""
 
 REVISITS = r"""
 WITH a AS (SELECT *, regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS bare FROM pages),
@@ -53,4 +75,4 @@ s AS (SELECT q.page_id, q.canonical, q.base_id, o.lang AS o_lang, o.size AS o_si
 SELECT page_id, canonical, CASE WHEN status <> 'missing' THEN base_id END AS base_page_id, status, CAST(page_id * 2 AS VARCHAR) AS date, CASE WHEN status = 'resolved' THEN o_size ELSE '0' END AS content_length, CASE WHEN status = 'resolved' THEN o_lang END AS content_language FROM s
 """
 
-ORACLE = {"op5_contamination": CONTAMINATION, "op6_jaccard_join": JACCARD, "op9_revisits": REVISITS, "op10_secrets": SECRETS}
+ORACLE = {"op5_contamination": CONTAMINATION, "op6_jaccard_join": JACCARD, "op9_revisits": REVISITS, "op10_secrets": SECRETS, "secrets_rescan": RESCAN}

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,end:int,match:string>>"
+SPAN_BETWEEN = "array<struct<start:int,end:int,match:string,left:string,right:string>>"
 
 
 @dataclass(frozen=True)
@@ -28,22 +29,50 @@ def matches(text: Column, rule: Rule) -> Column:
     return F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
 
 
-def placed(text: Column, found: Column, rule: Rule) -> Column:
-    """array<struct<start, end, match>> of the matches in `found` that pass, end exclusive; empty without matches."""
-    between = F.split(text, rule.pattern)
+#: Items that one inner walk appends to an array, which is copied for each of them.
+BLOCK = 256
 
-    def step(acc: Column, i: Column) -> Column:
-        match = F.get(found, i)
-        start = acc["at"] + F.length(F.get(acc["between"], i))
+
+def gathered(size: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column, Column]], kind: str) -> Column:
+    """The items that `step` keeps, as an array of type `kind`, while a number goes from 0 to size - 1.
+
+    step(state, i) gives the next state, whether to keep an item, and the item. Items are appended in blocks, so that time
+    grows little faster than their number.
+    """
+    empty = lambda of: F.array().cast(of)
+
+    def one(acc: Column, i: Column) -> Column:
+        then, keep, item = step(acc["state"], i)
+        return F.struct(then.alias("state"), F.when(keep, F.array_append(acc["out"], item)).otherwise(acc["out"]).alias("out"))
+
+    def block(acc: Column, k: Column) -> Column:
+        begin = F.struct(acc["state"].alias("state"), empty(kind).alias("out"))
+        walked = F.aggregate(F.sequence(k * BLOCK, F.least(size - 1, k * BLOCK + BLOCK - 1)), begin, one)
+        # a lambda names the walk once, so that it isn't done again for each of its fields
+        return F.transform(F.array(walked), lambda w: F.struct(w["state"].alias("state"), F.array_append(acc["out"], w["out"]).alias("out")))[0]
+
+    begin = F.struct(state.alias("state"), empty(f"array<{kind}>").alias("out"))
+    blocks = F.sequence(F.lit(0), F.floor((size - 1) / BLOCK).cast("int"))
+    return F.when(size > 0, F.aggregate(blocks, begin, block, lambda acc: F.flatten(acc["out"]))).otherwise(empty(kind))
+
+
+def placed(text: Column, found: Column, rule: Rule, reach: int = 0) -> Column:
+    """array<struct<start, end, match>> of the matches in `found` that pass, end exclusive; empty without matches.
+
+    With a `reach`, also left and right: so many code points of the text since the match before, and until the next.
+    """
+    size = F.size(found)
+
+    def step(state: Column, i: Column) -> tuple[Column, Column, Column]:
+        match, piece = F.get(found, i), F.get(state["between"], i)
+        start = state["at"] + F.length(piece)
         end = start + F.length(match)
-        span = F.struct(start.alias("start"), end.alias("end"), match.alias("match"))
-        keep = rule.passes(match) if rule.passes else F.lit(True)
-        return F.struct(end.alias("at"), F.when(keep, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"), acc["between"].alias("between"))
-
-    empty = F.array().cast(SPAN)
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("out"), between.alias("between"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), begin, step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, walked).otherwise(empty)
+        span = [start.alias("start"), end.alias("end"), match.alias("match")]
+        if reach:
+            span += [F.right(piece, F.lit(reach)).alias("left"), F.left(F.get(state["between"], i + 1), F.lit(reach)).alias("right")]
+        return F.struct(end.alias("at"), state["between"].alias("between")), rule.passes(match) if rule.passes else F.lit(True), F.struct(*span)
+
+    return gathered(size, F.struct(F.lit(0).alias("at"), F.split(text, rule.pattern).alias("between")), step, SPAN_BETWEEN if reach else SPAN)
 
 
 def marked(spans: Column, rank: int, kind: str) -> Column:

@@ -74,3 +74,38 @@ def test_removal_keeps_clean_rows_whole(spark):
     out = c.remove_contaminated(docs, bench(spark, items))
     assert out.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter((i, t) for i, t, *_ in data if not brute(t, items)[4])
+
+
+def test_longest_match_of_each_suffix(spark):
+    data, items = sample(7)
+    data, items = data[:40] + data[-28:], items[:4] + [items[-1], (51, "Two Words"), (None, "no id at all"), (52, None)]
+    want = {}
+    for name, t in items:
+        if name is None:
+            continue
+        w = words(t)
+        for j in range(len(w)):
+            best = None
+            for i, text, *_ in data:
+                own = words(text)
+                for p in range(len(own)):
+                    m = 0
+                    while j + m < len(w) and p + m < len(own) and w[j + m] == own[p + m]:
+                        m += 1
+                    if m and (best is None or (-m, i is None, i or 0, p) < best[0]):
+                        best = ((-m, i is None, i or 0, p), (str(name), j, m, i, p))
+            if best:
+                old = want.get((str(name), j))
+                want[str(name), j] = min(old, best) if old else best
+    for block in (1 << 24, 300):
+        found = c.longest_matches(cases.table(spark, data), bench(spark, items), block_bytes=block).collect()
+        assert sorted(map(tuple, found)) == sorted(b for _, b in want.values())
+
+
+def test_clashing_columns_and_items_without_id(spark):
+    data, items = sample(3)
+    docs = cases.table(spark, data).withColumnsRenamed({"part": "__spans", "cls": "__n_words"})
+    out = c.remove_contaminated(docs, bench(spark, items), block_bytes=400)
+    assert out.columns == docs.columns and out.count() == sum(not brute(t, items)[4] for _, t, *_ in data)
+    row = c.find_contamination(cases.table(spark, [(1, "w1 two words w2", "en", "s", 1)]), bench(spark, [(None, "Two Words"), (7, "two words")])).first()
+    assert (row.n_items, row.items_sha256) == (2, c.digest(["7"]))
