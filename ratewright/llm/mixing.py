@@ -4,26 +4,32 @@ Every document of a source is wanted target / source size times: a whole part al
 probability of one copy more. Two documents with fractional probabilities meet and one hands mass to the other,
 in words, until one of them is at 0 or 1; which way is drawn so that each keeps its expectation. Words are thus
 conserved at every meeting. Leaves of a few thousand documents leave one undecided document per source each,
-and the undecided of many leaves meet in turn, level by level, until one per source remains.
+and the undecided of many leaves meet in turn, level by level, until one per source remains. As a meeting decides the
+document with less mass to move, that one is large; what its rounding misses, in words, is settled by small ones:
+a bounded number of decided documents of each size class, drawn by hash, of which some change their mind.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratewright.llm.common import cut, maybe_broadcast, words_of
+from ratewright.llm.common import cut, maybe_broadcast, spare, words_of
 
 WEIGHTS = (5, 2, 1)
 
 #: Documents that a leaf of the reduction tree should hold, and undecided leaves that meet at the next level.
 LEAF_ROWS, FAN_IN = 2_000, 64
 
+#: Documents of each size class, a power of two, that are at hand to settle what is missed.
+SETTLERS = 100
+
 
 def draw(seed: int, *ids: object) -> float:
     """A number in [0, 1) that depends on its arguments alone: reruns draw the same."""
@@ -97,8 +103,7 @@ def copies(units: DataFrame, most: float = 3.0, weights: tuple[int, ...] = WEIGH
     """`units` (see there) with source_size, target and the whole number of copies that the mix takes.
 
     Leaves are dealt by a hash of the unit's key, so a source with any share of the rows spreads over all of them,
-    and the same units always meet in the same order, whatever the partitions. Larger documents of a leaf meet
-    first and small ones settle what is left, which keeps the last undecided document small.
+    and the same units always meet in the same order, whatever the partitions.
     """
     spark = units.sparkSession
     units = cut(units, "mix-units")
@@ -128,7 +133,53 @@ def copies(units: DataFrame, most: float = 3.0, weights: tuple[int, ...] = WEIGH
         extra = extra.unionByName(x)
     extra = extra.withColumnsRenamed({"row": "__row", "doc_id": "__id"})
     rows = rows.join(extra, (rows["row"] == F.col("__row")) & rows["doc_id"].eqNullSafe(F.col("__id")), "left")
-    return rows.select("row", "doc_id", "source", "size", "times", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("copies"))
+    rows = cut(rows.select("row", "doc_id", "source", "size", "times", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), "p", "whole", F.coalesce("extra", F.lit(0)).cast("long").alias("extra")), "mix-rounded")
+    flips = cut(settled_by(rows, seed), "mix-flips").select(F.col("row").alias("__row"), F.col("doc_id").alias("__id"), "flip")
+    rows = rows.join(maybe_broadcast(flips), (rows["row"] == F.col("__row")) & rows["doc_id"].eqNullSafe(F.col("__id")), "left")
+    return rows.select("row", "doc_id", "source", "size", "times", "source_size", "target", (F.col("whole") + F.col("extra") + F.coalesce("flip", F.lit(0))).alias("copies"))
+
+
+def settled_by(rows: DataFrame, seed: int) -> DataFrame:
+    """(row, doc_id, flip: 1 or -1) of the units whose fraction is rounded the other way, so that each source comes near its
+    target: no single one of those at hand would bring it nearer.
+
+    Of each source, rounding and size class those below a hash are at hand that leaves about SETTLERS; a task gets those
+    of its sources, whose number doesn't grow with the documents'.
+    """
+    key = ["source", "extra", "class"]
+    missed = rows.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("size") * F.col("times") * (F.col("whole") + F.col("extra"))).alias("taken")).select(F.col("source").alias("s"), (F.col("target") - F.col("taken")).alias("missed"))
+    open_ = rows.filter((F.col("p") > 1e-9) & (F.col("size") > 0)).select("source", "extra", (F.col("size") * F.col("times")).alias("words"), "row", "doc_id")
+    open_ = open_.withColumn("class", F.floor(F.log2("words")).cast("int")).withColumn("u", F.xxhash64("row", F.lit(seed)) / 2.0**64 + 0.5)
+    held = cut(open_.groupBy(*key).agg(((SETTLERS + 4 * SETTLERS**0.5) / F.count("*")).alias("share")).withColumnsRenamed({k: f"of_{k}" for k in key}), "mix-classes")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key))
+    at_hand = open_.join(maybe_broadcast(held, most=100_000), same).filter(F.col("u") <= F.col("share"))
+    hand = at_hand.groupBy("source").agg(F.collect_list(F.struct("extra", "words", "row", "doc_id")).alias("hand"))
+    met = hand.join(maybe_broadcast(missed, most=10_000), hand["source"].eqNullSafe(F.col("s"))).filter(F.abs("missed") >= 0.5).select("missed", "hand")
+    kind = rows.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for missed, hand in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out += settle(missed, hand)
+            if out:
+                row, doc_id, flip = zip(*out, strict=True)
+                ids = batch.schema.field(1).type.value_type.field("doc_id").type
+                yield pa.RecordBatch.from_arrays([pa.array(row, type=pa.int64()), pa.array(doc_id, type=ids), pa.array(flip, type=pa.int64())], names=["row", "doc_id", "flip"])
+
+    return met.mapInArrow(run, f"row long, doc_id {kind.simpleString()}, flip long")
+
+
+def settle(missed: float, hand: list[dict]) -> list[tuple]:
+    """(row, doc_id, flip) of units of `hand` that bring what a source misses, in words, near 0: larger ones first, each if
+    it leaves less than before. Ties go by row."""
+    out = []
+    for x in sorted(hand, key=lambda x: (-x["words"], x["row"])):
+        flip = 1 if x["extra"] == 0 else -1
+        if abs(missed - flip * x["words"]) < abs(missed):
+            missed -= flip * x["words"]
+            out.append((x["row"], x["doc_id"], flip))
+    return out
 
 
 def mixing_units(docs: DataFrame) -> DataFrame:
@@ -150,9 +201,14 @@ def mix(docs: DataFrame, most: float = 3.0, weights: tuple[int, ...] = WEIGHTS,
 
 
 def mixed_documents(docs: DataFrame, most: float = 3.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
-    """The documents that the mix takes, with their own columns and mix_size, mix_target, mix_copies, mix_taken."""
-    names = {"doc_id": "__id", "source": "__source", "size": "__size", "target": "mix_target", "copies": "mix_copies"}
+    """The documents that the mix takes, with their own columns and mix_size, mix_target, mix_copies, mix_taken.
+
+    A name that `docs` has already is lengthened by a low line. Nulls, empty texts, ties and repeated rows: see `mix`.
+    """
+    size, target, times, words = (spare(docs, c) for c in ("mix_size", "mix_target", "mix_copies", "mix_taken"))
+    own_id, own_source, own_size = (spare(docs, c) for c in ("__id", "__source", "__size"))
+    names = {"doc_id": own_id, "source": own_source, "size": own_size, "target": target, "copies": times}
     taken = copies(mixing_units(docs), most, weights, seed).filter(F.col("copies") > 0).select(*(F.col(a).alias(b) for a, b in names.items()))
-    sized = docs.withColumn("mix_size", words_of(F.col("text")))
-    joined = sized.join(taken, sized["doc_id"].eqNullSafe(F.col("__id")) & sized["source"].eqNullSafe(F.col("__source")) & (F.col("mix_size") == F.col("__size")))
-    return joined.select(*docs.columns, "mix_size", "mix_target", "mix_copies", (F.col("mix_size") * F.col("mix_copies")).alias("mix_taken"))
+    sized = docs.withColumn(size, words_of(F.col("text")))
+    joined = sized.join(taken, sized["doc_id"].eqNullSafe(F.col(own_id)) & sized["source"].eqNullSafe(F.col(own_source)) & (F.col(size) == F.col(own_size)))
+    return joined.select(*docs.columns, size, target, times, (F.col(size) * F.col(times)).alias(words))
