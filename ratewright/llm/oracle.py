@@ -69,10 +69,17 @@ WITH a AS (SELECT *, regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0
 b AS (SELECT *, regexp_replace(bare, '\?.*$', '') AS place, regexp_extract(bare, '\?(.*)$', 1) AS query FROM a),
 c AS (SELECT *, list_sort(list_filter(string_split(query, '&'), lambda f: f <> '' AND NOT regexp_matches(f, '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)'))) AS fields FROM b),
 p AS (SELECT page_id, CASE WHEN url IS NOT NULL THEN regexp_replace(regexp_replace(lower(regexp_extract(place, '^[^/]*')), ':(80|443)$', ''), '^www\.', '') || regexp_replace(regexp_extract(place, '^[^/]*(.*)$', 1), '/+$', '') || CASE WHEN len(fields) > 0 THEN '?' || array_to_string(fields, '&') ELSE '' END END AS canonical,
-             regexp_extract(coalesce(html, ''), '<html lang="([a-z]*)"', 1) AS lang, md5(regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1)) AS digest, CAST(length(coalesce(html, '')) AS VARCHAR) AS size FROM c),
-q AS (SELECT *, max(page_id) OVER (PARTITION BY canonical ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base_id FROM p),
-s AS (SELECT q.page_id, q.canonical, q.base_id, o.lang AS o_lang, o.size AS o_size, CASE WHEN q.canonical IS NULL OR o.page_id IS NULL THEN 'missing' WHEN q.digest = o.digest THEN 'resolved' ELSE 'changed' END AS status FROM q LEFT JOIN p o ON o.page_id = q.base_id)
-SELECT page_id, canonical, CASE WHEN status <> 'missing' THEN base_id END AS base_page_id, status, CAST(page_id * 2 AS VARCHAR) AS date, CASE WHEN status = 'resolved' THEN o_size ELSE '0' END AS content_length, CASE WHEN status = 'resolved' THEN o_lang END AS content_language FROM s
+             regexp_extract(coalesce(html, ''), '<html lang="([a-z]*)"', 1) AS lang, regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1) AS title, CAST(length(coalesce(html, '')) AS VARCHAR) AS size FROM c),
+full_ AS (SELECT page_id, canonical, page_id * 20 AS at_, lang, size, CASE WHEN page_id % 3 <> 0 THEN md5(title || lang) END AS etag, md5(title) AS digest FROM p),
+q AS (SELECT page_id, visit, canonical, page_id * 20 + later AS at_,
+             CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 13 = 0 THEN md5('other ' || title) WHEN page_id % 3 <> 0 THEN md5(title || lang) END AS etag,
+             CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 11 = 0 THEN md5('other ' || title) ELSE md5(title) END AS digest FROM p, (VALUES (1, 1), (2, 700), (3, -5)) v(visit, later)),
+s AS (SELECT q.*, o.page_id AS base_id, o.lang AS o_lang, o.size AS o_size,
+             CASE WHEN o.page_id IS NULL THEN 'missing' WHEN q.etag IS NOT NULL AND o.etag IS NOT NULL THEN CASE WHEN q.etag = o.etag THEN 'resolved' ELSE 'changed' END
+                  WHEN q.digest IS NOT NULL AND o.digest IS NOT NULL THEN CASE WHEN q.digest = o.digest THEN 'resolved' ELSE 'changed' END ELSE 'unchecked' END AS status
+      FROM q ASOF LEFT JOIN full_ o ON q.canonical = o.canonical AND q.at_ > o.at_)
+SELECT page_id, visit, canonical, base_id AS base_page_id, status, CAST(at_ AS VARCHAR) AS date, CASE WHEN status = 'resolved' THEN o_size ELSE '0' END AS content_length,
+       CASE WHEN status = 'resolved' THEN o_lang END AS content_language, CASE WHEN status = 'resolved' THEN 'max-age=60' END AS cache_control, coalesce(etag, '-') AS etag FROM s
 """
 
 ORACLE = {"op5_contamination": CONTAMINATION, "op6_jaccard_join": JACCARD, "op9_revisits": REVISITS, "op10_secrets": SECRETS, "secrets_rescan": RESCAN}

@@ -53,22 +53,35 @@ def op8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
-    """Every page as a full response at its id's time, and as a revisit just after: validators from its title and language."""
-    lang = F.regexp_extract(F.coalesce("html", F.lit("")), r'<html lang="([a-z]*)"', 1)
-    title = F.regexp_extract(F.coalesce("html", F.lit("")), r"<title>([^<]*)</title>", 1)
-    rows = pages.select(F.col("page_id").alias("id"), "url", lang.alias("lang"), F.md5(title).alias("digest"), F.length(F.coalesce("html", F.lit(""))).cast("string").alias("size"))
-    headers = F.create_map(F.lit("date"), (F.col("id") * 2).cast("string"), F.lit("content-length"), F.col("size"), F.lit("content-language"), F.col("lang"))
+    """Captures of every page by rule of its id: a full response at time 20 id, and revisits at 20 id + 1, + 700 and - 5.
+
+    A response's validators are its title's digest and, but for each third id, an etag made of title and language. Revisits
+    show those of their page, but: every fifth page's lack the etag, every seventh's lack the digest, every eleventh's
+    have another digest and every thirteenth's another etag. So of the later captures of a URL some agree with the latest
+    response before them, some don't, some share no validator with it, and the earliest have none before them.
+    """
+    id_, text = F.col("page_id"), F.coalesce("html", F.lit(""))
+    title = F.regexp_extract(text, "<title>([^<]*)</title>", 1)
     none = F.lit(None).cast("string")
-    full = rows.select("id", "url", (F.col("id") * 2).alias("at"), F.lit(True).alias("full"), none.alias("etag"), "digest", headers.alias("headers"))
-    again = F.create_map(F.lit("date"), (F.col("id") * 2).cast("string"), F.lit("content-length"), F.lit("0"))
-    revisit = rows.select("id", "url", (F.col("id") * 2).alias("at"), F.lit(False).alias("full"), none.alias("etag"), "digest", again.alias("headers"))
+    rows = pages.select(id_.alias("page"), "url", F.regexp_extract(text, r'<html lang="([a-z]*)"', 1).alias("lang"), title.alias("title"), F.length(text).cast("string").alias("size"))
+    etag = F.md5(F.concat("title", "lang"))
+    of = lambda k: F.col("page") % k == 0
+    full_headers = F.create_map(F.lit("date"), (F.col("page") * 20).cast("string"), F.lit("content-length"), F.col("size"), F.lit("content-language"), F.col("lang"), F.lit("cache-control"), F.lit("max-age=60"))
+    full = rows.select((F.col("page") * 4).alias("id"), "page", "url", (F.col("page") * 20).alias("at"), F.lit(True).alias("full"), F.when(~of(3), etag).alias("etag"), F.md5("title").alias("digest"), full_headers.alias("headers"))
+    shown = F.when(of(5), none).when(of(13), F.md5(F.concat(F.lit("other "), F.col("title")))).when(~of(3), etag)
+    digest = F.when(of(7), none).when(of(11), F.md5(F.concat(F.lit("other "), F.col("title")))).otherwise(F.md5("title"))
+    when = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(d).alias("later")) for k, d in ((1, 1), (2, 700), (3, -5))))).alias("w")
+    again = rows.select("page", "url", "lang", "title", when)
+    at = F.col("page") * 20 + F.col("w.later")
+    headers = F.create_map(F.lit("date"), at.cast("string"), F.lit("content-length"), F.lit("0"), F.lit("etag"), F.coalesce(shown, F.lit("-")))
+    revisit = again.select((F.col("page") * 4 + F.col("w.k")).alias("id"), "page", "url", at.alias("at"), F.lit(False).alias("full"), shown.alias("etag"), digest.alias("digest"), headers.alias("headers"))
     return full.unionByName(revisit)
 
 
 def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = revisits.resolve(page_captures(table(spark, sf_dir, "pages")))
     header = lambda k: F.col("headers")[k].alias(k.replace("-", "_"))
-    return found.select(F.col("id").alias("page_id"), "canonical", F.col("base_id").alias("base_page_id"), "status", header("date"), header("content-length"), header("content-language"))
+    return found.select(F.floor(F.col("id") / 4).cast("long").alias("page_id"), (F.col("id") % 4).cast("int").alias("visit"), "canonical", F.floor(F.col("base_id") / 4).cast("long").alias("base_page_id"), "status", header("date"), header("content-length"), header("content-language"), header("cache-control"), header("etag"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratewright.llm.common import cut
+from ratewright.llm.common import cut, maybe_broadcast
 
 #: Headers that a response without body may update, and query fields that don't name another page.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -47,11 +47,13 @@ def resolve(captures: DataFrame) -> DataFrame:
     """
     rows = captures.select("id", canonical(F.col("url")).alias("canonical"), "at", "full", "etag", "digest", "headers")
     rows = cut(rows, "captures")
+    # without URL or time nothing is resolved: such captures don't take part in the as-of join
+    apart = rows.filter((F.col("canonical").isNull() | F.col("at").isNull()) & ~F.col("full"))
+    everything, rows = rows, rows.filter(F.col("canonical").isNotNull() & F.col("at").isNotNull())
     counts = rows.groupBy("canonical").agg(F.count("*").alias("n"), F.min("at").alias("from"), F.max("at").alias("to")).filter(F.col("n") > SPAN_ROWS)
     counts = counts.select("canonical", "from", F.greatest(F.ceil((F.col("to") - F.col("from") + 1) / F.ceil(F.col("n") / SPAN_ROWS)), F.lit(1)).alias("width"))
     hot = cut(counts, "captures-hot")
-    hot = F.broadcast(hot) if hot.count() <= 10_000 else hot
-    rows = rows.join(hot, "canonical", "left").withColumn("span", F.coalesce(F.floor((F.col("at") - F.col("from")) / F.col("width")), F.lit(0))).drop("from", "width")
+    rows = rows.join(maybe_broadcast(hot, most=10_000), "canonical", "left").withColumn("span", F.coalesce(F.floor((F.col("at") - F.col("from")) / F.col("width")), F.lit(0))).drop("from", "width")
     held = F.struct("at", "id", "etag", "digest", "headers")
     value = F.when(F.col("full") & F.col("at").isNotNull() & F.col("canonical").isNotNull(), F.struct("at", "id"))
     # what each span ends with, handed on to the spans after it; only URLs of several spans have any
@@ -61,6 +63,7 @@ def resolve(captures: DataFrame) -> DataFrame:
     inside = Window.partitionBy("canonical", "span").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     seen = rows.withColumn("near", F.max(value).over(inside)).filter("not full").join(ends, ["canonical", "span"], "left")
     seen = seen.withColumn("base", F.coalesce("near", "before")).select("id", "canonical", "at", "etag", "digest", "headers", F.col("base.id").alias("base_id"))
+    seen = seen.unionByName(apart.select("id", "canonical", "at", "etag", "digest", "headers", F.lit(None).cast(everything.schema["id"].dataType).alias("base_id")))
     base = rows.filter("full").select(F.col("canonical").alias("b_canonical"), F.col("id").alias("b_id"), held.alias("b")).dropDuplicates(["b_canonical", "b_id"])
     joined = seen.join(base, (F.col("canonical") == F.col("b_canonical")) & (F.col("base_id") == F.col("b_id")), "left")
     verdict = (
