@@ -1,21 +1,22 @@
 """Quality rules: base counts of each text, and multivariate outliers per language and source.
 
-The verdict is a robust one. Minimum-covariance-determinant estimates are found by concentration steps that
-run as grouped aggregations: from a deterministic start (medians and absolute deviations), each step ranks a
-group's rows by distance, keeps the half that lies closest and takes its mean and covariance. Groups share
-each pass; nothing of a group is gathered in one task, whatever its size.
+The verdict is a robust one. Minimum-covariance-determinant estimates are found by concentration steps that run as
+grouped aggregations: each step bins a group's rows by distance, keeps the closest `support` of them and takes their
+mean and covariance. Several starts (medians and absolute deviations, and means and covariances of a few rows drawn by
+hash) make two steps each; the one of least determinant goes on until its determinant falls no more. Groups and
+starts share each pass; nothing of a group is gathered in one task, whatever its size. Bins and sums are whole
+numbers, so that reruns agree.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewright.llm.common import cut, maybe_broadcast, slices
@@ -34,16 +35,24 @@ BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repea
 
 
 def repeated_words(words: list[bytes], window: int = 3) -> int:
-    """Words inside windows that the text has twice or more, the first included."""
-    grams = list(zip(*(words[i:] for i in range(window)), strict=False))
-    if len(found := Counter(grams)) == len(grams):
+    """Words inside windows that the text has twice or more, the first included. Words go by number, so that a long text
+    takes some tens of bytes for each of them."""
+    n = len(words) - window + 1
+    if n < 2:
         return 0
-    total, until = 0, 0
-    for i, g in enumerate(grams):
-        if found[g] > 1:
-            total += i + window - max(i, until)
-            until = i + window
-    return total
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words))
+    key = ids[:n]
+    for i in range(1, window):  # numbered anew at each step, so that keys stay below the square of the text's length
+        key = np.unique(key * len(number) + ids[i : i + n], return_inverse=True)[1]
+    often = np.bincount(key)[key] > 1
+    if not often.any():
+        return 0
+    inside = np.zeros(len(words) + 1, dtype=np.int64)
+    at = np.flatnonzero(often)
+    np.add.at(inside, at, 1)
+    np.add.at(inside, at + window, -1)
+    return int((np.cumsum(inside) > 0).sum())
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -100,36 +109,105 @@ def inner_share(p: int, support: float) -> float:
     return closer / support
 
 
-def estimates(rows: DataFrame, support: float = 0.75, steps: int = 4, floors: tuple[float, ...] = FLOORS) -> DataFrame:
-    """(g_lang, g_source, mean array, inverse array, n) for each group of `rows`.
+KEYS = ["g_lang", "g_source"]
+FIT = "g_lang string, g_source string, start int, mean array<double>, inverse array<double>, logdet double, n long"
 
-    The squares of `floors` are added to the variances. Ties in distance all count as closest. The number of groups bounds the tables that move; each pass reads the vectors once.
-    """
+#: Bins of a statistic for each unit, and of a distance for each doubling: what is closer than that counts as a tie. Sums
+#: are of whole numbers of these parts of a unit. Rows that make a start; starts besides the medians; steps at most.
+FINE, TIES, PARTS, ROWS_OF_START, STARTS, STEPS = 256, 64, 1 << 20, 6, 3, 12
+
+
+def first_beyond(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """`keys` and `within`: the least `bin` up to which a `share` of the rows of each group lies."""
+    counts = rows.groupBy(*keys, "bin").agg(F.count("*").alias("held"))
+    by = Window.partitionBy(*keys)
+    placed = counts.withColumn("upto", F.sum("held").over(by.orderBy("bin"))).withColumn("all", F.sum("held").over(by))
+    return placed.filter(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy(*keys).agg(F.min("bin").alias("within"))
+
+
+def medians(rows: DataFrame, values: list[Column]) -> DataFrame:
+    """KEYS and at_0, at_1, ...: the median of each of `values` by group, to a 256th."""
+    binned = rows.select(*KEYS, F.explode(F.array(*(F.struct(F.lit(i).alias("dim"), F.floor(v * FINE).alias("bin")) for i, v in enumerate(values)))).alias("x")).select(*KEYS, "x.dim", "x.bin")
+    found = first_beyond(binned, [*KEYS, "dim"], 0.5)
+    return found.groupBy(*KEYS).agg(*(F.max(F.when(F.col("dim") == i, (F.col("within") + 0.5) / FINE)).alias(f"at_{i}") for i in range(len(values))))
+
+
+def starts(rows: DataFrame, floors: tuple[float, ...]) -> DataFrame:
+    """FIT of each group and start, before any step."""
     p = len(DIMS)
-    keys = ["g_lang", "g_source"]
-    start = rows.groupBy(*keys).agg(*(F.percentile_approx(d, 0.5, 2000).alias(f"m_{d}") for d in DIMS), F.count("*").alias("n"))
-    groups = start.count()
-    about = rows.join(maybe_broadcast(start, groups, 10_000), keys)
-    spread_of = about.groupBy(*keys).agg(*(F.percentile_approx(F.abs(F.col(d) - F.col(f"m_{d}")), 0.5, 2000).alias(f"s_{d}") for d in DIMS), *(F.first(f"m_{d}").alias(f"m_{d}") for d in DIMS), F.first("n").alias("n"))
-    inverse = F.array(*(F.lit(0.0) if i != j else 1.0 / (F.pow(1.4826 * F.col(f"s_{d}"), 2) + floors[i] ** 2) for i, d in enumerate(DIMS) for j in range(p)))
-    fit = cut(spread_of.select(*keys, F.array(*(F.col(f"m_{d}") for d in DIMS)).alias("mean"), inverse.alias("inverse"), "n"), "mcd")
+    middle = cut(medians(rows, [F.col(d) for d in DIMS]), "mcd-start")
+    about = rows.join(maybe_broadcast(middle), KEYS)
+    spread = medians(about, [F.abs(F.col(d) - F.col(f"at_{i}")) for i, d in enumerate(DIMS)]).withColumnsRenamed({f"at_{i}": f"off_{i}" for i in range(p)})
+    vector = F.array(*(F.col(d) for d in DIMS))
+    drawn = [F.array(*(F.min_by(vector, F.xxhash64(*DIMS, F.lit(100 * k + j))) for j in range(ROWS_OF_START))) for k in range(STARTS)]
+    held = rows.groupBy(*KEYS).agg(F.count("*").alias("n"), F.array(*drawn).alias("drawn"))
+    table = held.join(middle, KEYS).join(spread, KEYS).select(*KEYS, "n", "drawn", F.array(*(F.col(f"at_{i}") for i in range(p))).alias("at"), F.array(*(F.col(f"off_{i}") for i in range(p))).alias("off"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for lang, source, n, drawn, at, off in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                out.append((lang, source, 0, at, np.diag((1.4826 * np.array(off)) ** 2 + np.square(floors)), n))
+                for k, points in enumerate(np.array(drawn), 1):
+                    out.append((lang, source, k, points.mean(axis=0).tolist(), np.cov(points.T, bias=True) + np.diag(np.square(floors)), n))
+            if out:
+                yield fitted(out)
+
+    return cut(table.mapInArrow(run, FIT), "mcd-start")
+
+
+def fitted(rows: list[tuple]) -> pa.RecordBatch:
+    """FIT from (g_lang, g_source, start, mean, covariance, n); the floors on the diagonal keep covariances regular."""
+    lang, source, start, mean, cov, n = zip(*rows, strict=True)
+    columns = [lang, source, start, mean, [np.linalg.inv(c).ravel().tolist() for c in cov], [float(np.linalg.slogdet(c)[1]) for c in cov], n]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["g_lang", "g_source", "start", "mean", "inverse", "logdet", "n"])
+
+
+def concentrated(rows: DataFrame, fit: DataFrame, support: float, floors: tuple[float, ...]) -> DataFrame:
+    """FIT after one step: the mean and covariance of the `support` of rows that lie closest under `fit`."""
+    p, keys = len(DIMS), [*KEYS, "start"]
+    upper = [(i, j) for i in range(p) for j in range(i, p)]
+    seen = rows.join(maybe_broadcast(fit), KEYS).withColumn("bin", F.floor(F.log2(F.greatest(distance(), F.lit(2.0**-40))) * TIES).cast("int"))
+    within = cut(first_beyond(seen, keys, support), "mcd-within")
+    close = seen.join(maybe_broadcast(within), keys).filter(F.col("bin") <= F.col("within"))
+    whole = lambda v: F.sum(F.round(v * PARTS).cast("long"))
+    moments = close.groupBy(*keys).agg(F.max("n").alias("n"), F.count("*").alias("m"), F.array(*(whole(F.col(d)) for d in DIMS)).alias("sums"), F.array(*(whole(F.col(DIMS[i]) * F.col(DIMS[j])) for i, j in upper)).alias("products"))
     scale = inner_share(p, support)
-    for _ in range(steps):
-        seen = rows.join(maybe_broadcast(fit, groups, 10_000), keys).withColumn("d2", distance())
-        bound = seen.groupBy(*keys).agg(F.percentile_approx("d2", support, 2000).alias("within"))
-        close = seen.join(maybe_broadcast(bound, groups, 10_000), keys).filter(F.col("d2") <= F.col("within"))
-        moments = close.groupBy(*keys).agg(F.first("n").alias("n"), *(F.avg(d).alias(f"m_{d}") for d in DIMS), *(F.covar_pop(a, b).alias(f"c_{i}_{j}") for i, a in enumerate(DIMS) for j, b in enumerate(DIMS) if j >= i))
-        flat = moments.select(*keys, "n", F.array(*(F.col(f"m_{d}") for d in DIMS)).alias("mean"), F.array(*(F.col(f"c_{min(i, j)}_{max(i, j)}") / scale + (floors[i] ** 2 if i == j else 0.0) for i in range(p) for j in range(p))).alias("cov"))
-        fit = cut(flat.mapInArrow(inverted, "g_lang string, g_source string, mean array<double>, inverse array<double>, n long"), "mcd")
-    return fit
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for lang, source, start, n, m, sums, products in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                mean = np.array(sums) / PARTS / m
+                cov = np.zeros((p, p))
+                for (i, j), x in zip(upper, products, strict=True):
+                    cov[i, j] = cov[j, i] = x / PARTS / m - mean[i] * mean[j]
+                out.append((lang, source, start, mean.tolist(), cov / scale + np.diag(np.square(floors)), n))
+            if out:
+                yield fitted(out)
 
-def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covariances to inverses; the floors on the diagonal keep them regular."""
-    for b in batches:
-        x = b.to_pydict()
-        inv = [np.linalg.inv(np.array(c).reshape(len(DIMS), -1)).ravel().tolist() for c in x["cov"]]
-        yield pa.RecordBatch.from_arrays([b.column("g_lang"), b.column("g_source"), b.column("mean"), pa.array(inv, type=pa.list_(pa.float64())), b.column("n")], names=["g_lang", "g_source", "mean", "inverse", "n"])
+    return cut(moments.select(*keys, "n", "m", "sums", "products").mapInArrow(run, FIT), "mcd")
+
+
+def estimates(rows: DataFrame, support: float = 0.75, steps: int = STEPS, floors: tuple[float, ...] = FLOORS) -> DataFrame:
+    """FIT of each group of `rows` (g_lang, g_source and the statistics): that of the least determinant found.
+
+    The squares of `floors` are added to the variances. Rows of one bin of distance are all in or out. The number of
+    groups bounds the tables that move; each pass reads the vectors once. Of equal determinants the first start counts.
+    """
+    fit = starts(rows, floors)
+    for _ in range(2):
+        fit = concentrated(rows, fit, support, floors)
+    best = F.min_by(F.struct("start", "mean", "inverse", "logdet", "n"), F.struct("logdet", "start"))
+    fit = cut(fit.groupBy(*KEYS).agg(best.alias("b")).select(*KEYS, "b.*"), "mcd")
+    for _ in range(max(0, steps - 2)):
+        after = concentrated(rows, fit, support, floors)
+        both = fit.select(*KEYS, F.col("logdet").alias("before")).join(after, KEYS)
+        if both.filter(F.col("before") - F.col("logdet") > 1e-6).isEmpty():
+            break  # no group's determinant falls any more
+        fit = after
+    return fit
 
 
 def distance() -> Column:
@@ -167,7 +245,7 @@ def rate_quality(docs: DataFrame, tail: float = 1e-9, least_group: int = 20) ->
     passes has a distance. Null and empty texts have 0 words and fail. Repeated rows each count
     and each give a row; an empty table gives none; columns beyond doc_id, text, lang and source are ignored.
     """
-    keys = ["g_lang", "g_source"]
+    keys = KEYS
     base = statistics(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     base = base.select("*", F.concat(F.lit("="), F.col("lang")).alias("gl"), F.concat(F.lit("="), F.col("source")).alias("gs"), *vectors())
     base = cut(base.withColumns({"g_lang": F.coalesce("gl", F.lit("-")), "g_source": F.coalesce("gs", F.lit("-"))}).drop("gl", "gs", "lang", "source"), "quality")

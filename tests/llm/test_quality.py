@@ -73,3 +73,45 @@ def test_estimates_approach_those_of_clean_rows(spark):
 def test_chi_square_cutoff():
     assert quality.cutoff(4, 0.05) == pytest.approx(9.4877, abs=1e-3)
     assert quality.inner_share(4, 0.999999) == pytest.approx(1, abs=1e-3)
+
+
+def brute_mcd(x, floors, support=0.75, seed=0, tries=200):
+    """The least determinant over many random starts, each with steps to the end, over exact subsets."""
+    rng, h, best = np.random.default_rng(seed), int(np.ceil(len(x) * support)), None
+    scale, add = quality.inner_share(x.shape[1], support), np.diag(np.square(floors))
+    for _ in range(tries):
+        own = x[rng.choice(len(x), 6, replace=False)]
+        mean, cov, last = own.mean(axis=0), np.cov(own.T, bias=True) + add, np.inf
+        for _ in range(60):
+            off = x - mean
+            near = np.argsort(np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off), kind="stable")[:h]
+            mean, cov = x[near].mean(axis=0), np.cov(x[near].T, bias=True) / scale + add
+            if (det := np.linalg.slogdet(cov)[1]) > last - 1e-9:
+                break
+            last = det
+        if best is None or last < best[0]:
+            best = last, mean, cov
+    return best
+
+
+@pytest.mark.parametrize("kind", ["one", "two"])
+def test_estimates_against_brute_force(spark, kind):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 4)) @ np.array([[1, 0.4, 0, 0], [0, 0.6, 0.2, 0], [0, 0, 0.5, 0], [0.3, 0, 0, 1]]) + [5, 2, 3, 4]
+    x[:60] = rng.normal(size=(60, 4)) * 0.3 + ([9, 9, 9, 9] if kind == "one" else [5, 2, 9, 0])
+    floors = (0.05,) * 4
+    rows = spark.createDataFrame([("en", "s", *map(float, v)) for v in x], "g_lang string, g_source string, " + ", ".join(f"{d} double" for d in quality.DIMS))
+    fit = quality.estimates(rows, floors=floors).first()
+    logdet, mean, cov = brute_mcd(x, floors)
+    assert fit["logdet"] <= logdet + 0.05  # ties of a bin are all in
+    assert np.allclose(fit["mean"], mean, atol=0.05) and np.allclose(np.linalg.inv(np.array(fit["inverse"]).reshape(4, 4)), cov, atol=0.05)
+    again = quality.estimates(rows.repartition(7), floors=floors).first()
+    assert again["mean"] == fit["mean"] and again["logdet"] == fit["logdet"]
+
+
+def test_repeated_words_of_long_texts():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 3, 4, 50, 400):
+        words = [b"abc"[k : k + 1] for k in rng.integers(0, 3 if n < 60 else 2, n)]
+        assert quality.repeated_words(words) == brute(b" ".join(words).decode())[4]
+    assert quality.repeated_words([b"%d" % k for k in range(300_000)]) == 0
