@@ -235,7 +235,7 @@ def pools(rows: DataFrame, least_group: int) -> DataFrame:
     return cut(groups.join(langs, "g_lang").select(*keys, feeds.alias("feeds"), judge["g_lang"].alias("e_lang"), judge["g_source"].alias("e_source")), "quality-pools")
 
 
-def rate_quality(docs: DataFrame, tail: float = 1e-9, least_group: int = 20) -> DataFrame:
+def rate_quality(docs: DataFrame, tail: float = 1e-6, least_group: int = 20) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
     base_failed: fewer than 50 words, or over half of them in repeated 3-word windows. kept: not base_failed and

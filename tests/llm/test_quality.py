@@ -44,6 +44,21 @@ def test_outliers_of_a_group_go_and_others_stay(spark):
     assert not any(kept[1000 + i] for i in range(20))
 
 
+def test_outliers_by_repetition_and_by_lines(spark):
+    import random
+
+    r = random.Random(6)
+    data = [(i, cases.prose(r, r.randint(60, 400)), "en", "s1", 1) for i in range(200)]
+    for i in range(8):
+        same = cases.prose(r, 45)
+        data.append((1000 + i, f"{same} {cases.prose(r, 110)} {same}", "en", "s1", 1))  # 45 % of words, no line twice
+        lines = [f"{w}{k}" for k, w in enumerate(cases.prose(r, 60).split())]
+        data.append((2000 + i, "\n".join(r.sample(lines, 60) + r.sample(lines, 60)), "en", "s1", 1))  # each line twice, in another order
+    rows = {x.doc_id: x for x in quality.rate_quality(cases.table(spark, data)).collect()}
+    assert not any(x.base_failed for x in rows.values())
+    assert {i for i, x in rows.items() if not x.kept} == {i for i in rows if i >= 1000}
+
+
 def test_small_groups_are_judged_by_pools(spark):
     import random
 
