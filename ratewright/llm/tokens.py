@@ -9,6 +9,7 @@ The rank tables have as many entries as the vocabulary, which bounds what is bro
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -26,6 +27,9 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Counts of pre-tokens that a worker remembers; when full it starts anew, which changes no result.
 REMEMBERED = 400_000
 
+#: Symbols from which a pre-token is merged by itself.
+LONG = 1_000
+
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -58,6 +62,13 @@ class Merges:
     def counts(self, pre_tokens: list[bytes]) -> np.ndarray:
         """Symbols that each pre-token ends with. All lie in one array; memory follows its bytes."""
         lengths = np.fromiter(map(len, pre_tokens), dtype=np.int64, count=len(pre_tokens))
+        if (lengths > LONG).any():
+            out = np.zeros(lengths.size, dtype=np.int64)
+            short = np.flatnonzero(lengths <= LONG)
+            out[short] = self.counts([pre_tokens[i] for i in short]) if short.size else 0
+            for i in np.flatnonzero(lengths > LONG):
+                out[i] = self.long_count(self.of_byte[np.frombuffer(pre_tokens[i], dtype=np.uint8)])
+            return out
         out = lengths.copy()
         flat = self.of_byte[np.frombuffer(b"".join(pre_tokens), dtype=np.uint8)]
         seq = np.repeat(np.arange(len(pre_tokens)), lengths)
@@ -84,6 +95,59 @@ class Merges:
         return out
 
 
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, symbol made) of pairs; NO_RANK for those that aren't merged."""
+        key = (left.astype(np.int64) << 32) | right
+        at = np.minimum(np.searchsorted(self.keys, key), self.keys.size - 1)
+        known = self.keys[at] == key
+        return np.where(known, self.ranks[at], NO_RANK), self.made[at]
+
+    def long_count(self, symbol: np.ndarray) -> int:
+        """Symbols that survive of one long sequence: all places of its lowest rank merge at once, and only pairs next to a
+        merge are looked up again. Places wait by rank, so that time grows with the merges and not with rounds times length."""
+        n = symbol.size
+        symbol, after, before = symbol.astype(np.int64), np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank, made = np.full(n + 1, NO_RANK, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+        rank[: n - 1], made[: n - 1] = self.ranks_of(symbol[:-1], symbol[1:])
+        order = np.argsort(rank[: n - 1], kind="stable")
+        order = order[rank[order] != NO_RANK]
+        edges = np.r_[0, np.flatnonzero(np.diff(rank[order])) + 1, order.size]
+        waiting = {int(rank[order[a]]): [order[a:b]] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if b > a}
+        heap = sorted(waiting)
+        left = n
+        while heap:
+            r = heapq.heappop(heap)
+            held = waiting.pop(r)
+            hit = held[0] if len(held) == 1 else np.unique(np.concatenate(held))
+            hit = hit[rank[hit] == r]
+            if not hit.size:
+                continue
+            if hit.size > 1 and (near := after[hit[:-1]] == hit[1:]).any():  # a run of one symbol: pairs from its left
+                start = np.r_[True, ~near]
+                place = np.arange(hit.size)
+                hit = hit[(place - np.maximum.accumulate(np.where(start, place, 0))) % 2 == 0]
+            gone = after[hit]
+            symbol[hit], rank[gone] = made[hit], NO_RANK
+            left -= hit.size
+            after[hit] = after[gone]
+            inner = after[hit] < n
+            before[after[hit][inner]] = hit[inner]
+            front = before[hit]
+            again = np.unique(np.r_[hit, front[front >= 0]])
+            last = after[again] >= n
+            rank[again[last]] = NO_RANK
+            again = again[~last]
+            rank[again], made[again] = self.ranks_of(symbol[again], symbol[after[again]])
+            again = again[rank[again] != NO_RANK]
+            for i, k in zip(again.tolist(), rank[again].tolist(), strict=True):
+                if k in waiting:
+                    waiting[k].append([i])
+                else:
+                    waiting[k] = [np.array([i])]
+                    heapq.heappush(heap, k)
+        return left
+
+
 class Counts(dict):
     """Pre-token to number of tokens, filled for many at once."""
 

@@ -1,3 +1,6 @@
+import random
+import time
+
 import public_tokenizers
 from cases_path import cases
 from collections import Counter
@@ -33,6 +36,21 @@ def test_long_run():
         assert COUNTS.of([text]) == [library(text)]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.text(alphabet="aabcdetionsrh", min_size=1, max_size=400), st.integers(1, 3))
+def test_long_sequences_against_the_library(text, times):
+    text = (text * (3000 // len(text) * times + 1))[: 1500 * times]
+    assert COUNTS.of([text]) == [library(text)]
+
+
+def test_time_of_a_very_long_run():
+    r, began = random.Random(1), time.process_time()
+    text = "".join(r.choice("etaoinshrdlucmfw") for _ in range(200_000))
+    found = tokens.Counts(COUNTS.merges).of([text])
+    assert time.process_time() - began < 20  # under 2 s on an idle core; 29 s before
+    assert found == [library(text)]
+
+
 def test_table(spark):
     found = tokens.count_tokens(cases.table(spark), PATH).collect()
     want = Counter((i, len((t or "").encode()), n := library(t), n > 512) for i, t, *_ in cases.rows())
