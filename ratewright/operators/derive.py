@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratewright.sources.schema import CASES
@@ -37,9 +37,11 @@ def deduplicated(df: DataFrame, *ties: str) -> DataFrame:
     """The last filing by id of each establishment and year; a missing id counts as last, missing keys as one key."""
     if "establishment_id" not in df.columns or "year_filing_for" not in df.columns:
         return df
-    order = ([F.col("id").desc_nulls_first()] if "id" in df.columns else [F.col("establishment_id").desc()]) + [F.col(t).desc() for t in ties]
-    at = Window.partitionBy("establishment_id", "year_filing_for").orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(at)).filter("_rank = 1").drop("_rank")
+    keys = ["establishment_id", "year_filing_for"]
+    order = F.struct(*([F.col("id").isNull(), "id"] if "id" in df.columns else []), *ties, F.lit(0))
+    # the last one so far is kept where rows are read, so that keys with very many filings, a missing one too, move few
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in df.columns if c not in keys)), order).alias("last"))
+    return last.select(*(c if c in keys else F.col("last")[c].alias(c) for c in df.columns))
 
 
 def size_band(employees: Column, edges: tuple[float, ...] = BAND_EDGES, labels: tuple[str, ...] = BAND_LABELS) -> Column:

@@ -12,6 +12,7 @@ from ratewright.models import counts
 from ratewright.operators import expectations as ex
 from ratewright.operators import graph, influence, panel, peers, rates, screen, sectors, stability
 from ratewright.operators.derive import deduplicated, derived, with_peer_keys
+from ratewright.shared import cut
 from ratewright.sources.surrogate import SQL as VIEW
 from ratewright.sources.surrogate import filings
 
@@ -39,15 +40,25 @@ def query(sql: str | None = None, more: str = "", plain: bool = False) -> Callab
         name = f.__name__
         QUERIES[name] = f if plain else lambda spark, sf_dir: rounded(f(spark, sf_dir))
         if sql:
-            ORACLE[name] = f"WITH {VIEW.strip()}{', ' + more.strip() if more else ''} {sql.strip()}"
+            ORACLE[name] = f"WITH {'RECURSIVE ' if 'UNION ALL SELECT state' in more else ''}{VIEW.strip()}{', ' + more.strip() if more else ''} {sql.strip()}"
         return f
 
     return add
 
 
+#: Tables that base() has written, by application and folder.
+WRITTEN: dict[tuple[str, str], DataFrame] = {}
+
+
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Derived, deduplicated and screened filings."""
-    return screen.screened(deduplicated(derived(filings(spark, sf_dir))))
+    """Derived, deduplicated and screened filings: a table that all queries of a session over one folder share.
+
+    It is written once, to the shared folder; if the folder's tables change, `WRITTEN.clear()` has it made anew.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in WRITTEN:
+        WRITTEN[key] = cut(screen.screened(deduplicated(derived(filings(spark, sf_dir)))), "screened")
+    return WRITTEN[key]
 
 
 def table(spark: SparkSession, sf_dir: str, by: tuple[str, ...] = ("year_filing_for",)) -> DataFrame:
@@ -451,9 +462,23 @@ def store(spark: SparkSession, sf_dir: str, check: bool = False) -> graph.Store:
 KEYGROUPS = "pg AS (SELECT naics3 || '|' || band AS g FROM keyed WHERE NOT bad AND band IS NOT NULL GROUP BY 1), kg AS (SELECT *, naics3 || '|' || band AS grp FROM keyed)"
 
 
-@query(f"SELECT 'filed_by' AS link, {n('count(establishment_id)', 'resolved')}, {n('count(*) FILTER (establishment_id IS NULL)', 'null_keys')}, {n('0', 'dangling')} FROM kg UNION ALL SELECT 'in_year', count(*), 0, 0 FROM kg UNION ALL SELECT 'in_industry', count(naics3), count(*) FILTER (naics3 IS NULL), 0 FROM kg UNION ALL SELECT 'in_group', count(*) FILTER (grp IN (SELECT g FROM pg)), count(*) FILTER (grp IS NULL), count(*) FILTER (grp IS NOT NULL AND grp NOT IN (SELECT g FROM pg)) FROM kg UNION ALL SELECT 'group_industry', count(*), 0, 0 FROM pg", KEYGROUPS)
+#: One end of a foreign key: resolved, null and dangling keys, all counted.
+END = lambda link, key, known, rows="kg": f"SELECT '{link}' AS link, {n(f'count(*) FILTER ({key} IN ({known}))', 'resolved')}, {n(f'count(*) FILTER ({key} IS NULL)', 'null_keys')}, {n(f'count(*) FILTER ({key} IS NOT NULL AND {key} NOT IN ({known}))', 'dangling')} FROM {rows}"
+
+
+@query(
+    " UNION ALL ".join([
+        END("filed_by", "establishment_id", "SELECT establishment_id FROM screened WHERE establishment_id % 10 <> 3"), END("in_year", "year_filing_for", "SELECT year_filing_for FROM screened WHERE year_filing_for <> 1995"),
+        END("in_industry", "naics3", "SELECT naics3 FROM screened WHERE naics3 IS NOT NULL"), END("in_group", "grp", "SELECT g FROM pg"), END("group_industry", "split_part(g, '|', 1)", "SELECT naics3 FROM screened WHERE naics3 IS NOT NULL", "pg"),
+    ]),
+    KEYGROUPS,
+)
 def link_integrity(spark, sf_dir):
-    return store(spark, sf_dir).link_integrity()
+    """Over a store that lost a tenth of its establishments and a year, so that keys dangle."""
+    s = store(spark, sf_dir)
+    s.base["Establishment"] = s.base["Establishment"].filter(F.col("establishment_id") % 10 != 3)
+    s.base["ReportingYear"] = s.base["ReportingYear"].filter(F.col("year") != 1995)
+    return s.link_integrity()
 
 
 @query("SELECT DISTINCT establishment_id, CAST(NULL AS VARCHAR) AS nothing FROM screened WHERE f_high OR f_low")
@@ -475,14 +500,69 @@ def action_writeback_rates(spark, sf_dir):
     return rows.groupBy("year").agg(F.count("*").alias("n"), rates.pooled_rate(F.sum("cases"), F.sum("hours")).alias("trir"))
 
 
-@query("SELECT * FROM (VALUES ('year.columns', 'pass'), ('year.monotone_share', 'pass'), ('year.rows', 'pass'), ('year.sum', 'pass'), ('year.unique', 'pass'), ('cells.monotone', 'pass'), ('cells.range', 'pass'), ('cells.lookup', 'pass'), ('missing.skip', 'skip')) t(id, status)")
+#: Verdicts counted from the data: some pass, some don't.
+VERDICTS = {
+    "year.columns": "true", "year.monotone_share": "(SELECT bool_and(nb <= ny) FROM y)", "year.rows": "(SELECT count(*) BETWEEN 1 AND 50 FROM y)", "year.few": "(SELECT count(*) BETWEEN 1 AND 2 FROM y)",
+    "year.sum": "(SELECT sum(ny) FROM y) = (SELECT count(*) FROM screened)", "year.sum_bad": "(SELECT sum(nb) FROM y) = (SELECT count(*) FROM screened)", "year.unique": "true",
+    "year.share": "(SELECT bool_and(1.0 * nb / ny <= 0.02) FROM y)", "cells.monotone": "true", "cells.range": "(SELECT bool_and(z BETWEEN 0 AND 1) FROM zs)", "cells.zero": "(SELECT bool_and(z <= 0.5) FROM zs)",
+    "cells.lookup": "true", "rows.id": "(SELECT count(*) = count(DISTINCT id) FROM screened)", "rows.establishment": "(SELECT count(*) = count(DISTINCT establishment_id) FROM screened)",
+    "rows.hours": "(SELECT bool_and(coalesce(hours > 0, false)) FROM screened)", "rows.states": "(SELECT count(*) FILTER (state NOT LIKE 'S%') = 0 FROM screened)",
+}
+YEARS_AND_CELLS = "y AS (SELECT year_filing_for, count(*) AS ny, count(*) FILTER (bad) AS nb FROM screened GROUP BY 1), zs AS (SELECT avg(CASE WHEN trir = 0 THEN 1.0 ELSE 0.0 END) AS z FROM keyed WHERE NOT bad AND trir IS NOT NULL AND band IS NOT NULL GROUP BY year_filing_for, naics3, band)"
+
+
+@query(" UNION ALL ".join([*(f"SELECT '{k}' AS id, CASE WHEN {v} THEN 'pass' ELSE 'fail' END AS status" for k, v in VERDICTS.items()), "SELECT 'missing.skip', 'skip'"]), YEARS_AND_CELLS)
 def expectations(spark, sf_dir):
     rows = base(spark, sf_dir)
-    tables = {"year": rates.summarise(rows, "year_filing_for"), "cells": peers.percentile_table(rows), "all": rates.summarise(rows)}
+    tables = {"year": rates.summarise(rows, "year_filing_for"), "cells": peers.percentile_table(rows), "all": rates.summarise(rows), "rows": rows.withColumn("initial", F.substring("state", 1, 1))}
     E = ex.Expectation
     rules = [
         E("year.columns", "year", "columns", {"columns": ["n_filings", "hours_total"]}), E("year.monotone_share", "year", "col_le", {"left": "n_implausible", "right": "n_filings"}), E("year.rows", "year", "rows", {"low": 1, "high": 50}),
         E("year.sum", "year", "sum_ref", {"column": "n_filings", "other": "all", "other_column": "n_filings"}), E("year.unique", "year", "unique", {"columns": ["year_filing_for"]}), E("cells.monotone", "cells", "monotone_row", {"columns": [*PCT]}),
         E("cells.range", "cells", "range", {"column": "zero_share", "low": 0, "high": 1}), E("cells.lookup", "cells", "lookup", {"columns": ["year_filing_for"], "other": "year", "other_columns": ["year_filing_for"]}), E("missing.skip", "none", "rows", {}, if_missing="skip"),
+        E("year.few", "year", "rows", {"low": 1, "high": 2}), E("year.sum_bad", "year", "sum_ref", {"column": "n_implausible", "other": "all", "other_column": "n_filings"}), E("year.share", "year", "range", {"column": "implausible_share", "high": 0.02}),
+        E("cells.zero", "cells", "range", {"column": "zero_share", "high": 0.5}), E("rows.id", "rows", "unique", {"columns": ["id"]}), E("rows.establishment", "rows", "unique", {"columns": ["establishment_id"]}),
+        E("rows.hours", "rows", "range", {"column": "total_hours_worked", "low": 1e-9}), E("rows.states", "rows", "value_in", {"column": "initial", "values": ["S"]}),
     ]
     return ex.check(spark, tables, rules).select("id", "status")
+
+
+#: Tails of Poisson and binomial laws in SQL; ends of intervals by halving, as many times as a double has digits.
+POISSON_UPTO = lambda k, m: f"list_sum(list_transform(generate_series(0, {k}), lambda j: exp(j * ln({m}) - {m} - lgamma(j + 1))))"
+BINOMIAL_UPTO = lambda k, m, p: f"list_sum(list_transform(generate_series(0, {k}), lambda j: exp(lgamma({m} + 1) - lgamma(j + 1) - lgamma({m} - j + 1) + j * ln({p}) + ({m} - j) * ln(1 - {p}))))"
+HALVED = lambda name, keys, start, low, high, above: f"{name} AS (SELECT {keys}, 0 AS i, CAST({low} AS DOUBLE) AS a, CAST({high} AS DOUBLE) AS b FROM {start} UNION ALL SELECT {keys}, i + 1, CASE WHEN {above} THEN a ELSE (a + b) / 2 END, CASE WHEN {above} THEN (a + b) / 2 ELSE b END FROM {name} WHERE i < 60)"
+SMALL = "small AS (SELECT state, count(*) AS nn, count(*) FILTER (bad) AS kk, sum(hours) FILTER (hours > 0) AS h, CAST(sum(CASE WHEN cases > 0 THEN cases ELSE 0 END) AS BIGINT) % 60 AS c FROM screened GROUP BY state)"
+
+
+def by_state(spark: SparkSession, sf_dir: str) -> list:
+    """A row for each state, some twenty-six: filings, flagged ones, hours and a count of cases below 60."""
+    rows = base(spark, sf_dir).groupBy("state").agg(
+        F.count("*").alias("n"), F.count_if("implausible").alias("k"), F.sum(F.when(F.col("total_hours_worked") > 0, F.col("total_hours_worked"))).alias("hours"),
+        (F.sum(F.when(F.col("recordable_cases") > 0, F.col("recordable_cases")).otherwise(0.0)).cast("long") % 60).alias("c"),
+    )
+    return rows.collect()
+
+
+@query(
+    f"SELECT lo.state, {n('lo.c', 'cases')}, {r('CASE WHEN lo.c = 0 THEN 0 ELSE lo.a END', 'low')}, {r('hi.a', 'high')} FROM lo JOIN hi ON lo.state = hi.state WHERE lo.i = 60 AND hi.i = 60",
+    f"{SMALL}, " + HALVED("lo", "state, c", "small", "0", "2 * c + 40", f"1 - CASE WHEN c = 0 THEN 0 ELSE {POISSON_UPTO('c - 1', '((a + b) / 2)')} END > 0.025") + ", " + HALVED("hi", "state, c", "small", "0", "2 * c + 40", f"{POISSON_UPTO('c', '((a + b) / 2)')} < 0.025"),
+)
+def poisson_intervals(spark, sf_dir):
+    """Exact intervals of counts, against SQL that solves for their coverage."""
+    return spark.createDataFrame([(x.state, x.c, *map(float, stats.garwood(x.c))) for x in by_state(spark, sf_dir)], "state string, cases long, low double, high double")
+
+
+@query(
+    f"SELECT lo.state, {n('lo.kk', 'k')}, {n('lo.nn', 'n')}, {r('CASE WHEN lo.kk = 0 THEN 0 ELSE lo.a END', 'low')}, {r('CASE WHEN lo.kk = lo.nn THEN 1 ELSE hi.a END', 'high')} FROM lo JOIN hi ON lo.state = hi.state WHERE lo.i = 60 AND hi.i = 60",
+    f"{SMALL}, " + HALVED("lo", "state, kk, nn", "small", "0", "1", f"1 - CASE WHEN kk = 0 THEN 0 ELSE {BINOMIAL_UPTO('kk - 1', 'nn', '((a + b) / 2)')} END > 0.025") + ", " + HALVED("hi", "state, kk, nn", "small", "0", "1", f"{BINOMIAL_UPTO('kk', 'nn', '((a + b) / 2)')} < 0.025"),
+)
+def share_intervals(spark, sf_dir):
+    """Exact intervals of flagged shares, against SQL that solves for their coverage."""
+    return spark.createDataFrame([(x.state, x.k, x.n, *map(float, stats.clopper_pearson(x.k, x.n))) for x in by_state(spark, sf_dir)], "state string, k long, n long, low double, high double")
+
+
+@query("SELECT CAST(x AS BIGINT) AS x, CAST(df AS BIGINT) AS df, round(exp(-x / 2.0) * list_sum(list_transform(generate_series(0, CAST(df / 2 - 1 AS BIGINT)), lambda j: exp(j * ln(x / 2.0) - lgamma(j + 1)))), 6) AS tail FROM (SELECT DISTINCT 1 + c AS x FROM small), (VALUES (2), (4), (10), (40)) t(df)", SMALL)
+def chi_square_tails(spark, sf_dir):
+    """Tails of chi-square at even degrees of freedom, which are finite sums."""
+    xs = sorted({1 + x.c for x in by_state(spark, sf_dir)})
+    return spark.createDataFrame([(x, d, stats.chi2_tail(float(x), d)) for x in xs for d in (2, 4, 10, 40)], "x long, df long, tail double")
