@@ -139,10 +139,13 @@ def expected_counts(f: Fit, e: np.ndarray, w: np.ndarray, most: int = 10) -> np.
     return out
 
 
-def design(band: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, list[str]]:
-    """Intercept and one column for each band but the first; columns without rows, or with all, are left out."""
-    names = [b for b in sorted({*band})][1:]
-    columns = [(b, (band == b).astype(float)) for b in names]
+def design(band: np.ndarray, w: np.ndarray, fixed: np.ndarray | None = None) -> tuple[np.ndarray, list[str]]:
+    """An intercept, a column for each band but the first, and one for each level of `fixed` but the most frequent (of equals
+    the first by name); columns without rows, or with all, are left out."""
+    columns = [(b, (band == b).astype(float)) for b in sorted({*band})[1:]]
+    if fixed is not None:
+        levels = sorted({*fixed}, key=lambda v: (-w[fixed == v].sum(), v))
+        columns += [(f"fixed {v}", (fixed == v).astype(float)) for v in levels[1:]]
     columns = [(b, c) for b, c in columns if 0 < (w * c).sum() < w.sum()]
     return np.column_stack([np.ones(band.size), *(c for _, c in columns)]), ["intercept", *(b for b, _ in columns)]
 
@@ -223,16 +226,17 @@ def fit_industries(df: DataFrame, models: tuple[str, ...] = MODELS, least: int =
     return rows.groupBy("naics3").applyInPandas(run, SCHEMA)
 
 
-def fit_covariates(df: DataFrame, models: tuple[str, ...] = MODELS, least: int = 200, most: int = 30) -> DataFrame:
-    """The same with a mean for each size band."""
+def fit_covariates(df: DataFrame, models: tuple[str, ...] = MODELS, least: int = 200, most: int = 30, fixed: str | None = None) -> DataFrame:
+    """The same with a mean for each size band and, if `fixed` names a column, an effect of each of its values."""
     from ratewright.operators.derive import size_band
 
     banded = df.withColumn("size_band", size_band(F.col("annual_average_employees")))
-    rows = grouped(banded.join(F.broadcast(select_industries(df, least, most)), "naics3"), "naics3", "size_band")
+    by = ["naics3", "size_band", *([fixed] if fixed else [])]
+    rows = grouped(banded.join(F.broadcast(select_industries(df, least, most)), "naics3"), *by)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         y, e, w = prepared(*(pdf[c].to_numpy() for c in "yew"))
-        x, names = design(pdf["size_band"].to_numpy(), w)
+        x, names = design(pdf["size_band"].to_numpy(), w, pdf[fixed].to_numpy() if fixed else None)
         out = []
         for m in models:
             beta, alpha, pi, value, converged = regress(m, y, e, w, x)
@@ -248,7 +252,7 @@ def fit_covariates(df: DataFrame, models: tuple[str, ...] = MODELS, least: int =
     return rows.groupBy("naics3").applyInPandas(run, SCHEMA)
 
 
-def predicted_histogram(df: DataFrame, models: tuple[str, ...] = ("poisson", "nb2"), least: int = 200, most: int = 30, top: int = 10) -> DataFrame:
+def predicted_histogram(df: DataFrame, models: tuple[str, ...] = MODELS, least: int = 200, most: int = 30, top: int = 10) -> DataFrame:
     """sort_key, observed and expected filings by number of cases (`top` and more together), under each industry's model of least AIC."""
     rows = grouped(df.join(F.broadcast(select_industries(df, least, most)), "naics3"), "naics3")
 

@@ -72,6 +72,39 @@ def panel_audit(panel: DataFrame) -> DataFrame:
     return spread.unionByName(links)
 
 
+def concentration_audit(df: DataFrame) -> DataFrame:
+    """section, metric, value, share, status: where flagged filings and their hours lie.
+
+    Flagged hours by year, all hours of the largest filing and of the fifty largest flagged ones, and how many flagged
+    filings come from ids of one year only. That number is counted (`answered`); beside it stands the bound that
+    follows from pairs of years alone (`partial_bound`), for readers who have no more. What ids without a number do
+    can't be told (`not_answerable`).
+    """
+    flagged, hours = F.col("implausible"), F.coalesce("total_hours_worked", F.lit(0.0))
+    row = lambda metric, value, share, status="answered": F.struct(F.lit("correction_concentration").alias("section"), metric.alias("metric"), value.cast("double").alias("value"), share.cast("double").alias("share"), F.lit(status).alias("status"))
+    all_ = df.agg(F.sum(hours).alias("h"), F.sum(F.when(flagged, hours)).alias("fh"), F.count_if("implausible").alias("f"), F.max(hours).alias("top"))
+    year = df.groupBy("year_filing_for").agg(F.coalesce(F.sum(F.when(flagged, hours)), F.lit(0.0)).alias("yh"))
+    by_year = year.join(F.broadcast(all_)).select(row(F.concat(F.lit("flagged_hours_in_"), F.col("year_filing_for")), F.col("yh"), F.col("yh") / F.col("fh")).alias("r"))
+    fifty = df.filter(flagged).select(hours.alias("x"), "establishment_id", "id").orderBy(F.col("x").desc(), "id").limit(50).agg(F.sum("x").alias("x"), F.count_distinct("establishment_id").alias("ids"))
+    none = F.lit(None)
+    largest = all_.join(F.broadcast(fifty)).select(F.explode(F.array(
+        row(F.lit("hours_of_the_largest_filing"), F.col("top"), F.col("top") / F.col("h")), row(F.lit("hours_of_the_50_largest_flagged"), F.col("x"), F.col("x") / F.col("h")),
+        row(F.lit("ids_of_the_50_largest_flagged"), F.col("ids"), none), row(F.lit("flagged_filings"), F.col("f"), none),
+    )).alias("r"))
+    panel = df.filter("establishment_id is not null and year_filing_for is not null").select("establishment_id", F.col("year_filing_for").alias("year"), flagged.cast("int").alias("flag"))
+    per = panel.groupBy("establishment_id").agg(F.count_distinct("year").alias("years"), F.sum("flag").alias("flags"))
+    single = per.agg(F.coalesce(F.sum(F.when(F.col("years") == 1, F.col("flags"))), F.lit(0)).alias("s"))
+    pairs = paired(panel)
+    ends = pairs.groupBy(F.col("year_from").alias("year"), F.lit("after").alias("side")).agg(F.sum("was").alias("m")).unionByName(pairs.groupBy(F.col("year_to").alias("year"), F.lit("before").alias("side")).agg(F.sum("is").alias("m")))
+    least = ends.groupBy("year").agg(F.max("m").alias("m")).agg(F.coalesce(F.sum("m"), F.lit(0)).alias("b"))
+    missing = df.agg(F.count_if(flagged & F.col("establishment_id").isNull()).alias("u"))
+    known = all_.join(F.broadcast(single)).join(F.broadcast(least)).join(F.broadcast(missing)).select(F.explode(F.array(
+        row(F.lit("flagged_filings_of_single_year_ids"), F.col("s"), F.col("s") / F.col("f")), row(F.lit("flagged_filings_of_single_year_ids_at_most"), F.col("f") - F.col("b"), (F.col("f") - F.col("b")) / F.col("f"), "partial_bound"),
+        row(F.lit("flagged_filings_of_multi_year_ids_at_least"), F.col("b"), F.col("b") / F.col("f"), "partial_bound"), row(F.lit("flagged_filings_without_id"), F.col("u"), F.col("u") / F.col("f"), "not_answerable"),
+    )).alias("r"))
+    return by_year.unionByName(largest).unionByName(known).select("r.*")
+
+
 def score_forecasts(forecasts: DataFrame, observed: DataFrame, key: str) -> DataFrame:
     """key, forecast, low, high, observed, verdict: held, not held, or not evaluable."""
     out = forecasts.join(observed.select(key, F.col("value").alias("observed")), key, "left")

@@ -28,6 +28,26 @@ def panel_audit(spark, sf_dir):
     return audit.panel_audit(panel.flag_panel(base(spark, sf_dir)))
 
 
+CONCENTRATION = """
+al AS (SELECT sum(coalesce(hours, 0)) AS h, sum(coalesce(hours, 0)) FILTER (bad) AS fh, count(*) FILTER (bad) AS f, max(coalesce(hours, 0)) AS top FROM screened),
+fifty AS (SELECT sum(x) AS x, count(DISTINCT establishment_id) AS ids FROM (SELECT coalesce(hours, 0) AS x, establishment_id FROM screened WHERE bad ORDER BY x DESC, id LIMIT 50)),
+per AS (SELECT establishment_id, count(DISTINCT year_filing_for) AS ny, count(*) FILTER (bad) AS nf FROM screened GROUP BY 1),
+ys AS (SELECT DISTINCT year_filing_for AS y FROM screened), nx AS (SELECT y, lead(y) OVER (ORDER BY y) AS z FROM ys),
+pr AS (SELECT nx.y, nx.z, a.bad AS was, b.bad AS is_ FROM nx JOIN screened a ON a.year_filing_for = nx.y JOIN screened b ON b.year_filing_for = nx.z AND b.establishment_id = a.establishment_id),
+ends AS (SELECT y, count(*) FILTER (was) AS m FROM pr GROUP BY y UNION ALL SELECT z, count(*) FILTER (is_) FROM pr GROUP BY z), low AS (SELECT sum(m) AS b FROM (SELECT max(m) AS m FROM ends GROUP BY y)),
+au AS (SELECT 'flagged_hours_in_' || year_filing_for AS metric, coalesce(sum(coalesce(hours, 0)) FILTER (bad), 0) AS v, coalesce(sum(coalesce(hours, 0)) FILTER (bad), 0) / (SELECT fh FROM al) AS s, 'answered' AS status FROM screened GROUP BY year_filing_for
+  UNION ALL SELECT 'hours_of_the_largest_filing', top, top / h, 'answered' FROM al UNION ALL SELECT 'hours_of_the_50_largest_flagged', x, x / h, 'answered' FROM al, fifty UNION ALL SELECT 'ids_of_the_50_largest_flagged', ids, NULL, 'answered' FROM fifty
+  UNION ALL SELECT 'flagged_filings', f, NULL, 'answered' FROM al UNION ALL SELECT 'flagged_filings_of_single_year_ids', s, s / f, 'answered' FROM al, (SELECT sum(nf) FILTER (ny = 1) AS s FROM per)
+  UNION ALL SELECT 'flagged_filings_of_single_year_ids_at_most', f - b, (f - b) / f, 'partial_bound' FROM al, low UNION ALL SELECT 'flagged_filings_of_multi_year_ids_at_least', b, b / f, 'partial_bound' FROM al, low
+  UNION ALL SELECT 'flagged_filings_without_id', (SELECT count(*) FROM screened WHERE bad AND establishment_id IS NULL), (SELECT count(*) FROM screened WHERE bad AND establishment_id IS NULL) / f, 'not_answerable' FROM al)
+"""
+
+
+@query("SELECT 'correction_concentration' AS section, metric, round(CAST(v AS DOUBLE), 2) AS value, round(CAST(s AS DOUBLE), 6) AS share, status FROM au", CONCENTRATION, plain=True)
+def concentration_audit(spark, sf_dir):
+    return audit.concentration_audit(base(spark, sf_dir)).withColumns({"value": F.round("value", 2), "share": F.round("share", 6)})
+
+
 def scenario_sql(name: str, condition: str) -> str:
     return f"SELECT '{name}' AS scenario, y0, y1, sum((w0 + w1) / 2 * (r1 - r0)) AS within_, sum((r0 + r1) / 2 * (w1 - w0)) AS composition, count(*) AS cells FROM (SELECT *, h0 / sum(h0) OVER (PARTITION BY y0, y1) AS w0, h1 / sum(h1) OVER (PARTITION BY y0, y1) AS w1 FROM (SELECT * FROM both_ WHERE {condition})) GROUP BY y0, y1"
 

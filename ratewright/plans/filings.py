@@ -416,7 +416,12 @@ QUERIES |= {f"{m}_fit": fits((m,)) for m in counts.MODELS}
 
 @query()
 def covariate_fits(spark, sf_dir):
-    return counts.fit_covariates(base(spark, sf_dir), ("poisson", "nb2")).select("naics3", "model", "n", "k", F.round("loglik", 3).alias("loglik"), F.round("aic", 3).alias("aic"), "converged")
+    return counts.fit_covariates(base(spark, sf_dir)).select("naics3", "model", "n", "k", F.round("loglik", 3).alias("loglik"), F.round("aic", 3).alias("aic"), "converged")
+
+
+@query()
+def fixed_effect_fits(spark, sf_dir):
+    return counts.fit_covariates(base(spark, sf_dir), ("poisson", "nb2"), fixed="state").select("naics3", "model", "n", "k", F.round("loglik", 3).alias("loglik"), F.round("aic", 3).alias("aic"), "converged")
 
 
 @query()
