@@ -12,7 +12,8 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def brute(data):
+def labelled(data):
+    """(id, shingles, a number of its component) of each row, by all pairs."""
     sets = [shingles(t) for _, t, *_ in data]
     root = list(range(len(data)))
 
@@ -25,10 +26,14 @@ def brute(data):
         for j in range(i):
             if a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
                 root[find(i)] = find(j)
-    least = defaultdict(list)
-    for i, (d, *_) in enumerate(data):
-        least[find(i)].append(d)
-    return Counter((d, len(sets[i]), min((x for x in least[find(i)] if x is not None), default=None)) for i, (d, *_) in enumerate(data))
+    return [(d, len(sets[i]), find(i)) for i, (d, *_) in enumerate(data)]
+
+
+def brute(data):
+    found, least = labelled(data), defaultdict(list)
+    for d, _, c in found:
+        least[c].append(d)
+    return Counter((d, n, min((x for x in least[c] if x is not None), default=None)) for d, n, c in found)
 
 
 def drifted(seed, chains=6, length=9):
