@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratewright.shared import cut, shared_folder  # noqa: F401  the operators' scratch tables
+
 #: Words of the contracts: runs of anything but ASCII white space. `bytes.split()` cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,26 +23,6 @@ CHUNK_BYTES = 4 << 20
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a folder of our own in local mode (tests); an
-    error on a cluster, whose machines don't see each other's folders."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="ratewright-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """`df`, written to a fresh table of the shared folder and read again: later steps don't depend on its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/ratewright/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def footprint(df: DataFrame) -> tuple[int, int]:
     """(rows, bytes) of `df`, in one aggregation: 8 bytes for a number, its own for a text or binary, those as JSON for the rest."""
     plain = {"binary", "string"}
