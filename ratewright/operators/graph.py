@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime
+import json
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,9 +133,17 @@ class Store:
     def __init__(self, spark: SparkSession, spec: Spec, clock: Callable[[], str] | None = None):
         self.spark, self.spec = spark, spec.validate()
         self.base: dict[str, DataFrame] = {}
-        self.log: DataFrame = spark.createDataFrame([], LOG)
+        self.entries: list[tuple] = []
         self.clock = clock or (lambda: datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds"))
-        self.count = 0
+
+    @property
+    def count(self) -> int:
+        return len(self.entries)
+
+    @property
+    def log(self) -> DataFrame:
+        """One row for each action; its plan doesn't grow with their number."""
+        return self.spark.createDataFrame(self.entries, LOG)
 
     def add(self, kind: str, df: DataFrame, check: bool = True) -> Store:
         """Objects of a type: columns cast to their types, defaults for missing ones; nulls and repeated keys are refused."""
@@ -182,7 +191,7 @@ class Store:
         flags = [p for p, d in source.properties.items() if d.type == "boolean"]
         pairs = F.explode(F.array_compact(F.array(*(F.when(F.col(p), F.lit(p)) for p in flags))))
         target = self.current(x.target).select(F.col(self.spec.objects[x.target].key).alias("target_key"))
-        return df.select(F.col(source.key).alias("source_key"), pairs.alias("target_key")).join(F.broadcast(target), "target_key", "left_semi").select("source_key", "target_key")
+        return df.select(F.col(source.key).alias("source_key"), pairs.alias("target_key")).join(target, "target_key", "left_semi").select("source_key", "target_key")
 
     def link_integrity(self) -> DataFrame:
         """link, resolved, null_keys, dangling of every foreign key."""
@@ -224,10 +233,9 @@ class Store:
             raise ActionRejected(reasons)
         text = lambda v: None if v is None else str(v).lower() if isinstance(v, bool) else str(v)
         value = lambda v: params.get(v[1:]) if isinstance(v, str) and v.startswith("$") else v
-        self.count += 1
-        name = f"act-{self.count:06d}"
-        entry = (name, action, actor, self.clock(), a.target, str(key), [(p, text(now[p]), text(value(v))) for p, v in a.edits.items()], self.count)
-        self.log = self.log.unionByName(self.spark.createDataFrame([entry], LOG))
+        name = f"act-{self.count + 1:06d}"
+        entry = (name, action, actor, self.clock(), a.target, str(key), [(p, text(now[p]), text(value(v))) for p, v in a.edits.items()], self.count + 1)
+        self.entries.append(entry)
         return name
 
     def edit_history(self, kind: str, key: object) -> DataFrame:
@@ -241,6 +249,29 @@ class Store:
         for x in self.spec.links.values():
             self.link_rows(x.name).write.mode("overwrite").saveAsTable(f"{database}.link_{x.name}")
         self.log.write.mode("overwrite").saveAsTable(f"{database}.action_log")
+        self.described().write.mode("overwrite").saveAsTable(f"{database}.spec")
+
+    def described(self) -> DataFrame:
+        """element (type, link or action), name and its definition as JSON: a saved store tells what it holds."""
+        parts = {"type": self.spec.objects, "link": self.spec.links, "action": self.spec.actions}
+        rows = [(e, k, json.dumps(asdict(v), sort_keys=True, default=str)) for e, held in parts.items() for k, v in sorted(held.items())]
+        return self.spark.createDataFrame(rows, "element string, name string, definition string")
+
+    def tables(self) -> dict[str, DataFrame]:
+        """Everything that a saved store holds, by name."""
+        out = {kind: self.current(kind) for kind in self.base} | {f"link_{x.name}": self.link_rows(x.name) for x in self.spec.links.values()}
+        return out | {"action_log": self.log, "spec": self.described()}
+
+    def save_json(self, folder: str) -> None:
+        """A folder of JSON lines for each table of the store, written by the executors; nulls are kept as such."""
+        for name, df in self.tables().items():
+            df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/{name}")
+
+    def call(self, function: str, *args: object, **named: object) -> object:
+        """One of the store's functions, by name; unknown names are an error. They get the store first."""
+        if function not in FUNCTIONS:
+            raise KeyError(function)
+        return FUNCTIONS[function](self, *args, **named)
 
 
 @dataclass(frozen=True)
@@ -297,8 +328,56 @@ def included(filings: DataFrame) -> DataFrame:
 
 
 def latest_by(df: DataFrame, key: str, time: str, tie: str) -> DataFrame:
-    """The last row of each key."""
-    return df.withColumn("__p", F.row_number().over(Window.partitionBy(key).orderBy(F.col(time).desc(), F.col(tie).desc()))).filter("__p = 1").drop("__p")
+    """The last row of each key; combined where rows are read."""
+    last = df.groupBy(key).agg(F.max_by(F.struct(*(c for c in df.columns if c != key)), F.struct(time, tie)).alias("last"))
+    return last.select(*(c if c == key else F.col("last")[c].alias(c) for c in df.columns))
+
+
+def filing_of(store: Store, filing_id: object) -> dict:
+    found = store.get("Filing", filing_id)
+    if found is None:
+        raise LookupError(f"no Filing {filing_id}")
+    return found
+
+
+def screen_of(store: Store, filing_id: object) -> dict:
+    """The verdict on one filing, and the flags that it rests on."""
+    row = filing_of(store, filing_id)
+    return {"implausible": row["implausible"], "flags": sorted(k for k, v in row.items() if k.startswith("flag_") and v is True)}
+
+
+def rate_of(store: Store, filing_id: object) -> float | None:
+    """Cases for 200,000 hours of one filing; None without hours."""
+    row = filing_of(store, filing_id)
+    return 200_000 * row["cases"] / row["hours"] if row["hours"] and row["hours"] > 0 and row["cases"] is not None else None
+
+
+def pooled_rate_of(store: Store, filings: ObjectSet | None = None) -> float | None:
+    """The ratio of sums over a set's filings that count, or over all of them."""
+    rows = included((filings or store.objects("Filing")).frame)
+    c, h = rows.agg(F.sum("cases"), F.sum("hours")).first()
+    return 200_000 * c / h if h else None
+
+
+def peers_of(store: Store, filing_id: object) -> ObjectSet:
+    """The filings of the same group and year that count, the filing itself among them."""
+    row = filing_of(store, filing_id)
+    every = store.objects("Filing").where(peer_group=row["peer_group"], year=row["year"])
+    return replace(every, frame=included(every.frame))
+
+
+def position_of(store: Store, filing_id: object) -> dict:
+    """How many of a filing's peers have a lower rate, the same one, or a higher one; None without peers or rate."""
+    own, frame = rate_of(store, filing_id), peers_of(store, filing_id).frame
+    rate = 200_000 * F.col("cases") / F.when(F.col("hours") > 0, F.col("hours"))
+    if own is None:
+        return {"n": frame.count(), "below": None, "equal": None, "above": None}
+    n, below, equal, above = frame.agg(F.count("*"), F.count_if(rate < own), F.count_if(rate == own), F.count_if(rate > own)).first()
+    return {"n": n, "below": below, "equal": equal, "above": above}
+
+
+#: What `Store.call` knows.
+FUNCTIONS: dict[str, Callable] = {"plausibility_screen": screen_of, "filing_rate": rate_of, "aggregate_rate": pooled_rate_of, "peer_filings": peers_of, "peer_position": position_of}
 
 
 def schema_of(o: ObjectType) -> T.StructType:

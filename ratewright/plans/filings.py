@@ -13,6 +13,7 @@ from ratewright.operators import expectations as ex
 from ratewright.operators import graph, influence, panel, peers, rates, screen, sectors, stability
 from ratewright.operators.derive import deduplicated, derived, with_peer_keys
 from ratewright.shared import cut
+from ratewright.sources import naics
 from ratewright.sources.surrogate import SQL as VIEW
 from ratewright.sources.surrogate import filings
 
@@ -439,10 +440,11 @@ SPEC = graph.Spec(
     {
         "Filing": OT("Filing", "filing_id", {"filing_id": P("integer", False), "establishment_id": P("integer"), "year": P("integer"), "naics3": P("string"), "peer_group": P("string"), "hours": P("double"), "cases": P("double"), "implausible": P("boolean", False), **{f: P("boolean", False) for f in screen.FLAGS}, "analyst_flag": P("boolean", False, True, False), "benchmark_excluded": P("boolean", False, True, False), "note": P("string", True, True)}),
         "Establishment": OT("Establishment", "establishment_id", {"establishment_id": P("integer", False), "company_name": P("string"), "state": P("string")}),
-        "ReportingYear": OT("ReportingYear", "year", {"year": P("integer", False), "n_filings": P("integer")}), "Industry": OT("Industry", "naics3", {"naics3": P("string", False)}),
+        "ReportingYear": OT("ReportingYear", "year", {"year": P("integer", False), "n_filings": P("integer"), "implausible_share": P("double"), "trir": P("double"), "dart": P("double"), "severity": P("double")}),
+        "Industry": OT("Industry", "naics3", {"naics3": P("string", False), "title": P("string"), "naics2": P("string")}), "Sector": OT("Sector", "naics2", {"naics2": P("string", False), "title": P("string")}),
         "PeerGroup": OT("PeerGroup", "peer_group", {"peer_group": P("string", False), "naics3": P("string"), "n": P("integer")}), "QualityFlag": OT("QualityFlag", "flag", {"flag": P("string", False)}),
     },
-    {x.name: x for x in (graph.Link("filed_by", "Filing", "Establishment", "establishment_id", "filings"), graph.Link("in_year", "Filing", "ReportingYear", "year", "filings_of_year"), graph.Link("in_industry", "Filing", "Industry", "naics3", "filings_of_industry"), graph.Link("in_group", "Filing", "PeerGroup", "peer_group", "filings_of_group"), graph.Link("group_industry", "PeerGroup", "Industry", "naics3", "groups"), graph.Link("raises", "Filing", "QualityFlag", None, "raised_by"))},
+    {x.name: x for x in (graph.Link("filed_by", "Filing", "Establishment", "establishment_id", "filings"), graph.Link("in_year", "Filing", "ReportingYear", "year", "filings_of_year"), graph.Link("in_industry", "Filing", "Industry", "naics3", "filings_of_industry"), graph.Link("in_group", "Filing", "PeerGroup", "peer_group", "filings_of_group"), graph.Link("group_industry", "PeerGroup", "Industry", "naics3", "groups"), graph.Link("in_sector", "Industry", "Sector", "naics2", "industries"), graph.Link("raises", "Filing", "QualityFlag", None, "raised_by"))},
     {
         "flag_filing": graph.Action("flag_filing", "Filing", {"reason": graph.Parameter("string", True, None, None, 500)}, {"analyst_flag": True, "note": "$reason"}, {"analyst_flag": False}),
         "clear_flag": graph.Action("clear_flag", "Filing", {"reason": graph.Parameter("string", True)}, {"analyst_flag": False, "note": "$reason"}, {"analyst_flag": True}),
@@ -457,8 +459,12 @@ def store(spark: SparkSession, sf_dir: str, check: bool = False) -> graph.Store:
     s = graph.Store(spark, SPEC)
     s.add("Filing", rows.select(F.col("id").alias("filing_id"), "establishment_id", F.col("year_filing_for").alias("year"), "naics3", "peer_group", F.col("total_hours_worked").alias("hours"), F.col("recordable_cases").alias("cases"), "implausible", *screen.FLAGS), check)
     s.add("Establishment", graph.latest_by(rows, "establishment_id", "year_filing_for", "id"), check)
-    s.add("ReportingYear", rows.groupBy(F.col("year_filing_for").alias("year")).agg(F.count("*").alias("n_filings")), check)
-    s.add("Industry", rows.select("naics3").filter("naics3 is not null").distinct(), check)
+    quality = rows.groupBy(F.col("year_filing_for").alias("year")).agg(F.count("*").alias("n_filings"), F.avg(F.col("implausible").cast("double")).alias("implausible_share"))
+    metrics = rates.rates(rows, "year_filing_for").select(F.col("year_filing_for").alias("year"), *(F.col(f"{c}_screened").alias(c) for c in ("trir", "dart", "severity")))
+    s.add("ReportingYear", quality.join(metrics, "year", "left"), check)
+    industries = rows.filter("naics3 is not null").select("naics3", "naics2").distinct()
+    s.add("Industry", industries.withColumn("title", naics.title_column(F.col("naics3"))), check)
+    s.add("Sector", industries.select("naics2").distinct().withColumn("title", naics.title_column(F.col("naics2"), naics.SECTORS)), check)
     s.add("PeerGroup", rows.filter(~F.col("implausible") & F.col("peer_group").isNotNull()).groupBy("peer_group").agg(F.first("naics3").alias("naics3"), F.count("*").alias("n")), check)
     s.add("QualityFlag", spark.createDataFrame([(f,) for f in screen.FLAGS], "flag string"), check)
     return s
@@ -475,6 +481,7 @@ END = lambda link, key, known, rows="kg": f"SELECT '{link}' AS link, {n(f'count(
     " UNION ALL ".join([
         END("filed_by", "establishment_id", "SELECT establishment_id FROM screened WHERE establishment_id % 10 <> 3"), END("in_year", "year_filing_for", "SELECT year_filing_for FROM screened WHERE year_filing_for <> 1995"),
         END("in_industry", "naics3", "SELECT naics3 FROM screened WHERE naics3 IS NOT NULL"), END("in_group", "grp", "SELECT g FROM pg"), END("group_industry", "split_part(g, '|', 1)", "SELECT naics3 FROM screened WHERE naics3 IS NOT NULL", "pg"),
+        END("in_sector", "naics2", "SELECT naics2 FROM screened", "(SELECT DISTINCT naics3, naics2 FROM screened WHERE naics3 IS NOT NULL)"),
     ]),
     KEYGROUPS,
 )

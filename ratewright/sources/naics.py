@@ -144,9 +144,9 @@ def title(code: object) -> str | None:
     return None if code is None else titles().get(str(code).strip().removesuffix(".0"))
 
 
-def title_column(code: Column) -> Column:
-    """The same as an expression."""
-    pairs = [F.lit(x) for kv in titles().items() for x in kv]
+def title_column(code: Column, text: str = SUBSECTORS) -> Column:
+    """The same as an expression; `text`: whose titles."""
+    pairs = [F.lit(x) for kv in titles(text).items() for x in kv]
     return F.create_map(*pairs)[F.regexp_replace(F.trim(code.cast("string")), r"\.0$", "")]
 
 

@@ -20,7 +20,8 @@ def store(spark):
     s.add("Filing", df)
     s.add("Establishment", spark.createDataFrame([(10, "A", "X"), (11, "B", "Y")], "establishment_id long, company_name string, state string"))
     s.add("ReportingYear", spark.createDataFrame([(2023, 1), (2024, 3)], "year long, n_filings long"))
-    s.add("Industry", spark.createDataFrame([("325",), ("236",)], "naics3 string"))
+    s.add("Industry", spark.createDataFrame([("325", "32"), ("236", "23")], "naics3 string, naics2 string"))
+    s.add("Sector", spark.createDataFrame([("32", "Manufacturing")], "naics2 string, title string"))
     s.add("PeerGroup", spark.createDataFrame([("g", "325", 2)], "peer_group string, naics3 string, n long"))
     s.add("QualityFlag", spark.createDataFrame([(f,) for f in flags], "flag string"))
     return s
@@ -49,9 +50,26 @@ def test_sets_and_links(store):
 
 def test_integrity(store):
     got = {r.link: (r.resolved, r.null_keys, r.dangling) for r in store.link_integrity().collect()}
+    assert got["in_sector"] == (1, 0, 1)
     assert got["filed_by"] == (3, 0, 1) and got["in_group"] == (2, 1, 1) and got["in_year"] == (4, 0, 0)
 
 
+def test_functions_and_exports(spark, store, tmp_path):
+    assert store.call("plausibility_screen", 3) == {"implausible": True, "flags": ["flag_hours_missing"]}
+    assert store.call("filing_rate", 1) == 2000.0 and store.call("aggregate_rate") == 200_000 * 4 / 307
+    assert sorted(r[0] for r in store.call("peer_filings", 2).keys().collect()) == [2]
+    assert store.call("peer_position", 2) == {"n": 1, "below": 0, "equal": 1, "above": 0}
+    with pytest.raises(KeyError):
+        store.call("nothing")
+    with pytest.raises(LookupError):
+        store.call("filing_rate", 99)
+    assert sorted(r[0] for r in store.objects("Sector").search_around("industries").keys().collect()) == ["325"]
+    store.save_json(str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/Filing").count() == 4 and spark.read.json(f"{tmp_path}/link_raises").count() == 1
+    held = {(r.element, r.name) for r in spark.read.json(f"{tmp_path}/spec").collect()}
+    assert {("type", "Sector"), ("link", "in_sector"), ("action", "exclude")} <= held
+
+
 def test_actions(store):
     for args in (("flag_filing", 1, {}, "me"), ("flag_filing", 77, {"reason": "x"}, "me"), ("flag_filing", 1, {"reason": "x" * 501}, "me"), ("flag_filing", 1, {"reason": "x"}, ""), ("exclude", 1, {"kind": "maybe"}, "me"), ("exclude", 1, {"kind": "other"}, "me"), ("clear_flag", 1, {"reason": "x"}, "me"), ("nothing", 1, {}, "me"), ("flag_filing", 1, {"reason": "x", "more": 1}, "me")):
         with pytest.raises(graph.ActionRejected):
