@@ -17,7 +17,7 @@ from ratewright.shared import cut, shared_folder  # noqa: F401  the operators' s
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text bytes that one step of a Python function holds at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 #: Rows and bytes up to which a measured side may be broadcast; beyond them the callers shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20

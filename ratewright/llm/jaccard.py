@@ -52,7 +52,7 @@ STAR_ROUNDS, STAR_CENTERS = 2, 4
 FOREST_EDGES = 1_000_000
 
 #: Words whose hashes a worker remembers; distinct shingles it gathers before it looks for common ones.
-REMEMBERED, GATHER_TOKENS = 300_000, 2_000_000
+REMEMBERED, GATHER_TOKENS = 100_000, 1_000_000
 
 
 class Hashes(dict):
