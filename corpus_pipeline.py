@@ -18,7 +18,11 @@ from ratewright.shipping import shipped
 
 @shipped
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that one of the learned languages explains; null texts and texts without letters go."""
+    """Documents that one of the learned languages explains; null texts and texts without letters go.
+
+    Of equally likely languages the first by name counts; repeated rows are judged alike and all stay. Nothing is learned from
+    an empty table, and it stays empty.
+    """
     columns = docs.columns
     who = languages.fit(docs, crc_mod(F.col("doc_id"), 4) != 2)
     return languages.identify(docs, who, tuple(columns)).filter(~F.col("__rejected")).select(*columns)
@@ -26,25 +30,36 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @shipped
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the least id, of each group of similar ones."""
+    """One row, of the least id, of each group of similar documents.
+
+    Of repeated rows one stays; rows without an id come after those with one. Texts without words are alone and all stay. An
+    empty table stays empty.
+    """
     return jaccard.one_of_each(docs)
 
 
 @shipped
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a twentieth of their words in benchmark windows."""
+    """Documents with less than a twentieth of their words in benchmark windows.
+
+    Null and empty texts and all documents under an empty benchmark are clean; repeated rows are judged alike.
+    """
     return contamination.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 @shipped
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by a mark."""
+    """All documents, their secrets replaced by a mark; n_chars follows. Null and empty texts stay as they are, repeated rows all
+    stay and are changed alike."""
     return secrets.without_secrets(docs)
 
 
 @shipped
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes at least once, with mix_copies and mix_taken (words)."""
+    """The documents that the mix takes at least once, with mix_size, mix_target, mix_copies and mix_taken (words).
+
+    A null source is a source, last in order; documents without words aren't taken; repeated rows are taken equally often.
+    """
     return mixing.mixed_documents(docs)
 
 
