@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -72,6 +73,17 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_BYTES) -
         yield batch.slice(a, b - a)
 
 
+def pieces_of(text: bytes, ends: re.Pattern[bytes], most: int = CHUNK_BYTES) -> Iterator[bytes]:
+    """`text` in pieces of some `most` bytes, each but the last ending with a byte that `ends` matches."""
+    at = 0
+    while len(text) - at > most:
+        if not (found := ends.search(text, at + most - 1)):
+            break
+        yield text[at : found.end()]
+        at = found.end()
+    yield text[at:] if at else text
+
+
 def each_slice(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow that gives `f` one bounded slice at a time."""
 

@@ -103,7 +103,10 @@ class Merges:
         return np.where(known, self.ranks[at], NO_RANK), self.made[at]
 
     def long_count(self, symbol: np.ndarray) -> int:
-        """Symbols that survive of one long sequence: all places of its lowest rank merge at once, and only pairs next to a
+        return self.long_symbols(symbol).size
+
+    def long_symbols(self, symbol: np.ndarray) -> np.ndarray:
+        """The symbols that survive of one long sequence: all places of its lowest rank merge at once, and only pairs next to a
         merge are looked up again. Places wait by rank, so that time grows with the merges and not with rounds times length."""
         n = symbol.size
         symbol, after, before = symbol.astype(np.int64), np.arange(1, n + 1), np.arange(-1, n - 1)
@@ -114,7 +117,7 @@ class Merges:
         edges = np.r_[0, np.flatnonzero(np.diff(rank[order])) + 1, order.size]
         waiting = {int(rank[order[a]]): [order[a:b]] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if b > a}
         heap = sorted(waiting)
-        left = n
+        alive = np.ones(n, dtype=bool)
         while heap:
             r = heapq.heappop(heap)
             held = waiting.pop(r)
@@ -128,7 +131,7 @@ class Merges:
                 hit = hit[(place - np.maximum.accumulate(np.where(start, place, 0))) % 2 == 0]
             gone = after[hit]
             symbol[hit], rank[gone] = made[hit], NO_RANK
-            left -= hit.size
+            alive[gone] = False
             after[hit] = after[gone]
             inner = after[hit] < n
             before[after[hit][inner]] = hit[inner]
@@ -145,7 +148,7 @@ class Merges:
                 else:
                     waiting[k] = [np.array([i])]
                     heapq.heappush(heap, k)
-        return left
+        return symbol[alive]
 
 
 class Counts(dict):
