@@ -82,4 +82,28 @@ SELECT page_id, visit, canonical, base_id AS base_page_id, status, CAST(at_ AS V
        CASE WHEN status = 'resolved' THEN o_lang END AS content_language, CASE WHEN status = 'resolved' THEN 'max-age=60' END AS cache_control, coalesce(etag, '-') AS etag FROM s
 """
 
-ORACLE = {"op5_contamination": CONTAMINATION, "op6_jaccard_join": JACCARD, "op9_revisits": REVISITS, "op10_secrets": SECRETS, "secrets_rescan": RESCAN}
+PHRASES = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM p, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k) GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 10),
+cuts AS (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM c),
+s AS (SELECT cuts.lang, cuts.phrase, cuts.k, a, x.f AS l, y.f AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score FROM cuts JOIN g x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[1:cuts.k], ' ') JOIN g y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[cuts.k + 1:], ' ')),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+covered AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS longest FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE size = 3) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN covered v ON b.lang = v.lang AND b.phrase = v.phrase WHERE longest IS NULL OR 100 * longest < 50 * a)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+RANKING = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+stats AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+q AS (SELECT item_id, term, count(*) AS reps FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+p AS (SELECT r, doc_id, size, term, count(*) AS tf FROM (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS size, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS weight FROM p, stats GROUP BY term, n),
+s AS (SELECT item_id, r, doc_id, CAST(sum(reps * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * size * n) // l)))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN weight USING (term), stats GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 20
+"""
+
+ORACLE = {"op5_contamination": CONTAMINATION, "op6_jaccard_join": JACCARD, "op9_revisits": REVISITS, "op10_secrets": SECRETS, "op11_phrases": PHRASES, "op12_ranked_search": RANKING, "secrets_rescan": RESCAN}

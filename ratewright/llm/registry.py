@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewright.llm import bpe, contamination, jaccard, languages, mixing, oracle, personal, ppm, quality, revisits, secrets, tokens
+from ratewright.llm import bpe, contamination, jaccard, languages, mixing, oracle, personal, phrases, ppm, quality, ranking, revisits, secrets, tokens
 from ratewright.llm.common import crc_mod
 
 
@@ -88,6 +88,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     texts = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
@@ -98,7 +106,7 @@ def secrets_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.rescan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_quality_rules, op4_lm_scores, op5_contamination, op6_jaccard_join, op7_personal_data, op8_languages, op9_revisits, op10_secrets, op13_bpe_round_trip, secrets_rescan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_source_mix, op3_quality_rules, op4_lm_scores, op5_contamination, op6_jaccard_join, op7_personal_data, op8_languages, op9_revisits, op10_secrets, op11_phrases, op12_ranked_search, op13_bpe_round_trip, secrets_rescan)}
 
 #: SQL of those that SQL can express; the others are held against brute force, the library or held-out rows in tests.
 ORACLE: dict[str, str] = oracle.ORACLE
