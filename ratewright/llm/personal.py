@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratewright.llm.common import cut, maybe_broadcast
-from ratewright.llm.spans import Rule, gathered, joined, marked, matches, placed, written
+from ratewright.llm.spans import Rule, bound, clear, gathered, joined, marked, matches, placed, reached, written
 
 
 def digits(match: Column) -> Column:
@@ -113,20 +113,22 @@ def trimmed(span: Column) -> Column:
 def parts_of_runs(runs: Column) -> Column:
     """(start, match) of every GROUPS groups at most that follow each other inside a run of two or more, but the whole run."""
 
+    kind = "array<struct<start:int,match:string>>"
+
     def parts(run: Column) -> Column:
-        groups = F.split(run["match"], " ")
+        def places(groups: Column) -> Column:
+            def step(state: Column, i: Column) -> tuple[Column, Column, Column]:
+                group = F.get(groups, i)
+                return state + F.length(group) + 1, F.lit(True), F.struct(state.alias("start"), group.alias("group"))
 
-        def step(state: Column, i: Column) -> tuple[Column, Column, Column]:
-            group = F.get(groups, i)
-            return state + F.length(group) + 1, F.lit(True), F.struct(state.alias("start"), group.alias("group"))
+            return gathered(F.size(groups), run["start"], step, "array<struct<start:int,group:string>>")
 
         def windows(at: Column) -> Column:
-            some = lambda i, k: F.struct(F.get(at, i)["start"].alias("start"), F.array_join(F.transform(F.slice(at, i + 1, k), lambda g: g["group"]), " ").alias("match"))
+            some = lambda i, k: F.struct(F.get(at, i)["start"].alias("start"), F.array_join(F.transform(F.sequence(i, i + k - 1), lambda j: F.get(at, j)["group"]), " ").alias("match"))
             every = F.transform(F.sequence(F.lit(0), F.size(at) - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GROUPS), F.size(at) - i)), lambda k: F.when(k < F.size(at), some(i, k))))
             return F.filter(F.flatten(every), lambda w: w.isNotNull())
 
-        placed_groups = gathered(F.size(groups), run["start"], step, "array<struct<start:int,group:string>>")
-        return F.when(F.contains(run["match"], F.lit(" ")), F.flatten(F.transform(F.array(placed_groups), windows))).otherwise(F.array().cast("array<struct<start:int,match:string>>"))
+        return F.when(F.contains(run["match"], F.lit(" ")), bound(bound(F.split(run["match"], " "), places), windows)).otherwise(F.array().cast(kind))
 
     return F.flatten(F.transform(runs, parts))
 
@@ -147,13 +149,16 @@ def base_spans(docs: DataFrame) -> DataFrame:
     third = third.withColumn("runs", F.transform("run", trimmed)).withColumn("words", F.filter(F.transform("word", trimmed), lambda x: long_(x) & ~x["match"].rlike(r"^[+(]*[0-9][0-9().+-]*$")))
     fourth = third.withColumn("parts", parts_of_runs(F.col("runs")))
     none = F.lit(None).cast("string")
-    free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["start"] + F.length(x["match"])) & (x["start"] < b["end"]))
-    whole = F.filter(F.concat(F.filter("runs", long_), "words"), free)
-    occ = F.concat(
-        F.transform("base", lambda x: occurrence(x["start"], x["match"], x["left"], x["right"], x["seed"])),
-        F.transform(whole, lambda x: occurrence(x["start"], x["match"], x["left"], x["right"], none)),
-        F.transform(F.filter("parts", lambda x: long_(x) & free(x)), lambda x: occurrence(x["start"], x["match"], None, None, none)),
-    )
+    def places(taken: Column) -> Column:
+        free = lambda x: clear(taken, x["start"], x["start"] + F.length(x["match"]))
+        whole = F.filter(F.concat(F.filter("runs", long_), "words"), free)
+        return F.concat(
+            F.transform("base", lambda x: occurrence(x["start"], x["match"], x["left"], x["right"], x["seed"])),
+            F.transform(whole, lambda x: occurrence(x["start"], x["match"], x["left"], x["right"], none)),
+            F.transform(F.filter("parts", lambda x: long_(x) & free(x)), lambda x: occurrence(x["start"], x["match"], None, None, none)),
+        )
+
+    occ = bound(reached(F.col("base")), places)
     return fourth.select("doc_id", *(r.kind for r in RULES), occ.cast(OCCURRENCE).alias("occ"))
 
 

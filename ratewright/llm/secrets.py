@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewright.llm.common import cut, maybe_broadcast, shared_folder, spare
-from ratewright.llm.spans import Rule, gathered, matches, placed, written
+from ratewright.llm.spans import Rule, bound, chunks, gathered, matches, part, placed, written
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -114,13 +114,11 @@ def scan(texts: DataFrame, ledger: Ledger, rules: tuple[Versioned, ...] = RULES)
 
 def findings(ledger: Ledger, spark: SparkSession, rules: tuple[Versioned, ...] = RULES) -> DataFrame:
     """(blob, marks: array of start, rank, end, kind) of the blobs in which these rule versions have found something."""
-    rank = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))))
-    kind = F.create_map(*(x for r in rules for x in (F.lit(r.key), F.lit(r.rule.kind))))
-    mine = F.filter("found", lambda x: x["rule"].isin(*(r.key for r in rules)))
-    marks = F.transform(mine, lambda x: F.struct(x["start"].alias("start"), rank[x["rule"]].alias("rank"), x["end"].alias("end"), kind[x["rule"]].alias("kind")))
-    some = ledger.rows(spark).select("blob", marks.alias("marks")).filter(F.size("marks") > 0)
-    # a blob that several runs have scanned has several rows; each with the spans of its text
-    return some.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("marks"))).alias("marks"))
+    own = lambda r: F.when(F.array_contains("scanned", r.key), F.filter("found", lambda x: x["rule"] == r.key))
+    marks = lambda i, r: F.transform(F.coalesce(r.key, F.array().cast(FOUND)), lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("rank"), x["end"].alias("end"), F.lit(r.rule.kind).alias("kind")))
+    # of runs that have scanned a blob with the same rule version any one counts, as they found the same
+    some = ledger.rows(spark).filter(F.size("found") > 0).groupBy("blob").agg(*(F.any_value(own(r), True).alias(r.key) for r in rules))
+    return some.select("blob", F.concat(*(marks(i, r) for i, r in enumerate(rules))).alias("marks")).filter(F.size("marks") > 0)
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Versioned, ...] = RULES, ledger: Ledger | None = None, keep: tuple[str, ...] = ("doc_id",), pairs: bool = False) -> DataFrame:
@@ -158,13 +156,15 @@ def without_secrets(docs: DataFrame, rules: tuple[Versioned, ...] = RULES, mark:
     every = F.array_sort(F.transform("marks", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
     found = cut(findings(ledger, docs.sparkSession, rules).select(F.col("blob").alias(blob), every.alias(spans)), "secrets")
 
-    def step(at: Column, i: Column) -> tuple[Column, Column, Column]:
-        x = F.get(spans, i)
-        return F.greatest(at, x["end"]), x["start"] >= at, F.concat(F.substring(F.col("text"), at + 1, x["start"] - at), F.lit(mark))
+    def rebuilt(of: Column) -> Column:
+        def step(at: Column, i: Column) -> tuple[Column, Column, Column]:
+            x = F.get(of["spans"], i)
+            return F.greatest(at, x["end"]), x["start"] >= at, F.concat(part(of["chunks"], at, x["start"]), F.lit(mark))
 
-    last = F.array_max(F.transform(spans, lambda x: x["end"]))
-    pieces = F.array_join(gathered(F.size(spans), F.lit(0), step, "array<string>"), "")
-    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.concat(pieces, F.substring(F.col("text"), last + 1, F.length("text"))))
+        last = F.array_max(F.transform(of["spans"], lambda x: x["end"]))
+        return F.concat(F.array_join(gathered(F.size(of["spans"]), F.lit(0), step, "array<string>"), ""), part(of["chunks"], last, F.length("text")))
+
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(bound(F.struct(F.col(spans).alias("spans"), chunks(F.col("text")).alias("chunks")), rebuilt))
     out = docs.withColumn(blob, blob_of(F.col("text"))).join(maybe_broadcast(found), blob, "left").withColumn(changed, text)
     named = {c: F.col(changed) if c == "text" else F.when(F.col(spans).isNull(), F.col(c)).otherwise(F.length(changed)).cast(docs.schema[c].dataType) if c == "n_chars" else F.col(c) for c in docs.columns}
     return out.select(*(v.alias(k) for k, v in named.items()))

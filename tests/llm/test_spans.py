@@ -178,6 +178,33 @@ def test_many_matches_in_one_text(spark):
     assert row.n_hex == 100_000 and row.spans.endswith(f"hex:{17 * 99_999}:{17 * 99_999 + 16}")
 
 
+def test_many_base_spans_beside_many_candidates(spark):
+    """Candidates are held against base spans in order, not each against all: 50,000 addresses, 50,000 other numbers, one run."""
+    text = " ".join(f"a{i}@b.org 12-{i:06d}" for i in range(50_000)) + " then " + " ".join(str(100 + i % 900) for i in range(20_000))
+    row = personal.find_personal(cases.table(spark, [(1, text, "en", "s", 1)])).first()
+    assert row.n_email == 50_000 and row.n_added == 0 and row.spans.startswith("email:0:8,email:19:27")
+
+
+def test_many_secrets_are_cut_out(spark):
+    text = " ".join(f"é {i:016x}" for i in range(50_000))
+    row = secrets.without_secrets(cases.table(spark, [(1, text, "en", "s", 1)])).first()
+    assert row.text == " ".join(["é [secret]"] * 50_000) and row.n_chars == len(row.text)
+
+
+def test_spans_that_overlap_none(spark):
+    from ratewright.llm.spans import clear, reached
+
+    r = random.Random(3)
+    rows = []
+    for _ in range(40):
+        some = [(a, a + r.randint(1, 9)) for a in (r.randrange(300) for _ in range(r.randint(0, 150)))]
+        rows.append((some, [(a, a + r.randint(1, 6)) for a in (r.randrange(310) for _ in range(20))]))
+    span = "array<struct<start:int,end:int>>"
+    df = spark.createDataFrame(rows, f"some {span}, tried {span}").withColumn("within", reached(F.col("some")))
+    for x in df.select("some", "tried", F.transform("tried", lambda t: clear(F.col("within"), t["start"], t["end"])).alias("free")).collect():
+        assert x.free == [all(b <= t.start or t.end <= a for a, b in x.some) for t in x.tried]
+
+
 def test_contexts_of_discovered_identifiers_alone(spark):
     r = random.Random(7)
     data = [(i, f"{cases.prose(r, 20)} please call us +1 (310) 555-{1000 + i} today {cases.prose(r, 9)}", "en", "s", 1) for i in range(40)]
