@@ -30,7 +30,7 @@ BREAK = re.compile(rb"[\x20\x09-\x0D.,;:!?]")
 PIECE_END, TEXT_END = b"\xff", b"\xfe"
 
 #: Words of a block that is counted at once; distinct words that a task numbers before it starts anew.
-BLOCK_WORDS, DISTINCT_WORDS = 1_000_000, 400_000
+BLOCK_WORDS, DISTINCT_WORDS = 500_000, 200_000
 
 #: Buckets in a row of the table of counts.
 ROW = 32_768
@@ -227,11 +227,11 @@ def bitmap_of(keys: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def frequent_phrases(docs: DataFrame, most: int = 3, least: int = 10, size: int = 26) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, most: int = 3, least: int = 10, size: int = 24) -> tuple[DataFrame, DataFrame]:
     """((lang, words, phrase, key, f) of all phrases of up to `most` words that occur `least` times or more, (lang, n)).
 
     lang is `und` where null; n counts all word occurrences of a language. 2^size: bits of each bitmap; every task counts
-    as many buckets, a byte each. Two bitmaps are broadcast for each pass; 2^26 bits are 8 MB.
+    as many buckets, a byte each. Two bitmaps are broadcast for each pass; 2^24 bits are 2 MB.
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     found, totals, p = [], None, Pass(1, most, least, size)
@@ -249,7 +249,7 @@ def frequent_phrases(docs: DataFrame, most: int = 3, least: int = 10, size: int
     return out, totals
 
 
-def collocations(docs: DataFrame, most: int = 3, least: int = 10, inside: int = 50, top: int = 2000, size: int = 26) -> DataFrame:
+def collocations(docs: DataFrame, most: int = 3, least: int = 10, inside: int = 50, top: int = 2000, size: int = 24) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first `top` phrases of 2 to `most` words of each language.
 
     A phrase that occurs a times (`least` or more) is cut after each of its words; the cut with the lowest score
