@@ -6,20 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratewright.operators.derive import with_peer_keys
+from ratewright.operators.ranks import percentiles
 from ratewright.operators.rates import pooled_rate
 
 PERCENTILES = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
 
 
-def percentile_table(df: DataFrame, by: tuple[str, ...] = ("year_filing_for",), naics_level: int = 3, least: int = 30, plausible_only: bool = True) -> DataFrame:
-    """One row for each peer group (and `by`): n, with_metric, zero_share, hours, cases, rate, exact percentiles, publishable."""
+def percentile_table(df: DataFrame, by: tuple[str, ...] = ("year_filing_for",), naics_level: int = 3, least: int = 30, plausible_only: bool = True, cuts: bool = True) -> DataFrame:
+    """One row for each peer group (and `by`): n, with_metric, zero_share, hours, cases, rate, exact percentiles, publishable.
+
+    Without `cuts` the percentiles, which take passes of their own, are left out.
+    """
     df = with_peer_keys(df.filter(~F.col("implausible")) if plausible_only else df, naics_level)
     keys = [*by, f"naics{naics_level}", "size_band"]
     for k in keys:
         df = df.filter(F.col(k).isNotNull())
-    cuts = F.percentile("trir", F.array(*map(F.lit, PERCENTILES.values())))
-    out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count("trir").alias("n_with_metric"), F.avg(F.when(F.col("recordable_cases") == 0, 1.0).otherwise(0.0)).alias("zero_share"), F.sum("total_hours_worked").alias("hours_total"), F.sum("recordable_cases").alias("cases_total"), pooled_rate(F.sum("recordable_cases"), F.sum("total_hours_worked")).alias("aggregate_trir"), cuts.alias("cuts"))
-    return out.select(*keys, "n", "n_with_metric", "zero_share", "hours_total", "cases_total", "aggregate_trir", *(F.get("cuts", F.lit(i)).alias(p) for i, p in enumerate(PERCENTILES)), (F.col("n_with_metric") >= least).alias("publishable"))
+    out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count("trir").alias("n_with_metric"), F.avg(F.when(F.col("recordable_cases") == 0, 1.0).otherwise(0.0)).alias("zero_share"), F.sum("total_hours_worked").alias("hours_total"), F.sum("recordable_cases").alias("cases_total"), pooled_rate(F.sum("recordable_cases"), F.sum("total_hours_worked")).alias("aggregate_trir"))
+    if cuts:
+        out = out.join(percentiles(df, keys, "trir", PERCENTILES.values()).drop("n_values"), keys, "left")
+    return out.select(*keys, "n", "n_with_metric", "zero_share", "hours_total", "cases_total", "aggregate_trir", *(F.get("cuts", F.lit(i)).alias(p) for i, p in enumerate(PERCENTILES) if cuts), (F.col("n_with_metric") >= least).alias("publishable"))
 
 
 def coverage(table: DataFrame) -> DataFrame:

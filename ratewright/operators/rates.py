@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewright.operators.derive import PER_HOURS, band_rank, size_band
+from ratewright.operators.ranks import with_median
 from ratewright.operators.screen import FLAGS, Bounds
 
 
@@ -35,7 +36,7 @@ def summary_columns() -> list[Column]:
     return [
         F.count("*").alias("n_filings"), F.count_if(bad).alias("n_implausible"), F.avg(bad.cast("double")).alias("implausible_share"), h.alias("hours_total"), ratio(hb, h).alias("hours_share_implausible"),
         c.alias("cases_total"), ratio(cb, c).alias("cases_share_implausible"), ratio(PER_HOURS * c, h).alias("aggregate_trir_unscreened"), good.alias("aggregate_trir_screened"),
-        ratio(good, ratio(PER_HOURS * c, h)).alias("ratio_screened_to_unscreened"), F.percentile(F.when(~bad, F.col("trir")), F.lit(0.5)).alias("median_trir_screened"),
+        ratio(good, ratio(PER_HOURS * c, h)).alias("ratio_screened_to_unscreened"),
     ]
 
 
@@ -43,7 +44,8 @@ def summarise(df: DataFrame, *by: str) -> DataFrame:
     """Summary of the screen, as a whole or by columns (rows with a null key are left out)."""
     for c in by:
         df = df.filter(F.col(c).isNotNull())
-    return df.groupBy(*by).agg(*summary_columns()) if by else df.agg(*summary_columns())
+    out = df.groupBy(*by).agg(*summary_columns()) if by else df.agg(*summary_columns())
+    return with_median(out, df.filter(~F.col("implausible")), by, "trir", "median_trir_screened")
 
 
 def flag_prevalence(df: DataFrame) -> DataFrame:
@@ -142,8 +144,9 @@ def size_effects(df: DataFrame) -> DataFrame:
     cases = F.col("recordable_cases")
     out = good.groupBy("size_band").agg(
         F.count("*").alias("n"), F.avg(F.when(cases == 0, 1.0).otherwise(0.0)).alias("zero_share"), F.avg(cases).alias("mean_cases"), F.var_pop(cases).alias("var_cases"),
-        pooled_rate(F.sum(cases), F.sum("total_hours_worked")).alias("aggregate_trir"), F.percentile("trir", F.lit(0.5)).alias("median_trir"),
+        pooled_rate(F.sum(cases), F.sum("total_hours_worked")).alias("aggregate_trir"),
     )
+    out = with_median(out, good, ["size_band"], "trir", "median_trir")
     return out.withColumns({"variance_to_mean": ratio(F.col("var_cases"), F.col("mean_cases")), "band_rank": band_rank(F.col("size_band")).cast("long")})
 
 
@@ -170,4 +173,5 @@ def reconcile_panels(df: DataFrame, old_years: tuple[int, ...], old: Bounds = Bo
     r = F.coalesce("hours_per_employee", F.lit(float(new.low)))
     entries = [F.when(F.col("year_filing_for").isin(*years) if years else F.lit(True), F.struct(F.lit(p).alias("panel"), F.lit(label).alias("label"), (fixed | (r < b.low) | (r > b.high)).alias("bad"))) for p, label, b, years in panels]
     rows = df.select("year_filing_for", "total_hours_worked", "recordable_cases", "trir", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("year_filing_for", "total_hours_worked", "recordable_cases", "trir", "e.panel", "e.label", F.col("e.bad").alias("implausible"))
-    return rows.groupBy("panel", "label").agg(*summary_columns(), F.min("year_filing_for").alias("year_first"), F.max("year_filing_for").alias("year_last"))
+    out = rows.groupBy("panel", "label").agg(*summary_columns(), F.min("year_filing_for").alias("year_first"), F.max("year_filing_for").alias("year_last"))
+    return with_median(out, rows.filter(~F.col("implausible")), ["panel", "label"], "trir", "median_trir_screened")

@@ -58,13 +58,13 @@ KIT_CELLS = KIT[: KIT.index(", zz AS")]
 @query(f"SELECT scenario, {n('y0', 'year_from')}, {n('y1', 'year_to')}, {r('within_', 'within_effect')}, {r('composition', 'composition_effect')}, {n('cells', 'n_cells_matched')} FROM ({scenario_sql('all_cells', 'true')} UNION ALL {scenario_sql('without_310', chr(39) + '310' + chr(39) + ' <> naics3')} UNION ALL {scenario_sql('without_large', 'NOT (band = ' + chr(39) + '250-499' + chr(39) + ')')})", KIT_CELLS)
 def decomposition_scenarios(spark, sf_dir):
     named = {"without_310": F.col("naics3") != "310", "without_large": F.col("size_band") != "250-499"}
-    return audit.scenarios(table(spark, sf_dir), named).select("scenario", "year_from", "year_to", "within_effect", "composition_effect", "n_cells_matched")
+    return audit.scenarios(table(spark, sf_dir, cuts=False), named).select("scenario", "year_from", "year_to", "within_effect", "composition_effect", "n_cells_matched")
 
 
 @query(f"SELECT {n('y', 'year')}, {n('n', 'n_cells')}, {r('rc', 'rate_cells')}, true AS agrees FROM (SELECT year_filing_for AS y, sum(n) AS n, 200000.0 * sum(c) / sum(h) AS rc FROM cells GROUP BY 1)", CELLS)
 def cell_reconciliation(spark, sf_dir):
     rows = base(spark, sf_dir).filter(F.col("naics3").isNotNull())
-    return audit.reconciled(audit.validate_cells(peers.percentile_table(rows)), rows).select("year", "n_cells", "rate_cells", "agrees")
+    return audit.reconciled(audit.validate_cells(peers.percentile_table(rows, cuts=False)), rows).select("year", "n_cells", "rate_cells", "agrees")
 
 
 @query(f"SELECT naics3, {r('f', 'forecast')}, {r('o', 'observed')}, CASE WHEN o IS NULL OR lo IS NULL THEN 'not evaluable' WHEN o BETWEEN lo AND hi THEN 'held' ELSE 'not held' END AS verdict FROM (SELECT naics3, f, f - 2.4469 * e AS lo, f + 2.4469 * e AS hi, o FROM (SELECT naics3, avg(v) FILTER (place <= 3) AS f, sqrt(avg(miss * miss)) AS e FROM ro GROUP BY 1) LEFT JOIN (SELECT naics3, v AS o FROM full_ WHERE year = (SELECT max(year) FROM full_)) USING (naics3))", SERIES.replace("WHERE NOT bad GROUP BY 1, 2)", "WHERE NOT bad AND year_filing_for < (SELECT max(year_filing_for) FROM screened) GROUP BY 1, 2), full_ AS (SELECT naics3, year_filing_for AS year, 200000.0 * sum(cases) / sum(hours) AS v FROM screened WHERE NOT bad GROUP BY 1, 2)", 1))

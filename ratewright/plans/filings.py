@@ -62,8 +62,8 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return WRITTEN[key]
 
 
-def table(spark: SparkSession, sf_dir: str, by: tuple[str, ...] = ("year_filing_for",)) -> DataFrame:
-    return peers.percentile_table(base(spark, sf_dir), by)
+def table(spark: SparkSession, sf_dir: str, by: tuple[str, ...] = ("year_filing_for",), cuts: bool = True) -> DataFrame:
+    return peers.percentile_table(base(spark, sf_dir), by, cuts=cuts)
 
 
 def r(expr: str, name: str) -> str:
@@ -231,7 +231,7 @@ def peer_percentiles_pooled(spark, sf_dir):
 
 @query(f"SELECT {n('count(*)', 'groups')}, {n('count(*) FILTER (pub)', 'groups_publishable')}, {n('sum(n)', 'filings')}, {n(SUM('n', 'pub'), 'filings_publishable')}, {r('count(*) FILTER (pub) / count(*)', 'share_groups')}, {r(SUM('n', 'pub') + ' / sum(n)', 'share_filings')} FROM cells", CELLS)
 def peer_coverage(spark, sf_dir):
-    return peers.coverage(table(spark, sf_dir))
+    return peers.coverage(table(spark, sf_dir, cuts=False))
 
 
 @query(f"""
@@ -257,7 +257,7 @@ def band_stability(spark, sf_dir):
 
 @query(f"SELECT {n('y0', 'year_from')}, {n('y1', 'year_to')}, {n('na', 'groups_year_from')}, {n('nb', 'groups_year_to')}, {n('nm', 'groups_matched')}, {r('nm / nullif(na, 0)', 'matched_share_of_year_from')} FROM (SELECT y0, y1, (SELECT count(*) FROM cells WHERE pub AND year_filing_for = y0) AS na, (SELECT count(*) FROM cells WHERE pub AND year_filing_for = y1) AS nb, (SELECT count(*) FROM cells a JOIN cells b ON a.naics3 = b.naics3 AND a.band = b.band WHERE a.pub AND b.pub AND a.year_filing_for = y0 AND b.year_filing_for = y1) AS nm FROM pairs)", f"{CELLS}, {PUB_PAIRS}")
 def group_persistence(spark, sf_dir):
-    return stability.group_persistence(table(spark, sf_dir))
+    return stability.group_persistence(table(spark, sf_dir, cuts=False))
 
 
 TOTALS = "yt AS (SELECT year_filing_for AS year, count(*) AS n, count(*) FILTER (bad) AS k, coalesce(sum(hours), 0) AS h, coalesce(sum(cases), 0) AS c, coalesce(sum(hours) FILTER (NOT bad), 0) AS gh, coalesce(sum(cases) FILTER (NOT bad), 0) AS gc FROM screened GROUP BY 1), tt AS (SELECT sum(n) AS n, sum(k) AS k, sum(h) AS h, sum(c) AS c, sum(gh) AS gh, sum(gc) AS gc FROM yt)"
@@ -311,7 +311,7 @@ KIT = CELLS + ", " + YEARS + ", " + LONG + f", zz AS (SELECT *, h0 / sum(h0) OVE
 
 @query(f"SELECT {n('z.y0', 'year_from')}, {n('z.y1', 'year_to')}, {n('count(*)', 'n_cells_matched')}, {r('sum(w1 * r1) - sum(w0 * r0)', 'matched_change')}, {r('sum((w0 + w1) / 2 * (r1 - r0))', 'within_effect')}, {r('sum((r0 + r1) / 2 * (w1 - w0))', 'composition_effect')}, {r('any_value(b.f) - any_value(a.f) - (sum(w1 * r1) - sum(w0 * r0))', 'support_residual')}, {n('count(*) FILTER (r1 < r0)', 'declining_cells')}, {r('CASE WHEN count(*) > 1 AND var_pop(k0) > 0 AND var_pop(k1) > 0 THEN covar_pop(k0, k1) / (stddev_pop(k0) * stddev_pop(k1)) END', 'rank_spearman')} FROM zz z JOIN whole a ON a.y = z.y0 JOIN whole b ON b.y = z.y1 GROUP BY z.y0, z.y1", KIT)
 def kitagawa_decomposition(spark, sf_dir):
-    return influence.kitagawa(table(spark, sf_dir))
+    return influence.kitagawa(table(spark, sf_dir, cuts=False))
 
 
 LOCO = CELLS + ", " + YEARS + ", sides AS (SELECT y0, y1, naics3, band, sum(h0) AS h0, sum(c0) AS c0, sum(h1) AS h1, sum(c1) AS c1 FROM (SELECT y0, y1, naics3, band, h AS h0, c AS c0, 0 AS h1, 0 AS c1 FROM pairs JOIN cells ON year_filing_for = y0 UNION ALL SELECT y0, y1, naics3, band, 0, 0, h, c FROM pairs JOIN cells ON year_filing_for = y1) GROUP BY ALL), lo_ AS (SELECT *, 200000.0 * (sum(c0) OVER w - c0) / nullif(sum(h0) OVER w - h0, 0) AS b, 200000.0 * (sum(c1) OVER w - c1) / nullif(sum(h1) OVER w - h1, 0) AS a, 200000.0 * sum(c1) OVER w / sum(h1) OVER w - 200000.0 * sum(c0) OVER w / sum(h0) OVER w AS o FROM sides WINDOW w AS (PARTITION BY y0, y1))"
@@ -319,7 +319,7 @@ LOCO = CELLS + ", " + YEARS + ", sides AS (SELECT y0, y1, naics3, band, sum(h0)
 
 @query(f"SELECT {n('y0', 'year_from')}, {n('y1', 'year_to')}, naics3, band AS size_band, {r('b', 'rate_before')}, {r('a', 'rate_after')}, {r('a - b', 'change_without')}, {r('o', 'change_original')}, (a - b) * o < 0 AS reversed FROM lo_", LOCO)
 def leave_one_cell_out(spark, sf_dir):
-    return influence.leave_one_cell_out(table(spark, sf_dir))
+    return influence.leave_one_cell_out(table(spark, sf_dir, cuts=False))
 
 
 LOO = "loo AS (SELECT id, establishment_id, year_filing_for AS year, hours, cases, sum(hours) OVER w AS h, sum(cases) OVER w AS c, hours / sum(hours) OVER w AS hs, cases / nullif(sum(cases) OVER w, 0) AS cs, 200000.0 * sum(cases) OVER w / sum(hours) OVER w AS rate, CASE WHEN sum(hours) OVER w - hours > 0 THEN 200000.0 * (sum(cases) OVER w - cases) / (sum(hours) OVER w - hours) END AS wo FROM screened WHERE NOT bad WINDOW w AS (PARTITION BY year_filing_for))"
