@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratewright.llm.common import CHUNK_BYTES, cut, footprint, hashed64, maybe_broadcast, pieces_of, slices, spare
+from ratewright.llm.common import CHUNK_BYTES, cut, footprint, hashed64, maybe_broadcast, pieces_of, shared_folder, slices, spare
 
 #: A-Z lower-cased; bytes that end a piece as line ends; the two bytes that mark ends below, which UTF-8 has not, as a third.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\xfe\xff", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b"\xfd\xfd")
 BREAK = re.compile(rb"[\x20\x09-\x0D.,;:!?]")
 PIECE_END, TEXT_END = b"\xff", b"\xfe"
 
-#: Words of a block that is counted at once; distinct words that a task numbers before it starts anew.
-BLOCK_WORDS, DISTINCT_WORDS = 500_000, 200_000
+#: Words of a block that is counted at once; distinct words that a task numbers, and distinct phrases that it holds, before it gives
+#: out its counts and starts anew.
+BLOCK_WORDS, DISTINCT_WORDS, HELD = 500_000, 300_000, 2_000_000
 
 #: Buckets in a row of the table of counts.
 ROW = 32_768
@@ -83,6 +85,8 @@ class Counter:
         self.held = 0
         self.table = np.zeros(1 << p.size if p.k < p.most else 0, dtype=np.uint8 if p.least < 256 else np.uint32)
         self.total: dict[int, int] = {}
+        self.found: list[np.ndarray] = []
+        self.n_found = 0
 
     def lang(self, name: str) -> int:
         if name not in self.langs:
@@ -131,25 +135,44 @@ class Counter:
             longer = np.flatnonzero(ok[:-1] & ok[1:])
             bucket, n = np.unique((hashed64(hashes[longer] * FACTOR + word[longer + k]) >> np.uint64(64 - p.size)).astype(np.int64), return_counts=True)
             self.table[bucket] = np.minimum(self.table[bucket] + n, np.iinfo(self.table.dtype).max)
-        yield from self.rows(np.flatnonzero(ok[:starts]), lang, ids, hashes)
+        at = np.flatnonzero(ok[:starts])
+        self.hold(np.stack([lang[at], *(ids[at + j] for j in range(k)), np.ones(at.size, dtype=np.int64)]).astype(np.int32 if starts < 1 << 31 else np.int64))
         self.blocks, self.held = [(lang[starts:].copy(), ids[starts:].copy())], k
+        if last or len(self.numbers) > DISTINCT_WORDS or self.n_found > HELD:
+            yield from self.rows()
         if len(self.numbers) > DISTINCT_WORDS:
             words, self.numbers = self.numbers.words, Numbers()
-            self.blocks = [(lang[starts:], np.array([self.numbers[words[i]] for i in ids[starts:].tolist()], dtype=np.int64))]
+            self.blocks = [(lang[starts:].copy(), np.array([self.numbers[words[i]] for i in ids[starts:].tolist()], dtype=np.int64))]
 
-    def rows(self, at: np.ndarray, lang: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """(lang, phrase, key, n) of the phrases that begin at these places."""
-        if not at.size:
-            return
-        key, width = lang[at], len(self.numbers.words).bit_length()
-        for j in range(self.p.k):
-            if int(key.max()).bit_length() + width > 62:
+    def hold(self, new: np.ndarray) -> None:
+        """Counts of phrases as rows of language, words and number, equal phrases added up."""
+        key, width = new[0].astype(np.int64), len(self.numbers.words).bit_length()
+        for column in new[1:-1]:
+            if key.size and int(key.max()).bit_length() + width > 62:
                 key = np.unique(key, return_inverse=True)[1]
-            key = key << width | ids[at + j]
-        _, first, n = np.unique(key, return_index=True, return_counts=True)
-        first, words = at[first], self.numbers.words
-        phrases = [b" ".join([words[i] for i in x]) for x in np.stack([ids[first + j] for j in range(self.p.k)], axis=1).tolist()]
-        yield batch([self.lang_names[i] for i in lang[first].tolist()], phrases, hashes[first].view(np.int64), n)
+            key = key << width | column
+        _, first, of = np.unique(key, return_index=True, return_inverse=True)
+        n = np.zeros(first.size, dtype=np.int64)
+        np.add.at(n, of, new[-1])
+        self.found.append(np.vstack([new[:-1, first], n.astype(new.dtype)]))
+        self.n_found += first.size
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """(lang, phrase, n) of what is held, in order of the phrases, so that neighbours are alike and take little room."""
+        every, self.found, self.n_found = self.found, [], 0
+        if len(every) > 1:
+            self.hold(np.hstack(every))
+            every, self.found, self.n_found = self.found, [], 0
+        if not every or not every[0].shape[1]:
+            return
+        lang, *ids, n = every[0]
+        words = pa.array(self.numbers.words, type=pa.binary())
+        phrase = pc.binary_join_element_wise(*(words.take(pa.array(c)) for c in ids), pa.scalar(b" ", type=pa.binary()))
+        order = pc.sort_indices(phrase)
+        names = pa.array(self.lang_names, type=pa.string()).take(pa.array(lang))
+        for i in range(0, len(order), 100_000):
+            some = order.slice(i, 100_000)
+            yield batch(names.take(some), phrase.take(some), np.zeros(len(some), dtype=np.int64), pa.array(n).take(some).cast(pa.int64()))
 
     def buckets(self) -> Iterator[pa.RecordBatch]:
         """The counts of ROW buckets each (key: which), and the words of each language."""
@@ -165,9 +188,9 @@ class Counter:
 RAW = "lang string, phrase string, key long, n long, counts binary"
 
 
-def batch(lang: list, phrase: list | None, key: np.ndarray, n: np.ndarray, counts: list | None = None) -> pa.RecordBatch:
-    none = [None] * len(lang)
-    return pa.RecordBatch.from_arrays([pa.array(lang, type=pa.string()), pa.array(phrase or none, type=pa.binary()).cast(pa.string()), pa.array(key, type=pa.int64()), pa.array(n, type=pa.int64()), pa.array(counts or none, type=pa.binary())], names=["lang", "phrase", "key", "n", "counts"])
+def batch(lang: list | pa.Array, phrase: pa.Array | None, key: np.ndarray, n: np.ndarray | pa.Array, counts: list | None = None) -> pa.RecordBatch:
+    none = pa.nulls(len(lang), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(lang, type=pa.string()), (none if phrase is None else phrase).cast(pa.string()), pa.array(key, type=pa.int64()), pa.array(n, type=pa.int64()), none if counts is None else pa.array(counts, type=pa.binary())], names=["lang", "phrase", "key", "n", "counts"])
 
 
 def one_pass(texts: DataFrame, p: Pass) -> DataFrame:
@@ -190,9 +213,12 @@ def one_pass(texts: DataFrame, p: Pass) -> DataFrame:
                 if counter.full():
                     yield from counter.count()
         yield from counter.count(last=True)
+        yield from counter.rows()
         yield from counter.buckets()
 
-    return cut(texts.mapInArrow(run, RAW), f"phrases-{p.k}")
+    path = f"{shared_folder(texts.sparkSession)}/ratewright/phrases-{p.k}-{uuid4().hex}"
+    texts.mapInArrow(run, RAW).write.option("compression", "zstd").parquet(path)
+    return texts.sparkSession.read.schema(RAW).parquet(path)
 
 
 def frequent_buckets(raw: DataFrame, p: Pass) -> np.ndarray:
@@ -217,10 +243,26 @@ def frequent_buckets(raw: DataFrame, p: Pass) -> np.ndarray:
     return out
 
 
-def bitmap_of(keys: DataFrame, size: int) -> np.ndarray:
-    """The bitmap of the hashes in column key, by their first `size` bits; 2^size bits are all that the driver gets."""
-    place = F.shiftrightunsigned("key", 64 - size) + 1  # the functions below number bits from 1
-    rows = keys.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+def hashes_of(lang: list[str], phrases: list[bytes]) -> np.ndarray:
+    """The hashes of phrases of equally many words."""
+    digest = lambda xs: np.array([xxhash.xxh3_64_intdigest(x) for x in xs], dtype=np.uint64)
+    out = digest(lang)
+    for words in zip(*(x.split(b" ") for x in phrases), strict=True):
+        out = hashed64(out * FACTOR + digest(words))
+    return out
+
+
+def bitmap_of(phrases: DataFrame, size: int) -> np.ndarray:
+    """The bitmap of the hashes of phrases (lang, phrase), by their first `size` bits; 2^size bits are all that the driver gets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if rows.num_rows:
+                hashes = hashes_of(rows.column(0).to_pylist(), pc.cast(rows.column(1), pa.binary()).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array((hashes >> np.uint64(64 - size)).astype(np.int64) + 1)], names=["place"])
+
+    place = F.col("place")  # the functions below number bits from 1
+    rows = phrases.select("lang", "phrase").mapInArrow(run, "place long").groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
     out = np.zeros(max(ROW, 1 << size) // 8, dtype=np.uint8)
     for b, bits in rows:
         out[(b - 1) * ROW // 8 : b * ROW // 8] = np.frombuffer(bits, dtype=np.uint8)
@@ -228,7 +270,7 @@ def bitmap_of(keys: DataFrame, size: int) -> np.ndarray:
 
 
 def frequent_phrases(docs: DataFrame, most: int = 3, least: int = 10, size: int = 24) -> tuple[DataFrame, DataFrame]:
-    """((lang, words, phrase, key, f) of all phrases of up to `most` words that occur `least` times or more, (lang, n)).
+    """((lang, words, phrase, f) of all phrases of up to `most` words that occur `least` times or more, (lang, n)).
 
     lang is `und` where null; n counts all word occurrences of a language. 2^size: bits of each bitmap; every task counts
     as many buckets, a byte each. Two bitmaps are broadcast for each pass; 2^24 bits are 2 MB.
@@ -239,10 +281,12 @@ def frequent_phrases(docs: DataFrame, most: int = 3, least: int = 10, size: int
         raw = one_pass(texts, p)
         if k == 1:
             totals = raw.filter("phrase is null and counts is null").groupBy("lang").agg(F.sum("n").alias("n"))
-        counted = raw.filter("phrase is not null").groupBy("lang", "phrase").agg(F.max("key").alias("key"), F.sum("n").alias("f")).filter(F.col("f") >= least)
-        found.append(cut(counted.select("lang", F.lit(k).alias("words"), "phrase", "key", "f"), f"frequent-{k}"))
+        # a task has given out each phrase once or a few times; dealt in their order, they take less room than sums would that come in any
+        dealt = raw.filter("phrase is not null").select("lang", "phrase", "n").repartition("lang", "phrase")
+        counted = dealt.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+        found.append(cut(counted.select("lang", F.lit(k).alias("words"), "phrase", "f"), f"frequent-{k}"))
         if k < most:
-            p = Pass(k + 1, most, least, size, bitmap_of(found[-1].select("key"), size), frequent_buckets(raw, p))
+            p = Pass(k + 1, most, least, size, bitmap_of(found[-1], size), frequent_buckets(raw, p))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

@@ -86,6 +86,7 @@ def test_blocks_and_numbers_start_anew(monkeypatch):
     monkeypatch.setattr(phrases, "BLOCK_WORDS", 7)
     monkeypatch.setattr(phrases, "DISTINCT_WORDS", 4)
     monkeypatch.setattr(phrases, "CHUNK_BYTES", 50)
+    monkeypatch.setattr(phrases, "HELD", 30)
     every = np.full(1 << 12, 255, dtype=np.uint8)
     for k in (1, 2, 3):
         c, found = phrases.Counter(phrases.Pass(k, 3, 1, 15, every, every)), Counter()
@@ -95,7 +96,7 @@ def test_blocks_and_numbers_start_anew(monkeypatch):
                 c.feed([piece], ["en"], whole=False)
                 batches += c.count() if c.full() else []
             c.feed([b""], ["en"])
-        batches += c.count(last=True)
+        batches += [*c.count(last=True), *c.rows()]
         for b in batches:
             for x in b.to_pylist():
                 found[x["lang"], x["phrase"]] += x["n"]
