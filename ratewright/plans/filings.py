@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewright.functions import stats
+from ratewright.functions import exact, stats
 from ratewright.models import counts
 from ratewright.operators import expectations as ex
-from ratewright.operators import graph, influence, panel, peers, rates, screen, sectors, stability
+from ratewright.operators import detectability, graph, influence, panel, peers, rates, screen, sectors, stability
 from ratewright.operators.derive import deduplicated, derived, with_peer_keys
 from ratewright.shared import cut
 from ratewright.sources import naics
@@ -41,7 +41,7 @@ def query(sql: str | None = None, more: str = "", plain: bool = False) -> Callab
         name = f.__name__
         QUERIES[name] = f if plain else lambda spark, sf_dir: rounded(f(spark, sf_dir))
         if sql:
-            ORACLE[name] = f"WITH {'RECURSIVE ' if 'UNION ALL SELECT state' in more else ''}{VIEW.strip()}{', ' + more.strip() if more else ''} {sql.strip()}"
+            ORACLE[name] = f"WITH {'RECURSIVE ' if ' AS i, CAST(' in more else ''}{VIEW.strip()}{', ' + more.strip() if more else ''} {sql.strip()}"
         return f
 
     return add
@@ -546,13 +546,12 @@ HALVED = lambda name, keys, start, low, high, above: f"{name} AS (SELECT {keys},
 SMALL = "small AS (SELECT state, count(*) AS nn, count(*) FILTER (bad) AS kk, sum(hours) FILTER (hours > 0) AS h, CAST(sum(CASE WHEN cases > 0 THEN cases ELSE 0 END) AS BIGINT) % 60 AS c FROM screened GROUP BY state)"
 
 
-def by_state(spark: SparkSession, sf_dir: str) -> list:
-    """A row for each state, some twenty-six: filings, flagged ones, hours and a count of cases below 60."""
-    rows = base(spark, sf_dir).groupBy("state").agg(
+def by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each state: filings, flagged ones, hours and a count of cases below 60."""
+    return base(spark, sf_dir).groupBy("state").agg(
         F.count("*").alias("n"), F.count_if("implausible").alias("k"), F.sum(F.when(F.col("total_hours_worked") > 0, F.col("total_hours_worked"))).alias("hours"),
         (F.sum(F.when(F.col("recordable_cases") > 0, F.col("recordable_cases")).otherwise(0.0)).cast("long") % 60).alias("c"),
     )
-    return rows.collect()
 
 
 @query(
@@ -561,7 +560,7 @@ def by_state(spark: SparkSession, sf_dir: str) -> list:
 )
 def poisson_intervals(spark, sf_dir):
     """Exact intervals of counts, against SQL that solves for their coverage."""
-    return spark.createDataFrame([(x.state, x.c, *map(float, stats.garwood(x.c))) for x in by_state(spark, sf_dir)], "state string, cases long, low double, high double")
+    return by_state(spark, sf_dir).select("state", F.col("c").alias("cases"), exact.poisson_interval(F.col("c")).alias("i")).select("state", "cases", "i.low", "i.high")
 
 
 @query(
@@ -570,11 +569,61 @@ def poisson_intervals(spark, sf_dir):
 )
 def share_intervals(spark, sf_dir):
     """Exact intervals of flagged shares, against SQL that solves for their coverage."""
-    return spark.createDataFrame([(x.state, x.k, x.n, *map(float, stats.clopper_pearson(x.k, x.n))) for x in by_state(spark, sf_dir)], "state string, k long, n long, low double, high double")
+    return by_state(spark, sf_dir).select("state", "k", "n", exact.share_interval(F.col("k"), F.col("n")).alias("i")).select("state", "k", "n", "i.low", "i.high")
 
 
 @query("SELECT CAST(x AS BIGINT) AS x, CAST(df AS BIGINT) AS df, round(exp(-x / 2.0) * list_sum(list_transform(generate_series(0, CAST(df / 2 - 1 AS BIGINT)), lambda j: exp(j * ln(x / 2.0) - lgamma(j + 1)))), 6) AS tail FROM (SELECT DISTINCT 1 + c AS x FROM small), (VALUES (2), (4), (10), (40)) t(df)", SMALL)
 def chi_square_tails(spark, sf_dir):
     """Tails of chi-square at even degrees of freedom, which are finite sums."""
-    xs = sorted({1 + x.c for x in by_state(spark, sf_dir)})
-    return spark.createDataFrame([(x, d, stats.chi2_tail(float(x), d)) for x in xs for d in (2, 4, 10, 40)], "x long, df long, tail double")
+    rows = by_state(spark, sf_dir).select((F.col("c") + 1).alias("x")).distinct().withColumn("df", F.explode(F.array(*(F.lit(d).cast("long") for d in (2, 4, 10, 40)))))
+    return rows.withColumn("tail", exact.chi_square_tail(F.col("x"), F.col("df")))
+
+
+BANDS = "bands AS (SELECT band, count(*) AS n, avg(cases) AS mc, 200000.0 * sum(cases) / sum(hours) AS rate FROM keyed WHERE NOT bad AND band IS NOT NULL GROUP BY band HAVING sum(cases) > 0), bd AS (SELECT *, 200000.0 * mc / rate AS mh FROM bands)"
+#: The least count of each precision, by the ends of every count's interval up to 150.
+PRECISION = "ks AS (SELECT CAST(k AS INTEGER) AS k FROM range(1, 150) t(k)), " + HALVED("plo", "k", "ks", "0", "2 * k + 40", f"1 - {POISSON_UPTO('k - 1', '((a + b) / 2)')} > 0.025") + ", " + HALVED("phi", "k", "ks", "0", "2 * k + 40", f"{POISSON_UPTO('k', '((a + b) / 2)')} < 0.025") + ", need AS (SELECT ratio, min(plo.k) AS cases FROM plo JOIN phi ON plo.k = phi.k, (VALUES (1.5), (2.0), (3.0)) v(ratio) WHERE plo.i = 60 AND phi.i = 60 AND phi.a <= ratio * plo.a GROUP BY ratio)"
+
+
+@query(f"SELECT band AS size_band, {r('ratio', 'ratio')}, {n('cases', 'cases')}, {r('cases * 200000.0 / rate', 'hours')}, {r('cases * 200000.0 / rate / mh', 'site_years')} FROM bd, need", f"{BANDS}, {PRECISION}")
+def precision_cases(spark, sf_dir):
+    """Cases, hours and filings that make a band's rate precise."""
+    return detectability.precision_by_band(detectability.band_rates(base(spark, sf_dir)), (1.5, 2.0, 3.0))
+
+
+#: Log-binomials for all n up to 1,000; the share of tables with n cases that the test rejects depends on the ratio alone, and so
+#: does the ladder if it is counted in expected cases.
+LOG_BINOMIAL = lambda k, p: f"lgamma(n + 1) - lgamma({k} + 1) - lgamma(n - {k} + 1) + {k} * ln({p}) + (n - {k}) * ln(1 - {p})"
+LADDER = f"""
+rr AS (SELECT * FROM (VALUES (1.25::DOUBLE), (1.5), (2.0)) v(ratio)), ns AS (SELECT CAST(n AS INTEGER) AS n FROM range(1, 1001) t(n)),
+crit AS (SELECT n, max(c) AS c FROM (SELECT n, c, sum(exp({LOG_BINOMIAL('c', '0.5')})) OVER (PARTITION BY n ORDER BY c) AS f FROM ns, (SELECT CAST(c AS INTEGER) AS c FROM range(0, 500) u(c)) WHERE 2 * c < n) WHERE 2 * f <= 0.05 GROUP BY n),
+rej AS (SELECT ratio, n, sum(exp({LOG_BINOMIAL('c', '(ratio / (1 + ratio))')}) + exp({LOG_BINOMIAL('c', '(1 / (1 + ratio))')})) AS p FROM (SELECT crit.n, unnest(range(0, crit.c + 1)) AS c FROM crit), rr GROUP BY ratio, n),
+rung AS (SELECT ratio, CAST(j AS INTEGER) AS j, 0.5 * 2.801585e0 * 2.801585e0 * (1 + ratio) / ((ratio - 1) * (ratio - 1)) * pow(1.01::DOUBLE, j) AS m FROM rr, range(0, 160) t(j)),
+pw AS (SELECT rung.ratio, j, sum(exp(n * ln(m * (1 + rung.ratio)) - m * (1 + rung.ratio) - lgamma(n + 1)) * p) AS power FROM rung JOIN rej ON rej.ratio = rung.ratio GROUP BY rung.ratio, j, m),
+first_ AS (SELECT ratio, min(j) AS j FROM pw WHERE power >= 0.8 GROUP BY ratio),
+one AS (SELECT band, rej.ratio, sum(exp(n * ln(mc * (1 + rej.ratio)) - mc * (1 + rej.ratio) - lgamma(n + 1)) * p) AS power FROM (SELECT band, mc FROM bd), rej GROUP BY band, rej.ratio),
+hn AS (SELECT bd.*, f.ratio, f.j, pw.power, one.power AS single, greatest(1.0, 0.5 * 2.801585e0 * 2.801585e0 * 200000.0 * (rate + rate * f.ratio) / ((rate - rate * f.ratio) * (rate - rate * f.ratio))) * pow(1.01::DOUBLE, f.j) AS hours FROM bd, first_ f JOIN pw ON pw.ratio = f.ratio AND pw.j = f.j JOIN one ON one.ratio = f.ratio WHERE one.band = bd.band)"""
+
+
+@query(f"SELECT band AS size_band, {r('ratio', 'ratio')}, {n('j', 'rung')}, {r('hours', 'hours')}, {r('power', 'power')}, {r('hours / mh', 'site_years')}, {r('single', 'power_of_one')} FROM hn", f"{BANDS}, {LADDER}")
+def power_ladder(spark, sf_dir):
+    """Hours that tell a band's rate from a multiple of it: the first rung of the ladder that reaches the power."""
+    return detectability.power_by_band(detectability.band_rates(base(spark, sf_dir)))
+
+
+@query("SELECT band AS size_band, " + ", ".join([n("n", "n_filings"), r("rate", "rate"), r("mc", "mean_cases"), r("mh", "mean_hours"), r("200000.0 * -ln(0.025) / mh", "upper_without_cases"), n("(SELECT cases FROM need WHERE ratio = 2)", "cases_precise"), r("(SELECT cases FROM need WHERE ratio = 2) * 200000.0 / rate", "hours_precise"), r("(SELECT cases FROM need WHERE ratio = 2) * 200000.0 / rate / mh", "site_years_precise"), *(x for v, t in ((1.25, "1_25"), (1.5, "1_5"), (2.0, "2")) for x in (r(f"max(single) FILTER (ratio = {v})", f"power_of_one_{t}"), r(f"max(hours / mh) FILTER (ratio = {v})", f"site_years_{t}")))]) + " FROM hn GROUP BY band, n, rate, mc, mh", f"{BANDS}, {PRECISION}, {LADDER}")
+def detectability_by_band(spark, sf_dir):
+    return detectability.detectability(base(spark, sf_dir))
+
+
+#: Redraws in SQL: the law of each sector as a running sum, and for each number the first count that reaches it.
+DRAWS = """
+dr AS (SELECT wl.*, CAST(d AS INTEGER) AS d, CASE WHEN d > 0 THEN CAST(('0x' || substr(md5('1|' || d || '|' || naics3), 1, 13)) AS BIGINT) / 4503599627370496.0 END AS u FROM wl, range(0, 2001) t(d)),
+law AS (SELECT naics3, j, sum(exp(lgamma(m + 1) - lgamma(j + 1) - lgamma(m - j + 1) + j * ln(k / m) + (m - j) * ln(1 - k / m))) OVER (PARTITION BY naics3 ORDER BY j) AS f FROM (SELECT naics3, m, k, unnest(range(0, CAST(m AS BIGINT) + 1)) AS j FROM wl WHERE k > 0 AND k < m)),
+dk AS (SELECT d, naics3, m, k AS x FROM dr WHERE d = 0 OR k = 0 OR k = m UNION ALL SELECT d, dr.naics3, m, CAST(j AS DOUBLE) FROM (SELECT * FROM dr WHERE d > 0 AND k > 0 AND k < m) dr ASOF JOIN law ON dr.naics3 = law.naics3 AND dr.u <= law.f),
+cu AS (SELECT d, sum(m) OVER o / sum(m) OVER (PARTITION BY d) AS x1, (sum(m) OVER o - m) / sum(m) OVER (PARTITION BY d) AS x0, sum(x) OVER o / greatest(sum(x) OVER (PARTITION BY d), 1) AS y1, (sum(x) OVER o - x) / greatest(sum(x) OVER (PARTITION BY d), 1) AS y0 FROM dk WINDOW o AS (PARTITION BY d ORDER BY x / m, naics3 ROWS UNBOUNDED PRECEDING)),
+gi AS (SELECT d, 1 - sum((x1 - x0) * (y1 + y0)) AS g FROM cu GROUP BY d)"""
+
+
+@query(f"SELECT {r('(SELECT g FROM gi WHERE d = 0)', 'gini')}, {r('quantile_cont(g, 0.025) FILTER (d > 0)', 'low')}, {r('quantile_cont(g, 0.975) FILTER (d > 0)', 'high')}, {n('count(*) FILTER (d > 0)', 'draws')} FROM gi", f"{WIL}, {DRAWS}")
+def gini_bootstrap(spark, sf_dir):
+    return detectability.gini_bootstrap(sectors.flag_counts(base(spark, sf_dir), "naics3").filter("naics3 is not null"), "k", "n", "naics3")

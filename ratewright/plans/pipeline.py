@@ -10,9 +10,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratewright.functions import stats
 from ratewright.models import counts
-from ratewright.operators import influence, panel, peers, rates, render, sectors, stability
+from ratewright.operators import detectability, influence, panel, peers, rates, render, sectors, stability
 from ratewright.operators.expectations import Stage, topological
 from ratewright.operators.screen import Bounds, screened
 from ratewright.sources.results import rows_of, write_csv, write_json
@@ -53,12 +52,6 @@ def stage_tables(df: DataFrame, cfg: Config) -> dict[str, dict[str, Callable[[],
     loo = influence.leave_one_filing_out(df)
     fits = lambda: counts.fit_industries(df, least=cfg.least_model_rows, most=cfg.most_industries)
 
-    def detect() -> DataFrame:
-        banded = peers.with_peer_keys(df.filter(~F.col("implausible"))).filter("size_band is not null")
-        bands = banded.groupBy(F.col("size_band").alias("band")).agg(rates.pooled_rate(F.sum("recordable_cases"), F.sum("total_hours_worked")).alias("rate"), F.percentile("total_hours_worked", F.lit(0.5)).alias("hours"))
-        rows = [(r["band"], r["rate"], r["hours"]) for r in bands.collect() if r["rate"] and r["hours"]]
-        return df.sparkSession.createDataFrame(stats.detectability(rows), "size_band string, expected_cases long, rate_low double, rate_high double, power double, hours_needed double")
-
     return {
         "quality": {"quality_overall": lambda: rates.summarise(df), "quality_by_year": lambda: rates.summarise(df, "year_filing_for"), "quality_by_naics2": lambda: rates.summarise(df, "naics2"), "flag_prevalence": lambda: rates.flag_prevalence(df), "sensitivity_grid": lambda: rates.sensitivity_grid(df), "hours_concentration": lambda: rates.hours_concentration(df), "top50_high": lambda: sectors.top_high(df)},
         "peers": {"peer_percentiles_by_year": lambda: table("year_filing_for"), "peer_percentiles_pooled": lambda: table(), "size_band_effects": lambda: rates.size_effects(df), "zero_share_by_year": lambda: rates.zero_share(df, "year_filing_for")},
@@ -67,7 +60,7 @@ def stage_tables(df: DataFrame, cfg: Config) -> dict[str, dict[str, Callable[[],
         "stability": {"band_stability": lambda: stability.band_stability(table("year_filing_for")), "group_persistence": lambda: stability.group_persistence(table("year_filing_for")), "leave_one_year_out": lambda: stability.leave_one_year_out(df), "year_over_year": lambda: stability.year_over_year(df)},
         "panel": {"panel_coverage": lambda: panel.coverage(flags), "panel_transitions": lambda: panel.transitions(flags), "key_drift": lambda: panel.key_drift(df), "permutation_null": lambda: panel.permutation_null(flags, cfg.permutations)},
         "influence": {"exposure": lambda: influence.exposure_concentration(loo), "influence_ranking": lambda: influence.influence_ranking(loo), "trend_reversals": lambda: influence.trend_reversals(df), "decomposition": lambda: influence.kitagawa(table("year_filing_for")), "exclusions": lambda: influence.exclusion_scenarios(df), "accounting": lambda: influence.deletion_accounting(df)},
-        "sectors": {"wilson_by_sector": lambda: sectors.wilson_by(df, "naics2"), "sector_ex_top50": lambda: sectors.without_top(df, "naics2"), "detectability": detect},
+        "sectors": {"wilson_by_sector": lambda: sectors.wilson_by(df, "naics2"), "sector_ex_top50": lambda: sectors.without_top(df, "naics2"), "detectability": lambda: detectability.detectability(df)},
     }
 
 

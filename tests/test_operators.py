@@ -202,11 +202,6 @@ def test_intervals():
     assert stats.clopper_pearson(3, 20) == pytest.approx((0.0321, 0.3789), abs=1e-3)
     assert stats.chi2_tail(9.4877, 4) == pytest.approx(0.05, abs=1e-4)
     assert stats.chi2_tail(3.8415, 1) == pytest.approx(0.05, abs=1e-4)
-    assert stats.power_of_two_rates(4, 0.5, 5e6) > stats.power_of_two_rates(4, 0.5, 1e6)
-    hours = stats.hours_for_power(4, 0.5)
-    assert 0.8 <= stats.power_of_two_rates(4, 0.5, hours) < 0.83
-    k = stats.cases_for_precision(0.5)
-    assert (stats.garwood(k)[1] - k) / k <= 0.5 < (stats.garwood(k - 1)[1] - k + 1) / (k - 1)
 
 
 def test_wilson_and_gini(spark):
@@ -214,8 +209,6 @@ def test_wilson_and_gini(spark):
     assert (low, high) == pytest.approx((0.0552, 0.1744), abs=1e-3)
     even = spark.createDataFrame([("a", 10.0, 1.0), ("b", 20.0, 2.0)], "g string, n double, k double")
     assert stats.gini(stats.lorenz(even, "k", "n", "g")).first()[0] == pytest.approx(0)
-    found, lower, upper = stats.bootstrap_gini([100, 200, 300], [1, 20, 90], 200)
-    assert lower <= found <= upper
     assert sectors.wilson_by(sample(spark), "naics2").count() == 3
 
 
