@@ -27,3 +27,11 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_folder(spark)}/ratewright/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a scratch table of the shared folder, once nothing that isn't written yet reads it."""
+    if not path.startswith(f"{shared_folder(spark)}/ratewright/"):
+        raise ValueError(f"{path} is no scratch table")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
