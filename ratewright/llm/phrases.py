@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewright.llm.common import CHUNK_BYTES, cut, footprint, hashed64, maybe_broadcast, pieces_of, shared_folder, slices, spare
+from ratewright.shared import remove
 
 #: A-Z lower-cased; bytes that end a piece as line ends; the two bytes that mark ends below, which UTF-8 has not, as a third.
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\xfe\xff", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b"\xfd\xfd")
@@ -193,8 +194,8 @@ def batch(lang: list | pa.Array, phrase: pa.Array | None, key: np.ndarray, n: np
     return pa.RecordBatch.from_arrays([pa.array(lang, type=pa.string()), (none if phrase is None else phrase).cast(pa.string()), pa.array(key, type=pa.int64()), pa.array(n, type=pa.int64()), none if counts is None else pa.array(counts, type=pa.binary())], names=["lang", "phrase", "key", "n", "counts"])
 
 
-def one_pass(texts: DataFrame, p: Pass) -> DataFrame:
-    """Rows of Counter, written to the shared folder: texts has lang and text."""
+def one_pass(texts: DataFrame, p: Pass) -> tuple[DataFrame, str]:
+    """(rows of Counter, where they are written in the shared folder): texts has lang and text."""
     held = texts.sparkSession.sparkContext.broadcast(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +219,7 @@ def one_pass(texts: DataFrame, p: Pass) -> DataFrame:
 
     path = f"{shared_folder(texts.sparkSession)}/ratewright/phrases-{p.k}-{uuid4().hex}"
     texts.mapInArrow(run, RAW).write.option("compression", "zstd").parquet(path)
-    return texts.sparkSession.read.schema(RAW).parquet(path)
+    return texts.sparkSession.read.schema(RAW).parquet(path), path
 
 
 def frequent_buckets(raw: DataFrame, p: Pass) -> np.ndarray:
@@ -278,15 +279,16 @@ def frequent_phrases(docs: DataFrame, most: int = 3, least: int = 10, size: int
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     found, totals, p = [], None, Pass(1, most, least, size)
     for k in range(1, most + 1):
-        raw = one_pass(texts, p)
+        raw, path = one_pass(texts, p)
         if k == 1:
-            totals = raw.filter("phrase is null and counts is null").groupBy("lang").agg(F.sum("n").alias("n"))
+            totals = cut(raw.filter("phrase is null and counts is null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
         # a task has given out each phrase once or a few times; dealt in their order, they take less room than sums would that come in any
         dealt = raw.filter("phrase is not null").select("lang", "phrase", "n").repartition("lang", "phrase")
         counted = dealt.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
         found.append(cut(counted.select("lang", F.lit(k).alias("words"), "phrase", "f"), f"frequent-{k}"))
         if k < most:
             p = Pass(k + 1, most, least, size, bitmap_of(found[-1], size), frequent_buckets(raw, p))
+        remove(texts.sparkSession, path)  # all that comes of it is written or here
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
