@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ratewright.operators.derive import PER_HOURS
 from ratewright.operators.rates import pooled_rate, ratio
 from ratewright.operators.stability import average_rank, matched, spearman, year_pairs
+from ratewright.operators.without import sums_without
 
 KEYS = ("naics3", "size_band")
 
@@ -18,11 +19,11 @@ def yearly(df: DataFrame) -> DataFrame:
 
 
 def leave_one_filing_out(df: DataFrame) -> DataFrame:
-    """Every plausible filing with its year's rate without it. Year totals are one row each and go to every task."""
-    own = df.filter(~F.col("implausible")).select("id", "establishment_id", F.col("year_filing_for").alias("year"), F.col("total_hours_worked").alias("hours"), F.col("recordable_cases").alias("cases"))
-    out = own.join(F.broadcast(yearly(df)), "year")
-    rate, without = pooled_rate(F.col("c"), F.col("h")), pooled_rate(F.col("c") - F.col("cases"), F.col("h") - F.col("hours"))
-    return out.select("id", "establishment_id", "year", "hours", "cases", ratio(F.col("hours"), F.col("h")).alias("hours_share"), ratio(F.col("cases"), F.col("c")).alias("cases_share"), rate.alias("rate"), without.alias("rate_without"), (without - rate).alias("change"))
+    """Every plausible filing with its year's rate without it: a sum of the others, so that a dominant filing can't cancel."""
+    own = df.filter(~F.col("implausible")).select("id", "establishment_id", F.col("year_filing_for").alias("year"), F.col("total_hours_worked").alias("hours"), F.col("recordable_cases").alias("cases")).filter("year is not null")
+    out = sums_without(own, "year", "id", ("hours", "cases"))
+    rate, without = pooled_rate(F.col("all_cases"), F.col("all_hours")), pooled_rate(F.col("without_cases"), F.col("without_hours"))
+    return out.select("id", "establishment_id", "year", "hours", "cases", ratio(F.col("hours"), F.col("all_hours")).alias("hours_share"), ratio(F.col("cases"), F.col("all_cases")).alias("cases_share"), rate.alias("rate"), without.alias("rate_without"), (without - rate).alias("change"))
 
 
 def influence_ranking(loo: DataFrame, most: int = 10) -> DataFrame:

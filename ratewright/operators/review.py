@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ratewright.operators.derive import PER_HOURS
 from ratewright.operators.rates import pooled_rate
+from ratewright.operators.without import sums_without
+from ratewright.shared import cut
 from ratewright.sources.loader import UploadError
 
 
@@ -21,32 +23,46 @@ def analyse(rows: DataFrame, years: tuple[int, int] | None = None, low: float =
     """
     if not 0 <= low < high < float("inf"):
         raise UploadError("bad_screen", "bounds must satisfy 0 <= low < high")
-    there = sorted(r[0] for r in rows.select("year").distinct().collect())
+    there = sorted(r[0] for r in rows.filter("year is not null").select("year").distinct().collect())
     chosen = sorted(years) if years else there[-2:]
     if len(chosen) != 2 or chosen[0] == chosen[1] or not set(chosen) <= set(there):
         raise UploadError("bad_years", "two different years of the table are needed")
     keyed = rows.withColumn("key", F.concat_ws(":", "year", "filing_id"))
-    if keyed.groupBy("key").count().filter("count > 1").limit(1).count():
+    keys = keyed.groupBy("key").agg(F.count("*").alias("n"))
+    found = keys.agg(F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("key").isin(*excluded) if excluded else F.lit(False)).alias("named")).first()
+    if found.repeated:
         raise UploadError("repeated_key", "row keys are not unique")
-    if excluded and keyed.filter(F.col("key").isin(*excluded)).count() != len(set(excluded)):
+    if found.named != len(set(excluded)):
         raise UploadError("unknown_key", "a row that is set aside isn't in the table")
     ratio = F.col("hours") / F.when(F.col("employees") > 0, F.col("employees"))
     passes = F.coalesce((ratio >= low) & (ratio <= high), F.lit(False))
     df = keyed.filter(F.col("year").isin(*chosen)).withColumns({"hours_per_employee": ratio, "passes": passes, "excluded": passes & F.col("key").isin(*excluded) if excluded else F.lit(False)})
     good = df.filter("passes")
-    at = Window.partitionBy("year").orderBy("key")
-    side = lambda c: F.coalesce(F.sum(c).over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + F.coalesce(F.sum(c).over(at.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
-    year = Window.partitionBy("year")
-    loo = good.withColumns({"rate": pooled_rate(F.sum("cases").over(year), F.sum("hours").over(year)), "rate_without": pooled_rate(side("cases"), side("hours")), "hours_share": F.col("hours") / F.sum("hours").over(year)})
+    summed = sums_without(good, "year", "key", ("hours", "cases"))
+    loo = summed.withColumns({"rate": pooled_rate(F.col("all_cases"), F.col("all_hours")), "rate_without": pooled_rate(F.col("without_cases"), F.col("without_hours")), "hours_share": F.col("hours") / F.col("all_hours")})
     base = good.groupBy("year").agg(pooled_rate(F.sum("cases"), F.sum("hours")).alias("r"))
     both = base.agg(F.max(F.when(F.col("year") == chosen[0], F.col("r"))).alias("r0"), F.max(F.when(F.col("year") == chosen[1], F.col("r"))).alias("r1"))
     first = F.col("year") == chosen[0]
     change = F.when(first, F.col("r1") - F.col("rate_without")).otherwise(F.col("rate_without") - F.col("r0"))
-    rank = F.row_number().over(Window.partitionBy("year").orderBy(F.abs(F.col("rate_without") - F.col("rate")).desc_nulls_last(), "key"))
-    scored = loo.join(F.broadcast(both)).withColumns({"change": F.col("rate_without") - F.col("rate"), "trend_without": change, "rank": rank, "reverses": F.coalesce(change * (F.col("r1") - F.col("r0")) < 0, F.lit(False))})
+    scored = loo.join(F.broadcast(both)).withColumns({"change": F.col("rate_without") - F.col("rate"), "trend_without": change, "reverses": F.coalesce(change * (F.col("r1") - F.col("r0")) < 0, F.lit(False))})
+    scored = ranked(scored)
     return df.join(scored.select("key", "rate", "rate_without", "hours_share", "change", "trend_without", "rank", "reverses"), "key", "left")
 
 
+def ranked(scored: DataFrame) -> DataFrame:
+    """`scored` with the rank of each row in its year by how far the rate moves without it (ties by key; unknown moves last).
+
+    Rows are dealt into parts by ranges of the move and the key, ranked in their part, and moved on by the rows of the parts before: no
+    task sorts a year.
+    """
+    move = F.coalesce(F.abs("change"), F.lit(-1.0))
+    dealt = cut(scored.withColumn("__move", move).repartitionByRange(F.col("year"), F.col("__move").desc(), F.col("key")).withColumn("__part", F.spark_partition_id()), "ranked")
+    sizes = dealt.groupBy("year", "__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("year", "__part", F.coalesce(F.sum("__n").over(Window.partitionBy("year").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("year", "__part").orderBy(F.col("__move").desc(), "key"))
+    return dealt.withColumn("__own", own).join(before, ["year", "__part"]).withColumn("rank", (F.col("__own") + F.col("__before")).cast("long"))
+
+
 def annual(analysed: DataFrame) -> DataFrame:
     """Each year's rows, what the screen and the reviewer took out, and the rate before and after the review."""
     kept = F.col("passes") & ~F.col("excluded")
@@ -87,3 +103,13 @@ def scaled(hours: Column, employees: Column, cases: Column, total_cases: Column,
         raise ValueError("the factor must be at least 1")
     more = total_hours + (factor - 1) * hours
     return {"hours_per_employee": hours * factor / F.when(employees > 0, employees * factor), "row_rate": PER_HOURS * cases / F.when(hours > 0, hours * factor), "pool_rate": PER_HOURS * total_cases / F.when(more > 0, more)}
+
+
+def scenario_rows(analysed: DataFrame) -> DataFrame:
+    """scenario, year_from, year_to, rate_from, rate_to, change, change_pct: the two years as loaded, as screened, as reviewed, and
+    without the row whose removal moves each year most. A rate without hours is null, as is a change from 0 in percent."""
+    cases = {"loaded": F.lit(True), "screened": F.col("passes"), "reviewed": F.col("passes") & ~F.col("excluded"), "without_most_influential": F.col("passes") & (F.col("rank") > 1)}
+    per = analysed.groupBy("year").agg(*(pooled_rate(F.sum(F.when(c, F.col("cases"))), F.sum(F.when(c, F.col("hours")))).alias(k) for k, c in cases.items()))
+    both = per.agg(F.min("year").alias("year_from"), F.max("year").alias("year_to"), *(f(k, "year").alias(f"{k}_{e}") for k in cases for f, e in ((F.min_by, "from"), (F.max_by, "to"))))
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("scenario"), F.col(f"{k}_from").alias("rate_from"), F.col(f"{k}_to").alias("rate_to")) for k in cases)))
+    return both.select("year_from", "year_to", rows.alias("s")).select("s.scenario", "year_from", "year_to", "s.rate_from", "s.rate_to", (F.col("s.rate_to") - F.col("s.rate_from")).alias("change"), (100 * (F.col("s.rate_to") / F.when(F.col("s.rate_from") != 0, F.col("s.rate_from")) - 1)).alias("change_pct"))

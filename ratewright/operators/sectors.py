@@ -39,6 +39,16 @@ def flag_counts(df: DataFrame, key: str) -> DataFrame:
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").cast("double").alias("n"), F.count_if("implausible").cast("double").alias("k"))
 
 
+def top_flagged(df: DataFrame, key: str, most: int = 3, least: int = 1000) -> DataFrame:
+    """Groups of `least` filings or more that are among the first `most` by flag rate or by flagged hours, with both ranks (ties by key)."""
+    hours = F.coalesce(F.sum(F.when(F.col("implausible"), F.col("total_hours_worked"))), F.lit(0.0))
+    groups = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.count_if("implausible").alias("k"), hours.alias("h")).filter(F.col("n") >= least)
+    rate = F.col("k") / F.col("n")
+    by = lambda c: F.row_number().over(Window.orderBy(c.desc(), key)).cast("long")  # noqa: E731  a row for each group
+    out = groups.select(key, "n", "k", rate.alias("flag_rate"), by(rate).alias("rank_by_rate"), by(F.col("h")).alias("rank_by_hours"))
+    return out.filter((F.col("rank_by_rate") <= most) | (F.col("rank_by_hours") <= most))
+
+
 def modal(df: DataFrame, key: str, value: str) -> DataFrame:
     """The most frequent value of each group, of several the least."""
     n = df.filter(F.col(value).isNotNull()).groupBy(key, value).count()

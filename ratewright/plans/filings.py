@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ratewright.functions import exact, stats
 from ratewright.models import counts
 from ratewright.operators import expectations as ex
-from ratewright.operators import detectability, graph, influence, panel, peers, rates, screen, sectors, stability
+from ratewright.operators import detectability, graph, influence, panel, peers, rates, review, screen, sectors, stability
 from ratewright.operators.derive import deduplicated, derived, with_peer_keys
+from ratewright.operators.merge import one_to_one
 from ratewright.shared import cut
+from ratewright.sources.manifest import digest, listing, manifest
 from ratewright.sources import naics
 from ratewright.sources.surrogate import SQL as VIEW
 from ratewright.sources.surrogate import filings
@@ -47,16 +49,16 @@ def query(sql: str | None = None, more: str = "", plain: bool = False) -> Callab
     return add
 
 
-#: Tables that base() has written, by application and folder.
-WRITTEN: dict[tuple[str, str], DataFrame] = {}
+#: Tables that base() has written, by application and by the files that they were made of.
+WRITTEN: dict[tuple[str, ...], DataFrame] = {}
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Derived, deduplicated and screened filings: a table that all queries of a session over one folder share.
+    """Derived, deduplicated and screened filings: a table that all queries of a session over the same files share.
 
-    It is written once, to the shared folder; if the folder's tables change, `WRITTEN.clear()` has it made anew.
+    It is written once, to the shared folder, and anew as soon as a file of its tables has come, gone or changed.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, *listing(spark, *(f"{sf_dir}/{t}.parquet" for t in ("orders", "lineitem", "customer"))))
     if key not in WRITTEN:
         WRITTEN[key] = cut(screen.screened(deduplicated(derived(filings(spark, sf_dir)))), "screened")
     return WRITTEN[key]
@@ -449,6 +451,7 @@ SPEC = graph.Spec(
         "flag_filing": graph.Action("flag_filing", "Filing", {"reason": graph.Parameter("string", True, None, None, 500)}, {"analyst_flag": True, "note": "$reason"}, {"analyst_flag": False}),
         "clear_flag": graph.Action("clear_flag", "Filing", {"reason": graph.Parameter("string", True)}, {"analyst_flag": False, "note": "$reason"}, {"analyst_flag": True}),
         "exclude": graph.Action("exclude", "Filing", {"kind": graph.Parameter("string", True, None, ("unit_error", "duplicate", "other")), "detail": graph.Parameter("string", False, ("kind", "other"), None, 500)}, {"benchmark_excluded": True, "note": "$detail"}, {"benchmark_excluded": False}),
+        "include_again": graph.Action("include_again", "Filing", {"reason": graph.Parameter("string", True, None, None, 500)}, {"benchmark_excluded": False, "note": "$reason"}, {"benchmark_excluded": True}),
     },
 )
 
@@ -461,7 +464,7 @@ def store(spark: SparkSession, sf_dir: str, check: bool = False) -> graph.Store:
     s.add("Establishment", graph.latest_by(rows, "establishment_id", "year_filing_for", "id"), check)
     quality = rows.groupBy(F.col("year_filing_for").alias("year")).agg(F.count("*").alias("n_filings"), F.avg(F.col("implausible").cast("double")).alias("implausible_share"))
     metrics = rates.rates(rows, "year_filing_for").select(F.col("year_filing_for").alias("year"), *(F.col(f"{c}_screened").alias(c) for c in ("trir", "dart", "severity")))
-    s.add("ReportingYear", quality.join(metrics, "year", "left"), check)
+    s.add("ReportingYear", one_to_one(quality, metrics, ["year"]) if check else quality.join(metrics, "year", "left"), check)
     industries = rows.filter("naics3 is not null").select("naics3", "naics2").distinct()
     s.add("Industry", industries.withColumn("title", naics.title_column(F.col("naics3"))), check)
     s.add("Sector", industries.select("naics2").distinct().withColumn("title", naics.title_column(F.col("naics2"), naics.SECTORS)), check)
@@ -512,6 +515,22 @@ def action_writeback_rates(spark, sf_dir):
     return rows.groupBy("year").agg(F.count("*").alias("n"), rates.pooled_rate(F.sum("cases"), F.sum("hours")).alias("trir"))
 
 
+SECOND = "fe AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY hours DESC, id) AS p FROM screened WHERE NOT bad) WHERE p = 2)"
+
+
+@query(f"SELECT {n('year_filing_for', 'year')}, {n('count(*)', 'n')}, {r('200000.0 * sum(cases) / sum(hours)', 'trir')}, {n('6', 'edited_values')} FROM screened WHERE NOT bad AND id NOT IN (SELECT id FROM fe) GROUP BY year_filing_for", SECOND)
+def action_reinclusion_rates(spark, sf_dir):
+    """Two filings are excluded, and one of them is taken in again: the benchmark lacks only the other."""
+    s = store(spark, sf_dir)
+    first, second = (x[0] for x in s.base["Filing"].filter("not implausible").orderBy(F.col("hours").desc(), "filing_id").limit(2).collect())
+    for key in (first, second):
+        s.apply("exclude", key, {"kind": "unit_error"}, "analyst")
+    s.apply("include_again", first, {"reason": "confirmed by the filer"}, "reviewer")
+    rows = graph.included(s.current("Filing")).filter(~F.col("benchmark_excluded"))
+    edits = sum(s.edit_history("Filing", key).count() for key in (first, second))
+    return rows.groupBy("year").agg(F.count("*").alias("n"), rates.pooled_rate(F.sum("cases"), F.sum("hours")).alias("trir")).withColumn("edited_values", F.lit(edits))
+
+
 #: Verdicts counted from the data: some pass, some don't.
 VERDICTS = {
     "year.columns": "true", "year.monotone_share": "(SELECT bool_and(nb <= ny) FROM y)", "year.rows": "(SELECT count(*) BETWEEN 1 AND 50 FROM y)", "year.few": "(SELECT count(*) BETWEEN 1 AND 2 FROM y)",
@@ -627,3 +646,65 @@ gi AS (SELECT d, 1 - sum((x1 - x0) * (y1 + y0)) AS g FROM cu GROUP BY d)"""
 @query(f"SELECT {r('(SELECT g FROM gi WHERE d = 0)', 'gini')}, {r('quantile_cont(g, 0.025) FILTER (d > 0)', 'low')}, {r('quantile_cont(g, 0.975) FILTER (d > 0)', 'high')}, {n('count(*) FILTER (d > 0)', 'draws')} FROM gi", f"{WIL}, {DRAWS}")
 def gini_bootstrap(spark, sf_dir):
     return detectability.gini_bootstrap(sectors.flag_counts(base(spark, sf_dir), "naics3").filter("naics3 is not null"), "k", "n", "naics3")
+
+
+@query(f"SELECT {n('year_filing_for', 'year')}, {n('count(*)', 'n_filings')}, {r('avg(CASE WHEN bad THEN 1.0 ELSE 0.0 END)', 'implausible_share')}, {r('200000.0 * sum(' + NUM['trir'] + ') FILTER (NOT bad) / nullif(sum(hours) FILTER (NOT bad), 0)', 'trir_screened')}, {r('200000.0 * sum(' + NUM['severity'] + ') FILTER (NOT bad) / nullif(sum(hours) FILTER (NOT bad), 0)', 'severity_screened')} FROM screened GROUP BY year_filing_for")
+def quality_with_metrics(spark, sf_dir):
+    """Quality and rates of each year, joined where both have each year exactly once."""
+    rows = base(spark, sf_dir)
+    quality = rates.summarise(rows, "year_filing_for").select(F.col("year_filing_for").alias("year"), "n_filings", "implausible_share")
+    metrics = rates.rates(rows, "year_filing_for").select(F.col("year_filing_for").alias("year"), "trir_screened", "severity_screened")
+    return one_to_one(quality, metrics, ["year"])
+
+
+def review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a two-year review takes: filings with employees, hours and cases."""
+    rows = base(spark, sf_dir).filter((F.col("total_hours_worked") > 0) & (F.col("annual_average_employees") > 0) & (F.col("recordable_cases") >= 0))
+    return rows.select(F.col("year_filing_for").alias("year"), F.col("annual_average_employees").alias("employees"), F.col("total_hours_worked").alias("hours"), F.col("recordable_cases").alias("cases"), F.col("id").cast("string").alias("filing_id"))
+
+
+REVIEW = """
+ry AS (SELECT DISTINCT year_filing_for AS y FROM screened WHERE hours > 0 AND emp > 0 AND cases >= 0 ORDER BY y DESC LIMIT 2),
+rv AS (SELECT year_filing_for AS year, year_filing_for || ':' || id AS key, hours, cases, hours / emp BETWEEN 120 AND 4500 AS ok FROM screened WHERE hours > 0 AND emp > 0 AND cases >= 0 AND year_filing_for IN (SELECT y FROM ry)),
+rl AS (SELECT *, CASE WHEN ok THEN 200000.0 * sum(cases) FILTER (ok) OVER w / sum(hours) FILTER (ok) OVER w END AS rate, CASE WHEN ok THEN 200000.0 * (sum(cases) FILTER (ok) OVER w - cases) / nullif(sum(hours) FILTER (ok) OVER w - hours, 0) END AS wo, CASE WHEN ok THEN hours / sum(hours) FILTER (ok) OVER w END AS share FROM rv WINDOW w AS (PARTITION BY year)),
+rr AS (SELECT *, CASE WHEN ok THEN row_number() OVER (PARTITION BY year, ok ORDER BY abs(wo - rate) DESC NULLS LAST, key) END AS rank FROM rl),
+rt AS (SELECT max(rate) FILTER (year = (SELECT min(y) FROM ry)) AS r0, max(rate) FILTER (year = (SELECT max(y) FROM ry)) AS r1 FROM rl),
+rx AS (SELECT *, ok AND rank = 1 AS gone FROM rr)"""
+
+
+@query(f"SELECT key, {n('year', 'year')}, ok AS passes, {r('rate', 'rate')}, {r('wo', 'rate_without')}, {r('share', 'hours_share')}, {n('CASE WHEN rank <= 5 THEN rank END', 'top_rank')}, CASE WHEN ok THEN coalesce((CASE WHEN year = (SELECT min(y) FROM ry) THEN r1 - wo ELSE wo - r0 END) * (r1 - r0) < 0, false) END AS reverses FROM rr, rt", REVIEW)
+def two_year_influence(spark, sf_dir):
+    """Every row of the last two years: its year's rate without it, whether that turns the trend, and the five that move it most."""
+    out = review.analyse(review_rows(spark, sf_dir))
+    return out.select("key", "year", "passes", "rate", "rate_without", "hours_share", F.when(F.col("rank") <= 5, F.col("rank")).alias("top_rank"), "reverses")
+
+
+def restored_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A review that sets aside the most influential row of each year, saved with the digest of the inputs and restored from that."""
+    rows = review_rows(spark, sf_dir)
+    first = review.analyse(rows)
+    top = sorted((x.year, x.key) for x in first.filter("rank = 1").select("year", "key").collect())
+    inputs = digest(manifest(spark, *(f"{sf_dir}/{t}.parquet" for t in ("orders", "lineitem", "customer"))))
+    saved = review.save_review(inputs, tuple(y for y, _ in top), 120, 4500, tuple(k for _, k in top), "two rows set aside")
+    return review.restore_review(rows, inputs, saved)[0]
+
+
+@query(f"SELECT {n('year', 'year')}, {n('count(*)', 'n')}, {n('count(*) FILTER (ok)', 'accepted')}, {n('count(*) FILTER (NOT ok)', 'rejected')}, {n('count(*) FILTER (gone)', 'excluded')}, {r('max(rate)', 'rate')}, {r('200000.0 * sum(cases) FILTER (ok AND NOT gone) / sum(hours) FILTER (ok AND NOT gone)', 'review_rate')} FROM rx GROUP BY year", REVIEW)
+def two_year_review(spark, sf_dir):
+    return review.annual(restored_review(spark, sf_dir))
+
+
+SCENES = {"loaded": "true", "screened": "ok", "reviewed": "ok AND NOT gone", "without_most_influential": "ok AND rank > 1"}
+
+
+@query(f"SELECT scenario, {n('y0', 'year_from')}, {n('y1', 'year_to')}, {r('a', 'rate_from')}, {r('b', 'rate_to')}, {r('b - a', 'change')}, {r('100 * (b / nullif(a, 0) - 1)', 'change_pct')} FROM (SELECT scenario, min(year) AS y0, max(year) AS y1, min_by(v, year) AS a, max_by(v, year) AS b FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS scenario, year, 200000.0 * sum(cases) FILTER ({c}) / sum(hours) FILTER ({c}) AS v FROM rx GROUP BY year" for k, c in SCENES.items()) + ") GROUP BY scenario)", REVIEW)
+def review_scenarios(spark, sf_dir):
+    return review.scenario_rows(restored_review(spark, sf_dir))
+
+
+TOP_RATE = "tf AS (SELECT naics2, count(*) AS n, count(*) FILTER (bad) AS k, sum(hours) FILTER (bad) AS fh FROM screened WHERE naics2 IS NOT NULL GROUP BY naics2 HAVING count(*) >= 100)"
+
+
+@query(f"SELECT naics2, {n('n', 'n')}, {n('k', 'k')}, {r('k / n', 'flag_rate')}, {n('row_number() OVER (ORDER BY k / n DESC, naics2)', 'rank_by_rate')}, {n('row_number() OVER (ORDER BY coalesce(fh, 0) DESC, naics2)', 'rank_by_hours')} FROM tf QUALIFY row_number() OVER (ORDER BY k / n DESC, naics2) <= 3 OR row_number() OVER (ORDER BY coalesce(fh, 0) DESC, naics2) <= 3", TOP_RATE)
+def top_flag_rates(spark, sf_dir):
+    return sectors.top_flagged(base(spark, sf_dir), "naics2", 3, 100)

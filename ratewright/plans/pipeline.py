@@ -14,9 +14,14 @@ from ratewright.models import counts
 from ratewright.operators import detectability, influence, panel, peers, rates, render, sectors, stability
 from ratewright.operators.expectations import Stage, topological
 from ratewright.operators.screen import Bounds, screened
+from ratewright.shared import cut
 from ratewright.sources.results import rows_of, write_csv, write_json
 
 
+#: Tables that reports and the summary show row by row, and the rows up to which they do.
+REPORTED, REPORT_ROWS = {"quality_overall", "quality_by_year", "flag_prevalence"}, 1000
+
+
 @dataclass(frozen=True)
 class Config:
     """One set of parameters that every stage uses."""
@@ -71,16 +76,20 @@ def run(filings: DataFrame, folder: str, cfg: Config = Config(), stages: tuple[s
     """
     df = screened(filings, cfg.bounds).persist(StorageLevel.MEMORY_AND_DISK)
     os.makedirs(folder, exist_ok=True)
-    tables, done = stage_tables(df, cfg), {}
+    tables, done, sizes = stage_tables(df, cfg), {}, {}
     try:
         for name in topological(LINEAGE, {"filings"}):
             if name == "screen" or (stages and name not in stages):
                 continue
             for table, make in tables[name].items():
-                out = make()
+                out = cut(make(), table)  # written once; the file, the count and the reports are read from there
                 write_csv(out, os.path.join(folder, table))
-                done[table] = rows_of(out.limit(100))
-        summary = {"config": asdict(cfg), "tables": {k: len(v) for k, v in done.items()}, "overall": done.get("quality_overall", [{}])[0]}
+                sizes[table] = out.count()
+                if table in REPORTED:
+                    if sizes[table] > REPORT_ROWS:
+                        raise ValueError(f"{table} has {sizes[table]} rows; reports are made of {REPORT_ROWS} at most")
+                    done[table] = rows_of(out)
+        summary = {"config": asdict(cfg), "tables": sizes, "overall": done.get("quality_overall", [{}])[0]}
         write_json(summary, os.path.join(folder, "summary.json"))
         if "quality_by_year" in done:
             with open(os.path.join(folder, "quality.md"), "w", encoding="utf-8") as f:

@@ -143,15 +143,15 @@ def test_rendering():
 
 
 def test_stream(spark, tmp_path):
-    from ratewright.sources.schema import CANONICAL
+    from ratewright.sources.schema import COLUMNS
     from ratewright.streaming.filings import latest_filings, read_filings, running_rates
 
     def line(i, est, year, hours):
         v = {"id": i, "establishment_id": est, "naics_code": 3251, "annual_average_employees": 10, "total_hours_worked": hours, "year_filing_for": year, "total_deaths": 0, "total_dafw_cases": 1, "total_djtr_cases": 0, "total_other_cases": 0}
-        return ",".join(str(v.get(c, "")) for c in CANONICAL)
+        return ",".join(str(v.get(c, "")) for c in COLUMNS)
 
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.csv").write_text("\n".join([",".join(CANONICAL), line(1, 1, 2024, 20000), line(2, 1, 2024, 10000), line(3, 2, 2023, 9e9)]))
+    (tmp_path / "in" / "a.csv").write_text("\n".join([",".join(COLUMNS), line(1, 1, 2024, 20000), line(2, 1, 2024, 10000), line(3, 2, 2023, 9e9)]))
     source = read_filings(spark, str(tmp_path / "in"))
     for name, out in (("rates", running_rates(source)), ("latest", latest_filings(source))):
         q = out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
