@@ -8,6 +8,7 @@ filings reaches its task as a table of bounded size; no filing is left out.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,6 +32,7 @@ class Fit:
     zero_share: float
     zero_expected: float
     params: dict[str, float] = field(default_factory=dict)
+    ring_gain: float = 0.0
 
     @property
     def aic(self) -> float:
@@ -84,6 +86,13 @@ def expit(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
+def ring_gain(loss: Callable[[np.ndarray], float], x: np.ndarray, value: float, width: float = 0.05, points: int = 32) -> float:
+    """How much less the loss is, at best, on a ring around a fit: points on the axes and in drawn directions, at three distances."""
+    ways = np.vstack([np.eye(x.size), -np.eye(x.size), np.random.default_rng(1).normal(size=(points, x.size))])
+    ways /= np.linalg.norm(ways, axis=1, keepdims=True)
+    return max(value - loss(x + far * way) for far in (width, width / 10, width / 100) for way in ways)
+
+
 def fit(model: str, y: np.ndarray, e: np.ndarray, w: np.ndarray) -> Fit:
     """Maximum likelihood of one model with mean mu * exposure."""
     y, e, w = prepared(y, e, w)
@@ -95,7 +104,9 @@ def fit(model: str, y: np.ndarray, e: np.ndarray, w: np.ndarray) -> Fit:
         return Fit(model, float(n), 0.0, 1 + (model != "poisson") + (model == "zinb"), model == "poisson", float(zero), 1.0, {"mu": 0.0})
     if model == "poisson":
         mean = mu * e
-        return Fit(model, float(n), float((w * log_pmf(y, mean)).sum()), 1, True, float(zero), float((w * np.exp(-mean)).sum() / n), {"mu": float(mu)})
+        value = float((w * log_pmf(y, mean)).sum())
+        gain = ring_gain(lambda x: -float((w * log_pmf(y, math.exp(x[0]) * e)).sum()), np.array([math.log(mu)]), -value)
+        return Fit(model, float(n), value, 1, True, float(zero), float((w * np.exp(-mean)).sum() / n), {"mu": float(mu)}, gain)
 
     def parts(x: np.ndarray) -> tuple[float, float, float]:
         m = math.exp(min(x[0], 300))
@@ -113,7 +124,7 @@ def fit(model: str, y: np.ndarray, e: np.ndarray, w: np.ndarray) -> Fit:
     at_zero = np.exp(inflated(np.zeros_like(y), log_pmf(np.zeros_like(y), m * e, alpha), pi) if model != "nb2" else log_pmf(np.zeros_like(y), m * e, alpha))
     params = {"mu": m} | ({"alpha": alpha} if model != "zip" else {}) | ({"pi": pi} if model != "nb2" else {})
     on_edge = model != "nb2" and (pi < 1e-6 or pi > 1 - 1e-6)
-    return Fit(model, float(n), -found.value, len(found.x), found.converged and not on_edge, float(zero), float((w * at_zero).sum() / n), params)
+    return Fit(model, float(n), -found.value, len(found.x), found.converged and not on_edge, float(zero), float((w * at_zero).sum() / n), params, ring_gain(loss, found.x, found.value))
 
 
 def boundary_test(small: Fit, large: Fit) -> float:
@@ -193,6 +204,7 @@ def regress(model: str, y: np.ndarray, e: np.ndarray, w: np.ndarray, x: np.ndarr
 
 
 SCHEMA = "naics3 string, model string, n double, loglik double, k long, aic double, bic double, converged boolean, zero_share double, zero_expected double, zero_ratio double, params map<string,double>"
+FITTED = f"{SCHEMA}, ring_gain double"
 
 
 def grouped(df: DataFrame, *by: str) -> DataFrame:
@@ -221,9 +233,9 @@ def fit_industries(df: DataFrame, models: tuple[str, ...] = MODELS, least: int =
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         y, e, w = (pdf[c].to_numpy() for c in "yew")
         fits = [fit(m, y, e, w) for m in models]
-        return pd.DataFrame([(key[0], f.model, f.n, f.loglik, f.k, f.aic, f.bic, f.converged, f.zero_share, f.zero_expected, f.zero_ratio, f.params) for f in fits], columns=["naics3", "model", "n", "loglik", "k", "aic", "bic", "converged", "zero_share", "zero_expected", "zero_ratio", "params"])
+        return pd.DataFrame([(key[0], f.model, f.n, f.loglik, f.k, f.aic, f.bic, f.converged, f.zero_share, f.zero_expected, f.zero_ratio, f.params, f.ring_gain) for f in fits], columns=[c.split(" ")[0] for c in FITTED.split(", ")])
 
-    return rows.groupBy("naics3").applyInPandas(run, SCHEMA)
+    return rows.groupBy("naics3").applyInPandas(run, FITTED)
 
 
 def fit_covariates(df: DataFrame, models: tuple[str, ...] = MODELS, least: int = 200, most: int = 30, fixed: str | None = None) -> DataFrame:

@@ -343,7 +343,7 @@ def exposure_hhi(spark, sf_dir):
     return influence.exposure_concentration(influence.leave_one_filing_out(base(spark, sf_dir)))
 
 
-@query(f"SELECT {n('y0', 'year_before')}, {n('y1', 'year_after')}, {n('year', 'removal_year')}, id, {r('hours', 'hours')}, {r('cases', 'cases')}, {r('100 * (r1 / r0 - 1)', 'original_change_pct')}, {r('100 * (n1 / n0 - 1)', 'review_change_pct')} FROM (SELECT y0, y1, year, id, hours, cases, a.rate AS r0, b.rate AS r1, CASE WHEN year = y0 THEN wo ELSE a.rate END AS n0, CASE WHEN year = y1 THEN wo ELSE b.rate END AS n1 FROM pairs JOIN loo ON year = y0 OR year = y1 JOIN (SELECT DISTINCT year AS ya, rate FROM loo) a ON ya = y0 JOIN (SELECT DISTINCT year AS yb, rate FROM loo) b ON yb = y1) WHERE (n1 - n0) * (r1 - r0) < 0", f"{LOO}, {YEARS}")
+@query(f"SELECT {n('y0', 'year_before')}, {n('y1', 'year_after')}, {n('year', 'removal_year')}, id, {r('hours', 'hours')}, {r('cases', 'cases')}, {r('100 * (r1 / r0 - 1)', 'original_change_pct')}, {r('100 * (n1 / n0 - 1)', 'review_change_pct')} FROM (SELECT y0, y1, year, id, hours, cases, a.rate AS r0, b.rate AS r1, CASE WHEN year = y0 THEN wo ELSE a.rate END AS n0, CASE WHEN year = y1 THEN wo ELSE b.rate END AS n1 FROM pairs JOIN loo ON year = y0 OR year = y1 JOIN (SELECT year AS ya, max(rate) AS rate FROM loo GROUP BY year) a ON ya = y0 JOIN (SELECT year AS yb, max(rate) AS rate FROM loo GROUP BY year) b ON yb = y1) WHERE (n1 - n0) * (r1 - r0) < 0", f"{LOO}, {YEARS}")
 def trend_reversals(spark, sf_dir):
     return influence.trend_reversals(base(spark, sf_dir))
 
@@ -406,15 +406,45 @@ def poisson_rates(spark, sf_dir):
     return good.groupBy("naics3").agg(F.count("*").alias("n"), (F.sum("recordable_cases") / (F.sum("total_hours_worked") / 200_000.0)).alias("mu")).filter("n >= 200")
 
 
-def fits(models: tuple[str, ...]) -> Query:
+#: What SQL knows of the fits: it looks for each optimum itself, on grids of 5 points in each direction around the best so far, each 0.6 times as
+#: wide as the one before. m, a, p: log of the mean of all (extra zeros included), log dispersion, logit of the extra zeros; so told, they hardly
+#: depend on each other.
+FIT_DATA = """
+sel AS (SELECT naics3 FROM screened WHERE NOT bad AND naics3 IS NOT NULL GROUP BY naics3 HAVING count(*) >= 200 ORDER BY count(*) DESC, naics3 LIMIT 30),
+dat AS (SELECT naics3, cases AS y, avg(e) AS e, CAST(count(*) AS DOUBLE) AS w FROM (SELECT naics3, cases, hours / 200000.0 AS e FROM screened WHERE NOT bad AND cases >= 0 AND hours > 0 AND naics3 IN (SELECT naics3 FROM sel)) GROUP BY naics3, cases, floor(ln(e) * 1000)),
+fit0 AS (SELECT naics3, sum(w) AS n, ln(sum(w * y) / sum(w * e)) AS m FROM dat GROUP BY naics3)"""
+LOG_POISSON = "(y * (m + ln(e)) - exp(m) * e - lgamma(y + 1))"
+LOG_NB2 = "(lgamma(y + exp(-a)) - lgamma(exp(-a)) - lgamma(y + 1) - (y + exp(-a)) * ln(1 + exp(a + m) * e) + y * (a + m + ln(e)))"
+WITH_ZEROS = lambda base: f"(CASE WHEN y = 0 THEN ln(1 / (1 + exp(-p)) + exp({base}) / (1 + exp(p))) ELSE {base} - ln(1 + exp(p)) END)"
+OF_THE_REST = lambda base: base.replace("m +", "m + ln(1 + exp(p)) +").replace("a + m)", "a + m + ln(1 + exp(p)))").replace("exp(m)", "exp(m) * (1 + exp(p))")
+LOG_LAWS = {"poisson": LOG_POISSON, "nb2": LOG_NB2, "zip": WITH_ZEROS(OF_THE_REST(LOG_POISSON)), "zinb": WITH_ZEROS(OF_THE_REST(LOG_NB2))}
+
+
+def searched(model: str, levels: int = 26, width: float = 4.0, shrink: float = 0.6) -> str:
+    """CTEs that end with <model>_best (naics3, n, ll): the greatest log likelihood of each industry, and which parameters were free."""
+    free = {"poisson": "", "nb2": "a", "zip": "p", "zinb": "ap"}[model]
+    out = [f"{model}_0 AS (SELECT naics3, n, m, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS p, CAST(0 AS DOUBLE) AS ll FROM fit0)"]
+    moved = lambda c, on, step: f"{c} + d{c} * {step} AS {c}" if on else c
+    steps = lambda c, on: f", (VALUES (-2), (-1), (0), (1), (2)) v{c}(d{c})" if on else ""
+    for i in range(1, levels + 1 if free else 2):
+        step = width * shrink ** (i - 1)
+        at = f"SELECT naics3, n, {moved('m', bool(free), step)}, {moved('a', 'a' in free, step)}, {moved('p', 'p' in free, step)} FROM {model}_{i - 1}{steps('m', bool(free))}{steps('a', 'a' in free)}{steps('p', 'p' in free)}"
+        out.append(f"{model}_{i} AS (SELECT naics3, n, x.m AS m, x.a AS a, x.p AS p, x.ll AS ll FROM (SELECT naics3, n, max_by({{'m': m, 'a': a, 'p': p, 'll': ll}}, ll) AS x FROM (SELECT naics3, n, m, a, p, sum(w * {LOG_LAWS[model]}) AS ll FROM ({at}) JOIN dat USING (naics3) GROUP BY ALL) GROUP BY naics3, n))")
+    return ", ".join([*out, f"{model}_best AS (SELECT naics3, n, ll, {1 + len(free)} AS k FROM {model}_{levels if free else 1})"])
+
+
+def fits(model: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = counts.fit_industries(base(spark, sf_dir), models)
-        return out.select("naics3", "model", "n", "k", F.round("loglik", 3).alias("loglik"), F.round("aic", 3).alias("aic"), "converged", F.round("zero_ratio", 4).alias("zero_ratio"), *(F.round(F.col("params")[p], 4).alias(p) for p in ("mu", "alpha", "pi")))
+        """Each industry's greatest likelihood, and whether no point of a ring around the fit has a greater one."""
+        out = counts.fit_industries(base(spark, sf_dir), (model,))
+        return out.select("naics3", "model", "n", "k", F.round("loglik", 1).alias("loglik"), F.round("aic", 1).alias("aic"), (F.col("ring_gain") < 1e-4).alias("no_better_near"))
 
+    run.__name__ = f"{model}_fit"
     return run
 
 
-QUERIES |= {f"{m}_fit": fits((m,)) for m in counts.MODELS}
+for _model in counts.MODELS:
+    query(f"SELECT naics3, '{_model}' AS model, n, CAST(k AS BIGINT) AS k, round(ll, 1) AS loglik, round(2 * k - 2 * ll, 1) AS aic, true AS no_better_near FROM {_model}_best", f"{FIT_DATA}, {searched(_model)}")(fits(_model))
 
 
 @query()
@@ -427,7 +457,7 @@ def fixed_effect_fits(spark, sf_dir):
     return counts.fit_covariates(base(spark, sf_dir), ("poisson", "nb2"), fixed="state").select("naics3", "model", "n", "k", F.round("loglik", 3).alias("loglik"), F.round("aic", 3).alias("aic"), "converged")
 
 
-@query()
+@query(f"SELECT model, {n('count(*) FILTER (place = 1)', 'wins')}, {n('count(*)', 'fits')} FROM (SELECT model, row_number() OVER (PARTITION BY naics3 ORDER BY round(2 * k - 2 * ll, 6), model) AS place FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS model, * FROM {m}_best" for m in counts.MODELS) + ")) GROUP BY model", ", ".join([FIT_DATA, *map(searched, counts.MODELS)]))
 def aic_selection(spark, sf_dir):
     return counts.selection(counts.fit_industries(base(spark, sf_dir)))
 
