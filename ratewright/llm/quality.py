@@ -113,8 +113,8 @@ KEYS = ["g_lang", "g_source"]
 FIT = "g_lang string, g_source string, start int, mean array<double>, inverse array<double>, logdet double, n long"
 
 #: Bins of a statistic for each unit, and of a distance for each doubling: what is closer than that counts as a tie. Sums
-#: are of whole numbers of these parts of a unit. Rows that make a start; starts besides the medians; steps at most.
-FINE, TIES, PARTS, ROWS_OF_START, STARTS, STEPS = 256, 64, 1 << 20, 6, 3, 12
+#: are of whole numbers of these parts of a unit. Rows that make a start; starts besides the medians.
+FINE, TIES, PARTS, ROWS_OF_START, STARTS = 256, 64, 1 << 20, 6, 3
 
 
 def first_beyond(rows: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -190,24 +190,28 @@ def concentrated(rows: DataFrame, fit: DataFrame, support: float, floors: tuple[
     return cut(moments.select(*keys, "n", "m", "sums", "products").mapInArrow(run, FIT), "mcd")
 
 
-def estimates(rows: DataFrame, support: float = 0.75, steps: int = STEPS, floors: tuple[float, ...] = FLOORS) -> DataFrame:
+def estimates(rows: DataFrame, support: float = 0.75, floors: tuple[float, ...] = FLOORS) -> DataFrame:
     """FIT of each group of `rows` (g_lang, g_source and the statistics): that of the least determinant found.
 
     The squares of `floors` are added to the variances. Rows of one bin of distance are all in or out. The number of
-    groups bounds the tables that move; each pass reads the vectors once. Of equal determinants the first start counts.
+    groups bounds the tables that move; each pass reads the vectors once. Of equal determinants the first start counts. A group
+    takes steps as long as its determinant falls, and keeps the estimate from before the step that didn't lower it; groups
+    that have settled take no part in later passes.
     """
     fit = starts(rows, floors)
     for _ in range(2):
         fit = concentrated(rows, fit, support, floors)
     best = F.min_by(F.struct("start", "mean", "inverse", "logdet", "n"), F.struct("logdet", "start"))
-    fit = cut(fit.groupBy(*KEYS).agg(best.alias("b")).select(*KEYS, "b.*"), "mcd")
-    for _ in range(max(0, steps - 2)):
-        after = concentrated(rows, fit, support, floors)
-        both = fit.select(*KEYS, F.col("logdet").alias("before")).join(after, KEYS)
-        if both.filter(F.col("before") - F.col("logdet") > 1e-6).isEmpty():
-            break  # no group's determinant falls any more
-        fit = after
-    return fit
+    going = cut(fit.groupBy(*KEYS).agg(best.alias("b")).select(*KEYS, "b.*"), "mcd")
+    settled = []
+    while True:  # a determinant that falls has a least value above 0, and a step that isn't a fall ends its group
+        after = concentrated(rows, going, support, floors)
+        falling = after.join(going.select(*KEYS, F.col("logdet").alias("before")), KEYS).filter(F.col("before") - F.col("logdet") > 1e-6).drop("before")
+        falling = cut(falling.select(*going.columns), "mcd-falling")
+        settled.append(going.join(falling.select(*KEYS), KEYS, "left_anti"))
+        if falling.isEmpty():
+            return reduce(lambda x, y: x.unionByName(y), settled)
+        going = falling
 
 
 def distance() -> Column:

@@ -124,6 +124,25 @@ def test_estimates_against_brute_force(spark, kind):
     assert again["mean"] == fit["mean"] and again["logdet"] == fit["logdet"]
 
 
+def test_no_group_takes_a_worse_step(spark):
+    """Each group ends where a further step would not lower its determinant, whatever the others do."""
+    rng = np.random.default_rng(3)
+    data = []
+    for k in range(6):
+        x = rng.normal(size=(150 + 40 * k, 4)) * ([1, 0.4, 0.7, 2] if k % 2 else [0.2, 1, 1, 1])
+        x[: 20 + 5 * k] += 4 + k
+        data += [("en", f"s{k}", *map(float, v)) for v in x]
+    rows = spark.createDataFrame(data, "g_lang string, g_source string, " + ", ".join(f"{d} double" for d in quality.DIMS))
+    floors = (0.05,) * 4
+    fit = quality.estimates(rows, floors=floors)
+    ends = {x.g_source: x.logdet for x in fit.collect()}
+    further = {x.g_source: x.logdet for x in quality.concentrated(rows, fit, 0.75, floors).collect()}
+    assert len(ends) == 6 and all(further[k] > ends[k] - 1e-6 for k in ends)
+    for k in ends:
+        x = np.array([v[2:] for v in data if v[1] == k])
+        assert ends[k] <= brute_mcd(x, floors, tries=60)[0] + 0.06
+
+
 def test_repeated_words_of_long_texts():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 3, 4, 50, 400):
