@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ratewright.functions import exact, stats
 from ratewright.models import counts
+from ratewright.models import exact as exact_models
 from ratewright.operators import expectations as ex
 from ratewright.operators import detectability, graph, influence, panel, peers, rates, review, screen, sectors, stability
 from ratewright.operators.derive import deduplicated, derived, with_peer_keys
@@ -447,6 +448,16 @@ for _model in counts.MODELS:
     query(f"SELECT naics3, '{_model}' AS model, n, CAST(k AS BIGINT) AS k, round(ll, 1) AS loglik, round(2 * k - 2 * ll, 1) AS aic, true AS no_better_near FROM {_model}_best", f"{FIT_DATA}, {searched(_model)}")(fits(_model))
 
 
+EACH_FILING = FIT_DATA.replace("floor(ln(e) * 1000)", "e")
+
+
+@query(" UNION ALL ".join(f"SELECT naics3, '{m}' AS model, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k, round(ll, 1) AS loglik, true AS near_the_binned FROM {m}_best" for m in counts.MODELS), ", ".join([EACH_FILING, *map(searched, counts.MODELS)]))
+def exact_fits(spark, sf_dir):
+    """Fits over every filing by itself; those over binned exposure lie within a tenth of their log likelihood."""
+    out = exact_models.exact_fits(base(spark, sf_dir))
+    return out.select("naics3", "model", "n", "k", F.round("loglik", 1).alias("loglik"), (F.abs("gap") < 0.1).alias("near_the_binned"))
+
+
 @query()
 def covariate_fits(spark, sf_dir):
     return counts.fit_covariates(base(spark, sf_dir)).select("naics3", "model", "n", "k", F.round("loglik", 3).alias("loglik"), F.round("aic", 3).alias("aic"), "converged")
