@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ratewright.functions import decimals
 from ratewright.models import counts
-from ratewright.operators import audit, panel, peers, rates, stability
-from ratewright.plans.filings import AVG_RANK, CELLS, KIT, ORACLE, QUERIES, SERIES, base, n, query, r, table  # noqa: F401
+from ratewright.operators import audit, explorer, panel, peers, rates, stability
+from ratewright.plans.filings import AVG_RANK, CELLS, KIT, ORACLE, QUERIES, SERIES, base, n, query, r, store, table  # noqa: F401
 
 COVER = "pg_ AS (SELECT naics3, count(*) AS n, sum(hours) AS h, coalesce(sum(cases), 0) AS c FROM screened WHERE NOT bad AND hours > 0 GROUP BY naics3), ch AS (SELECT naics3 FROM pg_ WHERE n >= 200 AND naics3 IS NOT NULL ORDER BY n DESC, naics3 LIMIT 10), cv AS (SELECT pg_.*, naics3 IN (SELECT naics3 FROM ch) AS f FROM pg_)"
 PARTS = {
@@ -81,11 +82,55 @@ def typo_what_if(spark, sf_dir):
     return audit.typo_what_if(base(spark, sf_dir))
 
 
-@query(f"SELECT {n('y', 'year')}, {n('count(*)', 'industries')}, {n('sum(m)', 'cells')} FROM (SELECT year_filing_for AS y, naics3, count(*) AS m FROM cells GROUP BY 1, 2) GROUP BY y", CELLS)
+SHOWN = ("aggregate_trir", "zero_share", "p10", "p50", "p95")
+
+
+@query(f"SELECT {n('year_filing_for', 'year')}, naics3, band AS size_band, {n('n', 'n')}, pub AS publishable, round(rate, 4) AS aggregate_trir, round(zero, 4) AS zero_share, {', '.join(f'round({p}, 4) AS {p}' for p in ('p10', 'p50', 'p95'))} FROM cells", CELLS, plain=True)
 def explorer_payload(spark, sf_dir):
+    """Every number of the documents for static pages, read back from their JSON."""
     made = audit.explorer_payload(table(spark, sf_dir))
-    parsed = F.from_json("payload", "array<struct<naics3: string, bands: array<struct<size_band: string>>>>")
-    return made.select("year", F.size(parsed).alias("industries"), F.aggregate(parsed, F.lit(0), lambda a, x: a + F.size(x["bands"])).alias("cells"))
+    cell = "size_band: string, n: bigint, publishable: boolean, " + ", ".join(f"{c}: double" for c in SHOWN)
+    groups = made.select(F.col("year").cast("long").alias("year"), F.explode(F.from_json("payload", f"array<struct<naics3: string, bands: array<struct<{cell}>>>>")).alias("g"))
+    return groups.select("year", "g.naics3", F.explode("g.bands").alias("b")).select("year", "naics3", "b.size_band", "b.n", "b.publishable", *(f"b.{c}" for c in SHOWN))
+
+
+GRAPH = """
+pgs AS (SELECT naics3 || '|' || band AS g, any_value(naics3) AS naics3 FROM keyed WHERE NOT bad AND band IS NOT NULL AND naics3 IS NOT NULL GROUP BY 1),
+ind AS (SELECT DISTINCT naics3, naics2 FROM screened WHERE naics3 IS NOT NULL),
+nodes AS (SELECT 'Sector:' || naics2 AS seed, 0 AS distance, 'Sector' AS kind, naics2 AS key FROM (SELECT DISTINCT naics2 FROM ind) UNION ALL SELECT 'Sector:' || naics2, 1, 'Industry', naics3 FROM ind UNION ALL SELECT 'Sector:' || naics2, 2, 'PeerGroup', g FROM pgs JOIN ind USING (naics3)),
+edges AS (SELECT 'Sector:' || naics2 AS seed, 'in_sector' AS link, naics3 AS source, naics2 AS target FROM ind UNION ALL SELECT 'Sector:' || naics2, 'group_industry', g, naics3 FROM pgs JOIN ind USING (naics3))"""
+
+
+@query("SELECT seed, 'node' AS part, kind AS label, key AS a, CAST(distance AS VARCHAR) AS b FROM nodes UNION ALL SELECT seed, 'edge', link, source, target FROM edges", GRAPH)
+def graph_payload(spark, sf_dir):
+    """Two steps around every sector, over industries and peer groups: nodes and edges, read back from the documents' JSON."""
+    s = store(spark, sf_dir)
+    chosen = s.current("Sector").filter("naics2 is not null").select(F.lit("Sector").alias("kind"), F.col("naics2").alias("key"))
+    made = explorer.documents(*explorer.neighbourhood(s, chosen, 2, ("in_sector", "group_industry")))
+    parsed = F.from_json("payload", "nodes array<struct<distance: string, kind: string, key: string>>, edges array<struct<link: string, source: string, target: string>>")
+    rows = made.select("seed", parsed.alias("p"))
+    nodes = rows.select("seed", F.explode("p.nodes").alias("x")).select("seed", F.lit("node").alias("part"), F.col("x.kind").alias("label"), F.col("x.key").alias("a"), F.col("x.distance").alias("b"))
+    return nodes.unionByName(rows.select("seed", F.explode("p.edges").alias("x")).select("seed", F.lit("edge").alias("part"), F.col("x.link").alias("label"), F.col("x.source").alias("a"), F.col("x.target").alias("b")))
+
+
+#: Decimal texts of every order: m whole part, f the fraction in w digits, e the exponent; some are next to the bound.
+TEXTS = """
+dt AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 9007199254740991 + (o_orderkey % 3 - 1) ELSE (o_orderkey * 7919) % 100000 END AS m, o_orderkey % 7 AS w, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE (o_orderkey * 31) % (10 ** (o_orderkey % 7))::BIGINT END AS f, o_orderkey % 11 - 5 AS e FROM orders),
+dn AS (SELECT *, m || CASE WHEN w > 0 THEN '.' || lpad(CAST(f AS VARCHAR), CAST(w AS INTEGER), '0') ELSE '' END || CASE WHEN e <> 0 THEN 'e' || e ELSE '' END AS text, CAST(m AS HUGEINT) * CAST(10 ** w AS HUGEINT) + f AS d, e - w AS p FROM dt)"""
+
+
+@query("SELECT id, text, CASE WHEN p >= 0 THEN true ELSE d % CAST(10 ** -p AS HUGEINT) = 0 END AS whole, CASE WHEN p >= 0 THEN d * CAST(10 ** p AS HUGEINT) > 9007199254740991 ELSE d > 9007199254740991 * CAST(10 ** -p AS HUGEINT) END AS unsafe FROM dn", TEXTS, plain=True)
+def decimal_texts(spark, sf_dir):
+    """Whole and too large numbers among decimal texts, by their digits; SQL has them from 128-bit numbers."""
+    key = F.col("o_orderkey")
+    m = F.when(key % 5 == 0, F.lit(9007199254740991) + (key % 3 - 1)).otherwise((key * 7919) % 100000)
+    w = key % 7
+    f = F.when(key % 2 == 0, F.lit(0)).otherwise((key * 31) % F.pow(F.lit(10.0), w).cast("long")).cast("string")
+    fraction = F.when(w > 0, F.concat(F.lit("."), F.lpad(f, w.cast("int"), F.lit("0")))).otherwise(F.lit(""))
+    e = key % 11 - 5
+    text = F.concat(m.cast("string"), fraction, F.when(e != 0, F.concat(F.lit("e"), e.cast("string"))).otherwise(F.lit("")))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(key.alias("id"), text.alias("text"))
+    return rows.select("id", "text", decimals.is_whole(F.col("text")).alias("whole"), decimals.is_unsafe(F.col("text")).alias("unsafe"))
 
 
 @query()

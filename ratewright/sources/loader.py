@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewright.operators.derive import deduplicated, derived
+from ratewright.functions import decimals
 from ratewright.sources.schema import SchemaError, to_canonical
 
 
@@ -144,13 +145,13 @@ def read_strict(spark: SparkSession, path: str, required: tuple[str, ...] = ("ye
         raise UploadError("too_many_rows", "more than 50,000 rows")
     if not n:
         raise UploadError("empty", "no rows")
-    whole = r"^[0-9]+(\.0*)?$"
     bad = F.lit(None).cast("string")
-    for c in ("year", "cases"):
-        bad = F.coalesce(bad, F.when(~F.coalesce(F.trim(c).rlike(whole), F.lit(False)), F.lit(f"{c} is not a whole number")), F.when(F.col(c).try_cast("decimal(38,18)") > 2**53 - 1, F.lit(f"{c} is too large")))
-    for c in ("employees", "hours"):
-        value = F.trim(c).try_cast("double")
-        bad = F.coalesce(bad, F.when(~F.coalesce(F.trim(c).rlike(r"^[0-9]*\.?[0-9]+([eE][+-]?[0-9]+)?$") & (value < float("inf")), F.lit(False)), F.lit(f"{c} is not a number")))
+    for c in ("year", "employees", "hours", "cases"):
+        text = F.col(c)
+        tests = {"is not a number": ~decimals.is_number(text) | F.coalesce(F.trim(text).startswith("-"), F.lit(False)), "is too large": decimals.is_unsafe(text)}
+        if c in ("year", "cases"):
+            tests["is not a whole number"] = ~decimals.is_whole(text)
+        bad = F.coalesce(bad, *(F.when(test, F.lit(f"{c} {what}")) for what, test in tests.items()))
     if first := rows.withColumn("_bad", bad).filter("_bad is not null").orderBy("_row").select("_row", "_bad").first():
         raise UploadError("bad_cell", first[1], first[0])
     if "filing_id" in raw.columns:
