@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratewright.functions.exact import even_number
 from ratewright.operators.rates import ratio
+from ratewright.shared import cut
 
 
 def key_drift(df: DataFrame) -> DataFrame:
@@ -79,23 +81,23 @@ def enrichment(panel: DataFrame, year: int) -> DataFrame:
 def permutation_null(panel: DataFrame, times: int = 200, seed: int = 20260909, margin: float = 6.0) -> DataFrame:
     """rep, odds_ratio of panels whose flags were dealt anew among each year's filers, as many as before.
 
-    Only who is flagged moves: a filer is flagged in a round if its hash ranks within the year's number of flags.
-    Rounds are independent hashes of the same rows; n00 follows from totals, so that of each round only filers
+    Only who is flagged moves: a filer is flagged in a round if its digest ranks within the year's number of flags.
+    Rounds are independent digests of the same rows; n00 follows from totals, so that of each round only filers
     near the flagged share, within `margin` deviations of it, have to be ranked. Rounds and years that have too few
     of those are counted first, and rank all their filers. A round without any flag gives a row too.
     """
-    spark, pairs = panel.sparkSession, paired(panel)
+    spark, pairs = panel.sparkSession, cut(paired(panel), "pairs")
     size = panel.groupBy("year").agg(F.count("*").alias("n"), F.sum("flag").alias("k"))
-    share = size.select("year", "n", "k", F.least(F.lit(1.0), F.col("k") / F.col("n") + margin * F.sqrt((F.col("k") + 1.0) / (F.col("n") * F.col("n")))).alias("near"))
+    share = cut(size.select("year", "n", "k", F.least(F.lit(1.0), F.col("k") / F.col("n") + margin * F.sqrt((F.col("k") + 1.0) / (F.col("n") * F.col("n")))).alias("near")), "shares")
     rounds = spark.range(times).select(F.col("id").cast("int").alias("rep"))
     reps = F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("rep")
-    # a uniform number of each filer and round; those far above the year's share can't be among the k least
-    number = (F.xxhash64("establishment_id", "year", "rep", F.lit(seed)).bitwiseAND(2**53 - 1)).cast("double") / F.lit(float(2**53))
-    every = panel.join(F.broadcast(share), "year").select("establishment_id", "year", "k", "near", reps).withColumn("u", number)
-    counted = every.groupBy("rep", "year").agg(F.max("k").alias("k"), F.count(F.when(F.col("u") <= F.col("near"), 1)).alias("left"))
-    short = [(r.rep, r.year) for r in counted.filter("left < k").select("rep", "year").collect()]  # at most a row for each round and year
-    all_of = F.concat_ws(":", "rep", "year").isin([f"{a}:{b}" for a, b in short]) if short else F.lit(False)
-    drawn = every.filter((F.col("u") <= F.col("near")) | all_of)
+    # an even number of each filer and round; those far above the year's share can't be among the k least
+    every = panel.join(F.broadcast(share), "year").select("establishment_id", "year", "k", "near", reps).withColumn("u", even_number(F.lit(seed), F.col("establishment_id"), F.col("year"), F.col("rep")))
+    drawn = cut(every.filter(F.col("u") <= F.col("near")).select("rep", "year", "establishment_id", "u", "k"), "drawn")
+    left = rounds.join(F.broadcast(share.select("year", "k"))).join(drawn.groupBy("rep", "year").agg(F.count("*").alias("left")), ["rep", "year"], "left").filter(F.coalesce("left", F.lit(0)) < F.col("k"))
+    short = [f"{r.rep}:{r.year}" for r in left.select("rep", "year").collect()]  # at most a row for each round and year
+    if short:
+        drawn = drawn.unionByName(every.filter((F.col("u") > F.col("near")) & F.concat_ws(":", "rep", "year").isin(short)).select("rep", "year", "establishment_id", "u", "k"))
     order = Window.partitionBy("rep", "year").orderBy("u", "establishment_id")
     flagged = drawn.withColumn("place", F.row_number().over(order)).filter("place <= k").select("rep", "year", "establishment_id")
     totals = pairs.groupBy("year_from", "year_to").agg(F.count("*").alias("n"))

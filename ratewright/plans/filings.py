@@ -465,7 +465,7 @@ def covariate_fits(spark, sf_dir):
 
 @query()
 def fixed_effect_fits(spark, sf_dir):
-    return counts.fit_covariates(base(spark, sf_dir), ("poisson", "nb2"), fixed="state").select("naics3", "model", "n", "k", F.round("loglik", 3).alias("loglik"), F.round("aic", 3).alias("aic"), "converged")
+    return counts.fit_covariates(base(spark, sf_dir), fixed="state").select("naics3", "model", "n", "k", F.round("loglik", 3).alias("loglik"), F.round("aic", 3).alias("aic"), "converged")
 
 
 @query(f"SELECT model, {n('count(*) FILTER (place = 1)', 'wins')}, {n('count(*)', 'fits')} FROM (SELECT model, row_number() OVER (PARTITION BY naics3 ORDER BY round(2 * k - 2 * ll, 6), model) AS place FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS model, * FROM {m}_best" for m in counts.MODELS) + ")) GROUP BY model", ", ".join([FIT_DATA, *map(searched, counts.MODELS)]))
@@ -473,7 +473,14 @@ def aic_selection(spark, sf_dir):
     return counts.selection(counts.fit_industries(base(spark, sf_dir)))
 
 
-@query()
+DEALT = f"""{YEARS},
+fp AS (SELECT establishment_id AS e, year_filing_for AS y, CAST(bad AS INTEGER) AS f FROM screened WHERE establishment_id IS NOT NULL AND year_filing_for IS NOT NULL),
+sz AS (SELECT y, sum(f) AS k FROM fp GROUP BY y),
+dl AS (SELECT rep, e, y, row_number() OVER (PARTITION BY rep, y ORDER BY u, e) <= k AS x FROM (SELECT *, CAST(('0x' || substr(md5('20260909|' || e || '|' || y || '|' || rep), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u FROM fp, range(0, 200) t(rep)) JOIN sz USING (y)),
+ce AS (SELECT a.rep, count(*) FILTER (a.x AND b.x) AS n11, count(*) FILTER (a.x AND NOT b.x) AS n10, count(*) FILTER (NOT a.x AND b.x) AS n01, count(*) FILTER (NOT a.x AND NOT b.x) AS n00 FROM pairs JOIN dl a ON a.y = y0 JOIN dl b ON b.y = y1 AND a.e = b.e AND a.rep = b.rep GROUP BY a.rep)"""
+
+
+@query(f"SELECT {n('rep', 'rep')}, {r('n11 * n00 / nullif(n10 * n01, 0)', 'odds_ratio')} FROM ce", DEALT)
 def permutation_null(spark, sf_dir):
     return panel.permutation_null(panel.flag_panel(base(spark, sf_dir)))
 
