@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -84,6 +86,27 @@ def pieces_of(text: bytes, ends: re.Pattern[bytes], most: int = CHUNK_BYTES) ->
     yield text[at:] if at else text
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """`run`, after which the worker gives the memory that it has freed back to the system.
+
+    Spark keeps workers for later tasks, several beside each other; without this each would hold what its largest task took.
+    """
+
+    def then(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # GNU's
+                trim(0)
+
+    return then
+
+
 def each_slice(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow that gives `f` one bounded slice at a time."""
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratewright.llm.common import collected, cut, hashed64, maybe_broadcast, slices
+from ratewright.llm.common import collected, cut, hashed64, maybe_broadcast, slices, tidy
 
 #: Words of a shingle, and the threshold as a fraction.
 SHINGLE, SIMILAR = 5, (3, 4)
@@ -159,7 +159,7 @@ def classes(docs: DataFrame, bits: int = 64) -> DataFrame:
         if size:
             yield common()
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, f"doc_id {kind.simpleString()}, mark long, n long, cls long, more long, token long, held long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(tidy(run), f"doc_id {kind.simpleString()}, mark long, n long, cls long, more long, token long, held long")
 
 
 def told_apart(rows: DataFrame, bits: int) -> tuple[DataFrame, Naming]:
@@ -248,7 +248,7 @@ def bucketed_prefixes(docs: DataFrame, common: np.ndarray, hot: np.ndarray, buck
                     rows.append((int(bucket[a]), token[a:b].astype(np.uint32).tobytes(), c[who].tobytes(), n[who].tobytes(), np.diff(np.r_[first, b - a]).astype(np.int32).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "tokens", "cls", "n", "count"])
 
-    return docs.select("text").mapInArrow(run, "bucket int, tokens binary, cls binary, n binary, count binary")
+    return docs.select("text").mapInArrow(tidy(run), "bucket int, tokens binary, cls binary, n binary, count binary")
 
 
 def shared_tokens(prefixes: DataFrame, buckets: int, parts: int) -> DataFrame:
@@ -307,7 +307,7 @@ def shared_tokens(prefixes: DataFrame, buckets: int, parts: int) -> DataFrame:
         if held:
             yield from one_bucket(*held)
 
-    return prefixes.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket").mapInArrow(run, "token long, cls long, n long, least long, least_n long, share long")
+    return prefixes.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket").mapInArrow(tidy(run), "token long, cls long, n long, least long, least_n long, share long")
 
 
 def similar_sizes(a: Column, b: Column) -> Column:
@@ -344,7 +344,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, name: Naming) -> DataFrame:
                 found = {c: s.tobytes() for c, s in sets if s.size and name(s) == c}  # else another row of the same id
                 yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.int64()), pa.array(found.values(), type=pa.binary())], names=["cls", "tokens"])
 
-    sets = cut(rows.mapInArrow(run, "cls long, tokens binary"), "jaccard-sets")
+    sets = cut(rows.mapInArrow(tidy(run), "cls long, tokens binary"), "jaccard-sets")
     # repeated rows give a set more than once
     return sets if sets.count() == wanted.count() else cut(sets.dropDuplicates(["cls"]), "jaccard-sets")
 
@@ -389,7 +389,7 @@ def verify(sets: DataFrame, opened: DataFrame) -> DataFrame:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
 
-    return placed.mapInArrow(run, "a long, b long").distinct()
+    return placed.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def dealt(queries: DataFrame, members: DataFrame | None = None) -> DataFrame:
@@ -554,7 +554,7 @@ def narrowed(open_: DataFrame, bound: DataFrame) -> tuple[DataFrame, DataFrame]:
         if at:
             yield from give(kept)
 
-    some = cut(placed.mapInArrow(run, "grp long, cls long, comp long, query boolean").distinct(), "jaccard-narrowed")
+    some = cut(placed.mapInArrow(tidy(run), "grp long, cls long, comp long, query boolean").distinct(), "jaccard-narrowed")
     return some.filter("query").drop("query"), some.filter("not query").drop("query")
 
 

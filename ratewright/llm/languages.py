@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratewright.llm.common import CHUNK_BYTES, collected, cut, hashed64, maybe_broadcast, slices
+from ratewright.llm.common import CHUNK_BYTES, collected, cut, hashed64, maybe_broadcast, slices, tidy
 
 #: Characters of the longest sequence; labelled texts of each language that are counted, and that calibrate it.
 ORDER, TRAIN_ROWS, CALIBRATION_ROWS = 4, 600, 200
@@ -238,4 +238,4 @@ def identify(docs: DataFrame, who: Identifier, keep: tuple[str, ...] = ("doc_id"
                 lang, score, entropy, rejected = zip(*shared.value.predict(part.column(at).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(lang), pa.array(score), pa.array(entropy, type=pa.float64()), pa.array(rejected)], names=[*names, "__lang", "__score", "__entropy", "__rejected"])
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(tidy(run), schema)
