@@ -19,10 +19,21 @@ from ratewright.shared import cut
 RANGES, RANKED = 4096, 200_000
 
 
-def range_of(v: Column, low: Column, high: Column, ranges: int) -> Column:
-    """Which of `ranges` + 1 ranges a value falls into: never falling with v, 0 for low and the last for high."""
+def by_size(v: Column) -> Column:
+    """A number's place on a scale of sizes: its logarithm, moved so that all positive ones lie above 0 and negative ones mirror them."""
+    return F.when(v == 0, F.lit(0.0)).otherwise(F.signum(v) * (F.log(F.abs(v)) + 746))  # no double has a logarithm below -745.2
+
+
+def range_of(v: Column, low: Column, high: Column, ranges: int, sizes: bool) -> Column:
+    """Which of `ranges` + 1 ranges a value falls into: never falling with v, 0 for low and the last for high.
+
+    Ranges are equal steps of the values, or with `sizes` of by_size(), where that tells low from high.
+    """
     wide = F.abs(high / 2 - low / 2) > 4e307  # the difference may be beyond the largest double
     share = F.when(wide, (v / 2 - low / 2) / F.when(wide, high / 2 - low / 2)).otherwise((v - low) / F.when(~wide & (high > low), high - low))
+    if sizes:
+        told = by_size(high) > by_size(low)
+        share = F.when(told, (by_size(v) - by_size(low)) / F.when(told, by_size(high) - by_size(low))).otherwise(share)
     return F.floor(share * ranges).cast("int")
 
 
@@ -51,13 +62,15 @@ def percentiles(df: DataFrame, keys: Iterable[str], value: str, shares: Iterable
     spans = ends.select(*by, "__low", "__high", F.lit(0).cast("long").alias("__before"), F.col("n_values").alias("__held"))
     inside = (F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__before") + F.col("__held"))
     large = (F.col("__held") > ranked) & (F.col("__low") < F.col("__high"))
+    sizes = False
     while not (open_ := spans.filter(large)).isEmpty():
         met = rows.join(open_, by).filter(F.col("__v").between(F.col("__low"), F.col("__high")))
-        counted = met.groupBy(*by, "__low", "__before", range_of(F.col("__v"), F.col("__low"), F.col("__high"), ranges).alias("__range")).agg(F.count("*").alias("__n"), F.min("__v").alias("__a"), F.max("__v").alias("__b"))
+        counted = met.groupBy(*by, "__low", "__before", range_of(F.col("__v"), F.col("__low"), F.col("__high"), ranges, sizes).alias("__range")).agg(F.count("*").alias("__n"), F.min("__v").alias("__a"), F.max("__v").alias("__b"))
         lesser = F.sum("__n").over(Window.partitionBy(*by, "__low").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
         parts = counted.select(*by, F.col("__a").alias("__low"), F.col("__b").alias("__high"), (F.col("__before") + F.coalesce(lesser, F.lit(0))).alias("__before"), F.col("__n").alias("__held"))
         hit = parts.join(wanted, by).filter(inside).drop("__rank").distinct()
         spans = cut(spans.filter(~large).unionByName(hit), "spans")
+        sizes = not sizes  # steps by turns: of values for those close together, of sizes for those of all magnitudes
     even = F.col("__low") == F.col("__high")
     known = spans.filter(even).join(wanted, by).filter(inside).select(*by, "__rank", F.col("__low").alias("__v"))
     place = F.col("__before") + F.row_number().over(Window.partitionBy(*by, "__low").orderBy("__v")) - 1

@@ -15,7 +15,7 @@ def wanted(groups):
     return {k: (len(v), [pytest.approx(float(np.quantile(v, p)), rel=1e-12, abs=1e-300) for p in SHARES]) for k, v in groups.items()}
 
 
-@pytest.mark.parametrize(("ranges", "ranked"), [(4096, 200_000), (3, 4), (7, 1), (50, 20)])
+@pytest.mark.parametrize(("ranges", "ranked"), [(4096, 200_000), (40, 6)])
 def test_against_sorting(spark, ranges, ranked):
     r = random.Random(ranges)
     groups = {
