@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ratewright.functions import decimals
 from ratewright.models import counts
 from ratewright.operators import audit, explorer, panel, peers, rates, stability
-from ratewright.plans.filings import AVG_RANK, CELLS, KIT, ORACLE, QUERIES, SERIES, base, n, query, r, store, table  # noqa: F401
+from ratewright.plans.filings import AVG_RANK, CELLS, FIT_DATA, KIT, LOG_LAWS, ORACLE, QUERIES, SERIES, base, n, query, r, searched, store, table  # noqa: F401
 
 COVER = "pg_ AS (SELECT naics3, count(*) AS n, sum(hours) AS h, coalesce(sum(cases), 0) AS c FROM screened WHERE NOT bad AND hours > 0 GROUP BY naics3), ch AS (SELECT naics3 FROM pg_ WHERE n >= 200 AND naics3 IS NOT NULL ORDER BY n DESC, naics3 LIMIT 10), cv AS (SELECT pg_.*, naics3 IN (SELECT naics3 FROM ch) AS f FROM pg_)"
 PARTS = {
@@ -133,7 +133,14 @@ def decimal_texts(spark, sf_dir):
     return rows.select("id", "text", decimals.is_whole(F.col("text")).alias("whole"), decimals.is_unsafe(F.col("text")).alias("unsafe"))
 
 
-@query()
+EXPECTED = f"""
+every AS ({" UNION ALL ".join(f"SELECT {i} AS place, '{m}' AS model, * FROM {m}_best" for i, m in enumerate(counts.MODELS))}),
+chosen AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY naics3 ORDER BY 2 * k - 2 * ll, place) = 1),
+ex AS (SELECT y, sum(w * exp(CASE model {' '.join(f"WHEN '{m}' THEN {law}" for m, law in LOG_LAWS.items())} END)) AS x FROM chosen JOIN (SELECT naics3, e, w FROM dat) USING (naics3), (SELECT CAST(y AS DOUBLE) AS y FROM range(0, 10) t(y)) GROUP BY y),
+seen AS (SELECT least(y, 10) AS y, sum(w) AS o FROM dat GROUP BY 1)"""
+
+
+@query("SELECT CAST(h.y AS BIGINT) AS sort_key, coalesce(o, 0) AS observed, round(coalesce(x, (SELECT sum(w) FROM dat) - (SELECT sum(x) FROM ex)), 1) AS expected FROM (SELECT CAST(y AS DOUBLE) AS y FROM range(0, 11) t(y)) h LEFT JOIN ex ON ex.y = h.y LEFT JOIN seen ON seen.y = h.y", ", ".join([FIT_DATA, *map(searched, counts.MODELS), EXPECTED]))
 def predicted_counts(spark, sf_dir):
     """Filings by number of cases, seen and expected under each industry's best model, all industries together."""
-    return counts.predicted_histogram(base(spark, sf_dir))
+    return counts.predicted_histogram(base(spark, sf_dir)).withColumn("expected", F.round("expected", 1))

@@ -431,7 +431,7 @@ def searched(model: str, levels: int = 26, width: float = 4.0, shrink: float = 0
         step = width * shrink ** (i - 1)
         at = f"SELECT naics3, n, {moved('m', bool(free), step)}, {moved('a', 'a' in free, step)}, {moved('p', 'p' in free, step)} FROM {model}_{i - 1}{steps('m', bool(free))}{steps('a', 'a' in free)}{steps('p', 'p' in free)}"
         out.append(f"{model}_{i} AS (SELECT naics3, n, x.m AS m, x.a AS a, x.p AS p, x.ll AS ll FROM (SELECT naics3, n, max_by({{'m': m, 'a': a, 'p': p, 'll': ll}}, ll) AS x FROM (SELECT naics3, n, m, a, p, sum(w * {LOG_LAWS[model]}) AS ll FROM ({at}) JOIN dat USING (naics3) GROUP BY ALL) GROUP BY naics3, n))")
-    return ", ".join([*out, f"{model}_best AS (SELECT naics3, n, ll, {1 + len(free)} AS k FROM {model}_{levels if free else 1})"])
+    return ", ".join([*out, f"{model}_best AS (SELECT naics3, n, ll, {1 + len(free)} AS k, m, a, p FROM {model}_{levels if free else 1})"])
 
 
 def fits(model: str) -> Query:
