@@ -30,6 +30,7 @@ def searched(groups: DataFrame, tried: Column, test: Column, keep: list[Column])
 
     tried: array of the numbers of a block, from column __block. Goes on with the groups that have none, block by block.
     """
+    groups = cut(groups, "groups")  # sums of doubles may come out otherwise when they are worked out again, and rows are matched by them
     found, open_, block = [], groups, 0
     while not open_.isEmpty():
         rows = open_.withColumn("__block", F.lit(block)).withColumn("i", F.explode(tried))
@@ -82,7 +83,8 @@ def precision_by_band(bands: DataFrame, ratios: tuple[float, ...] = (PRECISE,))
 
 def power_by_band(bands: DataFrame, ratios: tuple[float, ...] = RATIOS, target: float = 0.8) -> DataFrame:
     """For each band and ratio of rates: the hours in each period that tell them apart, and the power of one filing of mean size in each."""
-    each = bands.select("size_band", "rate", "mean_hours", F.explode(F.array(*(F.lit(float(r)) for r in ratios))).alias("ratio"))
+    # written once: rates meet by equality below, and a sum of doubles that is worked out again may differ in its last bits
+    each = cut(bands.select("size_band", "rate", "mean_hours", F.explode(F.array(*(F.lit(float(r)) for r in ratios))).alias("ratio")), "each")
     found = hours_for_power(each.select(F.col("rate").alias("rate_1"), (F.col("rate") * F.col("ratio")).alias("rate_2")), target)
     met = each.join(found, (F.col("rate") == F.col("rate_1")) & (F.col("rate") * F.col("ratio") == F.col("rate_2")))
     m = F.col("rate") * F.col("mean_hours") / PER_HOURS

@@ -1,6 +1,7 @@
 """Exact statistics over rows: power, ladders, precision, draws, each against direct sums."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -95,3 +96,11 @@ def test_intervals_of_missing_counts(spark):
     df = spark.createDataFrame([(None, 0), (3, 20)], "k long, n long")
     a, b = df.select(exact.poisson_interval(F.col("k")).alias("p"), exact.share_interval(F.col("k"), F.col("n")).alias("s")).collect()
     assert a.p.low is None and a.s.high is None and tuple(b.p) == pytest.approx(stats.garwood(3)) and tuple(b.s) == pytest.approx(stats.clopper_pearson(3, 20))
+
+
+def test_ladder_of_rates_that_come_out_otherwise_each_time(spark):
+    """Sums of doubles depend on the order of rows: bands whose rates differ in their last bits when worked out again lose no row."""
+    noise = F.udf(lambda: random.random(), "double").asNondeterministic()
+    bands = spark.createDataFrame([("a", 2.5, 50000.0), ("b", 3.1, 90000.0)], "size_band string, rate double, mean_hours double").withColumn("rate", F.col("rate") * (1 + noise() * 1e-13))
+    found = detectability.power_by_band(bands, (1.5, 2.0)).collect()
+    assert sorted((x.size_band, x.ratio) for x in found) == [("a", 1.5), ("a", 2.0), ("b", 1.5), ("b", 2.0)]
