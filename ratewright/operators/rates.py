@@ -111,11 +111,14 @@ def hours_concentration(df: DataFrame, tops: tuple[int, ...] = (1, 10, 100, 1000
 
 def rank_trim(df: DataFrame, tops: tuple[int, ...] = (1, 10, 100, 1000, 10000)) -> DataFrame:
     """The rate of all filings without the top n by hours: a check that needs no bounds; null if no hours are left."""
-    total = df.agg(F.count("*").alias("n"), F.count_if(F.col("total_hours_worked") > 0).alias("worked"), F.coalesce(F.sum("total_hours_worked"), F.lit(0.0)).alias("h"), F.coalesce(F.sum("recordable_cases"), F.lit(0.0)).alias("c"))
-    out = hours_concentration(df, tops).join(F.broadcast(total))
-    # a share of all hours may be a rounding error away from 1
-    left = F.when(F.col("top_n") < F.col("worked"), F.col("h") * (1 - F.col("hours_share")))
-    return out.select("top_n", ratio(PER_HOURS * F.col("c") * (1 - F.col("cases_share")), left).alias("trir"), (F.col("top_n") / F.col("n")).alias("share_of_filings"))
+    hours, cases, at = F.col("total_hours_worked"), F.col("recordable_cases"), F.struct(-F.col("total_hours_worked"), F.col("id"))
+    top = top_by_hours(df.select("id", "total_hours_worked", "recordable_cases"), max(tops))
+    ends = top.agg(*(F.max(F.when(F.col("rank") == n, at)).alias(f"e{n}") for n in tops))  # the last one of each top; null if there are fewer
+    # sums of what is left, not differences: no digits are lost where the top holds nearly everything
+    beyond = {n: F.coalesce(at > F.col(f"e{n}"), F.lit(False)) for n in tops}
+    left = df.join(F.broadcast(ends)).agg(F.count("*").alias("n"), F.count(cases).alias("counted"), *(x for n in tops for x in (F.sum(F.when(beyond[n] & hours.isNotNull(), hours)).alias(f"h{n}"), F.sum(F.when(beyond[n] | hours.isNull(), cases)).alias(f"c{n}"))))
+    rows = F.explode(F.array(*(F.struct(F.lit(n).cast("long").alias("top_n"), F.col(f"h{n}").alias("h"), F.when(F.col("counted") > 0, F.coalesce(f"c{n}", F.lit(0.0))).alias("c")) for n in tops)))
+    return left.select("n", rows.alias("r")).select("r.top_n", ratio(PER_HOURS * F.col("r.c"), F.when(F.col("r.h") > 0, F.col("r.h"))).alias("trir"), (F.col("r.top_n") / F.col("n")).alias("share_of_filings"))
 
 
 def rates(df: DataFrame, *by: str) -> DataFrame:

@@ -241,3 +241,11 @@ def test_rank_trim_without_hours_left(spark):
     found = {x.top_n: x.trir for x in rates.rank_trim(df, (1, 14, 15, 16, 1000)).collect()}
     assert found[14] == pytest.approx(200000 * (0 + 2 + 1) / 0.1)
     assert found[1] is not None and found[15] is None and found[16] is None and found[1000] is None
+
+
+def test_rank_trim_where_one_filing_holds_nearly_all_hours(spark):
+    """All - top would leave noise: what is left is a sum of its own."""
+    rows = [(i, 0.01 * (i + 1), 1.0) for i in range(20)] + [(100, 1e17, 2.0), (101, None, 1.0)]
+    found = {x.top_n: x.trir for x in rates.rank_trim(spark.createDataFrame(rows, "id long, total_hours_worked double, recordable_cases double"), (1, 20, 21, 22)).collect()}
+    assert found[1] == pytest.approx(200000 * 21 / 2.1) and found[20] == pytest.approx(200000 * 2 / 0.01)
+    assert found[21] is None and found[22] is None
