@@ -1,5 +1,7 @@
 """Sums without cancellation, joins that must be one to one, results bound to their inputs."""
 
+import gzip
+import hashlib
 import random
 from fractions import Fraction
 
@@ -76,6 +78,43 @@ def test_one_changed_byte_is_refused(spark, tmp_path):
         manifest.pinned(spark, [path], changing)
 
 
+def test_large_files_are_read_in_pieces(spark, tmp_path):
+    """A file larger than one value is read by several tasks; splits don't show, every byte does, and small files keep their SHA-256."""
+    r = random.Random(5)
+    data = bytearray(r.randbytes(300_000) + b"\r\n\n\n" + bytes(5000) + b"\xef\xbb\xbf")
+    (tmp_path / "in").mkdir()
+    small, large = tmp_path / "in" / "a small.bin", tmp_path / "in" / "b + large%20.bin"
+    small.write_bytes(b"k,v\n1,2\n")
+    large.write_bytes(data)
+
+    def found(split=1 << 27):
+        old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+        for k in old:
+            spark.conf.set(k, str(split))
+        out = {x.file: x for x in manifest.manifest(spark, str(tmp_path / "in"), whole=1000, lines=100).collect()}
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        return out
+
+    first = found()
+    assert {k: v.length for k, v in first.items()} == {"a small.bin": 8, "b + large%20.bin": len(data)}
+    assert first["a small.bin"].sha256 == hashlib.sha256(b"k,v\n1,2\n").hexdigest()
+    assert found(10_000) == first == found(77_777)  # some 30 and 4 splits
+    seen = {first["b + large%20.bin"].sha256}
+    for at in (0, 150_000, 300_001, len(data) - 1):
+        other = data.copy()
+        other[at] ^= 1
+        large.write_bytes(other)
+        seen.add(found(50_000)["b + large%20.bin"].sha256)
+    ends = [i for i, x in enumerate(data[:300_000]) if x == 10]
+    a, b, c = ends[3], ends[4], ends[5]
+    large.write_bytes(data[: a + 1] + data[b + 1 : c + 1] + data[a + 1 : b + 1] + data[c + 1 :])  # two lines change places
+    seen.add(found(50_000)["b + large%20.bin"].sha256)
+    assert len(seen) == 6
+    (tmp_path / "in" / "c.csv.gz").write_bytes(gzip.compress(bytes(r.randbytes(5000))))
+    assert found()["c.csv.gz"].sha256 == hashlib.sha256((tmp_path / "in" / "c.csv.gz").read_bytes()).hexdigest()
+
+
 def test_screened_table_follows_its_files(spark, tmp_path):
     source = "/root/testdata/sf0.001"
     for t in ("lineitem", "customer"):
