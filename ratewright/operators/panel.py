@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratewright.functions.exact import even_number
 from ratewright.operators.rates import ratio
 from ratewright.shared import cut
 
@@ -81,29 +80,64 @@ def enrichment(panel: DataFrame, year: int) -> DataFrame:
 def permutation_null(panel: DataFrame, times: int = 200, seed: int = 20260909, margin: float = 6.0) -> DataFrame:
     """rep, odds_ratio of panels whose flags were dealt anew among each year's filers, as many as before.
 
-    Only who is flagged moves: a filer is flagged in a round if its digest ranks within the year's number of flags.
-    Rounds are independent digests of the same rows; n00 follows from totals, so that of each round only filers
-    near the flagged share, within `margin` deviations of it, have to be ranked. Rounds and years that have too few
-    of those are counted first, and rank all their filers. A round without any flag gives a row too.
+    Only who is flagged moves: a filer (one row of its year) is flagged in a round if its digest ranks within the year's number of flags.
+    Rounds are independent digests of the same rows. The last flagged one of each round and year is found first: filers
+    whose digest lies `margin` deviations below the flagged share are only counted, those above it left out, and the few between ranked.
+    Rounds and years whose last one isn't between rank all their filers. Then each pair of filings
+    meets those bounds where it is read: only sums move. A round without any flag gives a row too.
     """
     spark, pairs = panel.sparkSession, cut(paired(panel), "pairs")
     size = panel.groupBy("year").agg(F.count("*").alias("n"), F.sum("flag").alias("k"))
-    share = cut(size.select("year", "n", "k", F.least(F.lit(1.0), F.col("k") / F.col("n") + margin * F.sqrt((F.col("k") + 1.0) / (F.col("n") * F.col("n")))).alias("near")), "shares")
+    share, off = F.col("k") / F.col("n"), margin * F.sqrt((F.col("k") + 1.0) / (F.col("n") * F.col("n")))
+    bounds = cut(size.select("year", "k", upto(share - off).alias("low"), upto(share + off).alias("near")), "shares")
     rounds = spark.range(times).select(F.col("id").cast("int").alias("rep"))
+    ends_of = lambda c, is_from: pairs.select("establishment_id", F.col(c).alias("year"), F.lit(is_from).alias("nx"), F.lit(1 - is_from).alias("pv"))
+    beside = ends_of("year_from", 1).unionByName(ends_of("year_to", 0)).groupBy("establishment_id", "year").agg(F.max("nx").alias("nx"), F.max("pv").alias("pv"))
+    key = lambda year: F.concat_ws("|", F.lit(seed), F.col("establishment_id"), F.col(year), F.lit(""))
     reps = F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("rep")
-    # an even number of each filer and round; those far above the year's share can't be among the k least
-    every = panel.join(F.broadcast(share), "year").select("establishment_id", "year", "k", "near", reps).withColumn("u", even_number(F.lit(seed), F.col("establishment_id"), F.col("year"), F.col("rep")))
-    drawn = cut(every.filter(F.col("u") <= F.col("near")).select("rep", "year", "establishment_id", "u", "k"), "drawn")
-    left = rounds.join(F.broadcast(share.select("year", "k"))).join(drawn.groupBy("rep", "year").agg(F.count("*").alias("left")), ["rep", "year"], "left").filter(F.coalesce("left", F.lit(0)) < F.col("k"))
-    short = [f"{r.rep}:{r.year}" for r in left.select("rep", "year").collect()]  # at most a row for each round and year
+    filers = panel.join(beside, ["establishment_id", "year"], "left").fillna(0, ["nx", "pv"]).join(F.broadcast(bounds), "year")
+    every = filers.select("establishment_id", "year", "nx", "pv", "low", "near", key("year").alias("key")).select("*", reps).withColumn("digest", digest_of("key"))
+    between, h = F.col("digest") > F.col("low"), F.substring("digest", 1, DIGITS)
+    sums = (F.count("*").alias("m"), F.sum("nx").alias("nx"), F.sum("pv").alias("pv"))
+    near = cut(every.filter(F.col("digest") <= F.col("near")).groupBy("rep", "year", F.when(between, h).alias("h"), F.when(between, F.col("establishment_id")).alias("e")).agg(*sums), "near")
+    wanted = rounds.join(F.broadcast(bounds.select("year", "k").filter("k > 0")))
+
+    def last(counted: DataFrame) -> DataFrame:
+        """Of each round and year the last one flagged, and whether others have the same digits."""
+        order = Window.partitionBy("rep", "year").orderBy(F.col("h").asc_nulls_first(), "e")
+        placed = counted.withColumns({"upto": F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0)), "tied": F.count("*").over(Window.partitionBy("rep", "year", "h")) > 1})
+        return placed.join(F.broadcast(bounds.select("year", "k")), "year").filter("k > 0 and h is not null and upto >= k and upto - m < k").select("rep", "year", F.col("h").alias("last_h"), F.col("e").alias("last_e"), "tied")
+
+    found = cut(last(near), "last")
+    short = [f"{r.rep}:{r.year}" for r in wanted.join(found, ["rep", "year"], "left_anti").collect()]  # at most a row for each round and year
     if short:
-        drawn = drawn.unionByName(every.filter((F.col("u") > F.col("near")) & F.concat_ws(":", "rep", "year").isin(short)).select("rep", "year", "establishment_id", "u", "k"))
-    order = Window.partitionBy("rep", "year").orderBy("u", "establishment_id")
-    flagged = drawn.withColumn("place", F.row_number().over(order)).filter("place <= k").select("rep", "year", "establishment_id")
-    totals = pairs.groupBy("year_from", "year_to").agg(F.count("*").alias("n"))
-    at = flagged.join(pairs.select("establishment_id", F.col("year_from").alias("year"), "year_to"), ["establishment_id", "year"]).select("rep", "establishment_id", F.col("year").alias("year_from"), "year_to", F.lit(1).alias("x"), F.lit(0).alias("y"))
-    to = flagged.join(pairs.select("establishment_id", "year_from", F.col("year_to").alias("year")), ["establishment_id", "year"]).select("rep", "establishment_id", "year_from", F.col("year").alias("year_to"), F.lit(0).alias("x"), F.lit(1).alias("y"))
-    cells = at.unionByName(to).groupBy("rep", "establishment_id", "year_from", "year_to").agg(F.max("x").alias("x"), F.max("y").alias("y")).groupBy("rep").agg(F.sum(F.col("x") * F.col("y")).alias("n11"), F.sum(F.col("x") * (1 - F.col("y"))).alias("n10"), F.sum((1 - F.col("x")) * F.col("y")).alias("n01"))
-    cells = rounds.join(F.broadcast(cells), "rep", "left").fillna(0)
-    n = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    return cells.join(F.broadcast(n)).select("rep", odds_ratio(F.col("n11"), F.col("n10"), F.col("n01"), F.col("n") - F.col("n11") - F.col("n10") - F.col("n01")).alias("odds_ratio"))
+        among = F.concat_ws(":", "rep", "year").isin(short)
+        ranked = cut(every.filter(among).groupBy("rep", "year", h.alias("h"), F.col("establishment_id").alias("e")).agg(*sums), "ranked")
+        near, found = near.filter(~among).unionByName(ranked), cut(found.unionByName(last(ranked)), "last")
+    flagged = near.join(F.broadcast(found), ["rep", "year"]).filter("h is null or h < last_h or (h = last_h and e <= last_e)").groupBy("rep").agg(F.sum("nx").alias("n1"), F.sum("pv").alias("m1"))
+    # both of a pair: the second digest is only taken of pairs whose first filing is flagged
+    side = lambda c: found.select("rep", F.col("year").alias(f"year_{c}"), F.col("last_h").alias(f"h_{c}"), F.when(F.col("tied"), F.col("last_e")).alias(f"e_{c}"))
+    years = pairs.select("year_from", "year_to").distinct().join(side("from"), "year_from").join(side("to"), ["year_to", "rep"])
+    met = years.groupBy("year_from", "year_to").agg(F.collect_list(F.struct("rep", "h_from", "e_from", "h_to", "e_to")).alias("ends"))  # a row for each pair of years
+    both = pairs.join(F.broadcast(met), ["year_from", "year_to"]).select("establishment_id", key("year_from").alias("key_from"), key("year_to").alias("key_to"), F.inline("ends"))
+    for c in ("from", "to"):
+        d, end = digest_of(f"key_{c}"), F.col(f"h_{c}")
+        both = both.filter((d <= F.concat(end, F.lit("g"))) & (F.col(f"e_{c}").isNull() | (d < end) | (F.col("establishment_id") <= F.col(f"e_{c}"))))
+    cells = rounds.join(F.broadcast(flagged), "rep", "left").join(F.broadcast(both.groupBy("rep").agg(F.count("*").alias("n11"))), "rep", "left").fillna(0)
+    n11, n10, n01 = F.col("n11"), F.col("n1") - F.col("n11"), F.col("m1") - F.col("n11")
+    return cells.join(F.broadcast(pairs.agg(F.count("*").alias("n")))).select("rep", odds_ratio(n11, n10, n01, F.col("n") - n11 - n10 - n01).alias("odds_ratio"))
+
+
+#: Hexadecimal digits of a digest that count: those of even_number().
+DIGITS = 13
+
+
+def digest_of(key: str) -> Column:
+    """The digest that even_number() takes of a key's parts and the round, as text: its order is that of the numbers."""
+    return F.md5(F.concat(F.col(key), F.col("rep").cast("string")).cast("binary"))
+
+
+def upto(share: Column) -> Column:
+    """The text up to which digests stand for numbers of at most `share`: its digits, and a letter beyond them."""
+    whole = F.floor(F.greatest(share, F.lit(0.0)) * float(16**DIGITS)).cast("long")
+    return F.when(share < 0, F.lit("")).when(share >= 1, F.lit("g")).otherwise(F.concat(F.lower(F.lpad(F.hex(whole), DIGITS, "0")), F.lit("g")))

@@ -1,5 +1,6 @@
 """Hand-worked tables of the operators over filings, and identities that must hold whatever the data."""
 
+import hashlib
 import math
 import random
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from ratewright.functions import stats
 from ratewright.operators import influence, panel, peers, rates, screen, sectors, stability
 from ratewright.operators.derive import deduplicated, derived, size_band, with_peer_keys
+from ratewright.shared import cut
 
 COLUMNS = "id long, establishment_id long, ein string, company_name string, state string, naics_code long, year_filing_for int, annual_average_employees double, total_hours_worked double, no_injuries_illnesses double, total_deaths double, total_dafw_cases double, total_djtr_cases double, total_other_cases double, total_dafw_days double, total_djtr_days double"
 
@@ -151,6 +153,33 @@ def test_permutation_deals_as_many_flags(spark):
     assert sorted(values) == sorted(again)
 
 
+@pytest.mark.parametrize("margin", [6.0, 0.0, -1.0])
+def test_permutation_against_ranks_of_all(spark, monkeypatch, margin):
+    """Each round's flags by ranking all digests; with a usual margin no table holds a row for each flagged filer of each round."""
+    rows = [(e, y, int((e * 7 + y) % 10 < share)) for y, share in ((2020, 5), (2021, 4), (2022, 0)) for e in range(6000) if (e + y) % 6]
+    df, times, written = spark.createDataFrame(rows, "establishment_id long, year int, flag int"), 4, []
+
+    def counted(df, tag):
+        out = cut(df, tag)
+        written.append(0 if tag == "pairs" else out.count())
+        return out
+
+    monkeypatch.setattr(panel, "cut", counted)
+    found = {r.rep: r.odds_ratio for r in panel.permutation_null(df, times, margin=margin).collect()}
+    assert sorted(found) == list(range(times))
+    for rep in range(times):
+        flagged = {}
+        for y in (2020, 2021, 2022):
+            filers = sorted((hashlib.md5(f"20260909|{e}|{y}|{rep}".encode()).hexdigest()[:13], e) for e, x, _ in rows if x == y)
+            k = sum(f for _, x, f in rows if x == y)
+            flagged[y] = {e: i < k for i, (_, e) in enumerate(filers)}
+        cells = [(flagged[y][e], flagged[y + 1][e]) for y in (2020, 2021) for e in flagged[y] if e in flagged[y + 1]]
+        n = {c: cells.count(c) for c in set(cells)}
+        assert found[rep] == pytest.approx(n[True, True] * n[False, False] / (n[True, False] * n[False, True]))
+    if margin == 6.0:
+        assert sum(written) < times * sum(f for _, _, f in rows) / 2
+
+
 def test_ranks_and_correlation(spark):
     df = spark.createDataFrame([(1.0, 3.0), (2.0, 1.0), (2.0, 5.0), (4.0, 5.0)], "a double, b double")
     ranked = df.select("a", "b", stability.average_rank("a").alias("ra"), stability.average_rank("b").alias("rb"))
