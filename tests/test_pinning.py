@@ -30,6 +30,29 @@ def test_a_row_that_holds_nearly_everything(spark):
     assert alone["z"].without_hours == 0 and alone["z"].all_hours == 3
 
 
+def test_no_task_reads_a_group(spark):
+    """Two groups of 4,000 rows over 16 partitions: whichever way the rows are moved, they are dealt over all tasks."""
+    spark.range(8000).select((F.col("id") % 2).alias("g"), "id", F.lit(1.0).alias("x")).createOrReplaceTempView("two_groups")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in settings}
+    context = spark.sparkContext
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        context.setJobGroup("no task reads a group", "")
+        out = sums_without(spark.table("two_groups"), "g", "id", ("x",), rows=100).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(out) == 8000 and {(x.without_x, x.all_x) for x in out} == {(3999.0, 4000.0)}
+    store, tracker = context._jsc.sc().statusStore(), context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("no task reads a group") for s in tracker.getJobInfo(j).stageIds}
+    tasks = [t for s in stages for found in [store.taskList(s, 0, 1000)] for t in map(found.apply, range(found.size()))]
+    read = [t.taskMetrics().get().shuffleReadMetrics().recordsRead() for t in tasks if t.taskMetrics().isDefined()]
+    assert 100 < max(read) < 2000
+
+
 def test_review_of_a_dominant_row(spark):
     data = [(2023, 10.0, 20000.0 + i, float(i % 3), f"a{i}") for i in range(50)] + [(2024, 10.0, 21000.0 + i, float(i % 4), f"a{i}") for i in range(50)] + [(2024, 1e13, 2e16, 0.0, "big")]
     out = {x.key: x for x in review.analyse(spark.createDataFrame(data, "year int, employees double, hours double, cases double, filing_id string")).collect()}
